@@ -19,11 +19,12 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...]) -> DataFrame:
-    """Exact quantiles by nearest rank: one row per quantile (index, value).
+    """Exact quantiles by nearest rank: one row with columns q0, q1, ...
 
-    A sketch first brackets every rank; only the values inside the brackets, a
-    tiny share of the column, are then counted and ranked. Equal values count
-    as one, so frequent values cost nothing.
+    A sketch first brackets every rank. Then one pass counts the values inside
+    the brackets, a tiny share of the column, one by one and all others in
+    bulk, and the ranks are read off the running counts. Equal values count as
+    one group, so frequent values cost nothing.
     """
     values = df.select(col(column).alias("v")).filter(F.col("v").isNotNull())
     slack = 4 / ACCURACY
@@ -34,36 +35,34 @@ def exact_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...]) ->
         F.max("v").alias("most"),
         F.count(F.lit(1)).alias("n"),
     )
-    # One row per quantile: its rank, and a bracket that holds it.
-    wanted = sketch.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        (F.round(F.lit(q) * (F.col("n") - 1)) + 1).cast("bigint").alias("rank"),
-                        F.when(F.lit(q <= slack), F.col("least"))
-                        .otherwise(F.get("p", F.lit(2 * i)))
-                        .alias("low"),
-                        F.when(F.lit(q >= 1 - slack), F.col("most"))
-                        .otherwise(F.get("p", F.lit(2 * i + 1)))
-                        .alias("high"),
-                    )
-                    for i, q in enumerate(quantiles)
-                ]
-            )
-        ).alias("w")
-    ).select("w.*")
-    # Three rows or so: every value meets each bracket once, and values below a
-    # bracket collapse to one count inside the task.
-    seen = values.join(F.broadcast(wanted), F.col("v") <= F.col("high"))
-    counted = seen.groupBy(
-        "i", "rank", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("i").orderBy(F.asc_nulls_first("v"))
-    ranked = counted.withColumn("upto", F.sum("n").over(upto))
-    hit = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))
-    return ranked.filter(hit & F.col("v").isNotNull()).select("i", F.col("v").alias("value"))
+    fields = []
+    for i, q in enumerate(quantiles):
+        low = F.col("least") if q <= slack else F.get("p", F.lit(2 * i))
+        high = F.col("most") if q >= 1 - slack else F.get("p", F.lit(2 * i + 1))
+        rank = (F.round(F.lit(q) * (F.col("n") - 1)) + 1).cast("bigint")
+        fields += [low.alias(f"low{i}"), high.alias(f"high{i}"), rank.alias(f"rank{i}")]
+    plan = sketch.select(F.struct(*fields)).scalar()
+
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(len(quantiles)):
+        inside = inside | F.col("v").between(plan[f"low{i}"], plan[f"high{i}"])
+        gap = gap + F.when(F.col("v") >= plan[f"low{i}"], 1).otherwise(0)
+    counted = values.groupBy(
+        F.when(inside, F.col("v")).alias("own"), F.when(~inside, gap).alias("gap")
+    ).agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    running = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
+    return running.agg(
+        *[
+            F.max(
+                F.when(
+                    (F.col("upto") >= plan[f"rank{i}"])
+                    & (F.col("upto") - F.col("n") < plan[f"rank{i}"]),
+                    F.col("own"),
+                )
+            ).alias(f"q{i}")
+            for i in range(len(quantiles))
+        ]
+    )
 
 
 def describe(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
@@ -122,9 +121,8 @@ def describe(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     if temporal or numeric:
         if exact:
             quartiles = exact_quantiles(numbers.select("v"), "v", QUANTILES)
-            for i in range(3):
-                point = quartiles.filter(F.col("i") == i).select(shown(F.col("value"))).scalar()
-                out = out.withColumn(f"q{i}", point)
+            points = quartiles.select(F.struct("q0", "q1", "q2")).scalar()
+            out = out.withColumns({f"q{i}": shown(points[f"q{i}"]) for i in range(3)})
     else:
         out = out.withColumns({f"q{i}": F.lit(None).cast("string") for i in range(3)})
     return out.select(
