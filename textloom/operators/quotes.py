@@ -7,10 +7,10 @@ marks pair up within one line.
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.spans import chunked, cut, let, regex_spans
 from textloom.functions.stopwords import require_language
@@ -93,7 +93,15 @@ def preprocess(text: str) -> tuple[str, list[int]]:
     return plain, at
 
 
-@F.pandas_udf("struct<text:string,offsets:array<int>>")
+PREPROCESSED = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("offsets", T.ArrayType(T.IntegerType())),
+    ]
+)
+
+
+@F.pandas_udf(PREPROCESSED)
 def preprocessed(texts: pd.Series) -> pd.DataFrame:
     """``preprocess`` for a text column."""
     pairs = [preprocess(t or "") for t in texts]

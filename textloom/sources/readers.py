@@ -20,7 +20,6 @@ FORMATS = {
     "csv": "csv",
     "json": "json",
     "jsonl": "jsonl",
-    "ndjson": "jsonl",
     "parquet": "parquet",
     "xlsx": "excel",
     "xls": "excel",
@@ -100,8 +99,22 @@ def read_archives(
 ) -> DataFrame:
     """One row per text member of every ZIP archive under ``path``.
 
-    Archives are spread over the executors; members leave a task in small
-    frames. System members, other extensions and undecodable texts are skipped.
+    System members, other extensions and undecodable texts are skipped.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return unpack_archives(files, encoding, errors, extensions, extensionless)
+
+
+def unpack_archives(
+    files: DataFrame,
+    encoding: str = "utf-8",
+    errors: str = "ignore",
+    extensions: Iterable[str] | None = None,
+    extensionless: bool = True,
+) -> DataFrame:
+    """``read_archives`` for archives held in a binary column ``content``.
+
+    Archives are spread over the executors; members leave a task in small frames.
     """
     wanted = {
         (e if e.startswith(".") else f".{e}").lower() for e in (extensions or TEXT_EXTENSIONS)
@@ -136,8 +149,7 @@ def read_archives(
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(unpack, ARCHIVE_SCHEMA)
+    return files.select("content").mapInPandas(unpack, ARCHIVE_SCHEMA)
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None, repair: bool = True) -> DataFrame:

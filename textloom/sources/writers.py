@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,19 +37,41 @@ def as_texts(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str, partition_by: list[str] | None = None) -> None:
-    """Write the visible columns in one of FORMATS; JSON is one object per line."""
+    """Write the visible columns in one of FORMATS.
+
+    ``json`` gives one JSON array per file, ``ndjson`` one object per line.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; use one of {FORMATS}")
     table = visible(df)
     if fmt == "csv":
         writer = as_texts(table).write.option("header", True).option("escape", '"')
         writer.option("quote", '"').option("emptyValue", '""').csv(path)
-    elif fmt in ("json", "ndjson"):
+    elif fmt == "json":
+        _write_json_arrays(table, path)
+    elif fmt == "ndjson":
         table.write.option("ignoreNullFields", False).json(path)
     else:
         table.write.partitionBy(*(partition_by or [])).parquet(path)
 
 
+def _write_json_arrays(df: DataFrame, path: str) -> None:
+    """Every task writes its rows as one array, row by row."""
+    def bracketed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = "["
+        for frame in frames:
+            if len(frame):
+                lines = frame["value"].tolist()
+                lines[0] = lead + lines[0]
+                yield pd.DataFrame({"value": [lines[0], *["," + x for x in lines[1:]]]})
+                lead = ","
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+    options = {"ignoreNullFields": "false"}
+    objects = df.select(F.to_json(F.struct(*[col(c) for c in df.columns]), options).alias("value"))
+    objects.mapInPandas(bracketed, "value string").write.text(path)
+
+
 def safe_name(label: str | None, fallback: str) -> str:
     """A name that is valid on every file system."""
     forbidden = '<>:"/\\|?*'
