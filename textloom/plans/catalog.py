@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from textloom.plans import tables  # noqa: F401
+from textloom.plans import tables, texts  # noqa: F401
 from textloom.plans.registry import QUERIES, SQL
+from textloom.plans.texts import flagship
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "flagship"]
