@@ -134,26 +134,47 @@ def regex_spans(text: Column, pattern: str) -> Column:
     )
 
 
-def chunked(text: Column, size: int) -> Column:
-    """``text`` cut into pieces of ``size`` characters."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+def chunk_bits(width: int, least: int = 7) -> int:
+    """Bits of the smallest power of two that is at least ``width``."""
+    return max(least, (width - 1).bit_length())
 
 
-def cut(text: Column, chunks: Column, size: int, start: Column, end: Column) -> Column:
+def chunked(text: Column, bits: int) -> Column:
+    """``text`` cut into pieces of ``2**bits`` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << bits}}}"), F.lit(0))
+
+
+def chunk_at(position: Column, bits: int) -> tuple[Column, Column]:
+    """Number of the chunk that holds a character, and the place inside it."""
+    return (
+        F.shiftright(position, bits).cast("int"),
+        position.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"),
+    )
+
+
+def piece(chunks: Column, number: Column) -> Column:
+    return F.coalesce(F.get(chunks, number), F.lit(""))
+
+
+def cut(text: Column, chunks: Column, bits: int, start: Column, end: Column) -> Column:
     """Characters ``[start, end)`` of ``text``, read from at most two chunks.
 
     ``substring`` walks a text from its beginning, so many slices of one long
     text would cost its length each. Slices longer than a chunk fall back to
     the whole text.
     """
-    first = F.floor(start / size).cast("int")
-    near = F.concat(
-        F.coalesce(F.get(chunks, first), F.lit("")),
-        F.coalesce(F.get(chunks, first + 1), F.lit("")),
-    )
+    number, inside = chunk_at(start, bits)
     width = (end - start).cast("int")
     return (
         F.when(width <= 0, F.lit(""))
-        .when(width <= size, F.substring(near, (start - first * size + 1).cast("int"), width))
+        .when(
+            inside + width <= (1 << bits), F.substring(piece(chunks, number), inside + 1, width)
+        )
+        .when(
+            width <= (1 << bits),
+            F.substring(
+                F.concat(piece(chunks, number), piece(chunks, number + 1)), inside + 1, width
+            ),
+        )
         .otherwise(F.substring(text, (start + 1).cast("int"), width))
     )

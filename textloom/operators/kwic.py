@@ -7,7 +7,17 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.spans import check_pattern, chunked, cut, let, quote_literal, regex_spans
+from textloom.functions.spans import (
+    check_pattern,
+    chunk_at,
+    chunk_bits,
+    chunked,
+    cut,
+    let,
+    piece,
+    quote_literal,
+    regex_spans,
+)
 from textloom.functions.stopwords import NO_WORD_BOUNDARY
 from textloom.operators.ranks import spread_lookup, with_row_index
 
@@ -23,7 +33,18 @@ CORE = [
 ]
 EXTRACTION = "CONC_extraction"
 L1_FREQ, R1_FREQ = "CONC_l1_freq", "CONC_r1_freq"
-HIT_FIELDS = [*CORE, EXTRACTION]
+DOC_LENGTH = "CONC_doc_length"
+HIT_FIELDS = [*CORE, EXTRACTION, DOC_LENGTH]
+HIT_TYPE = (
+    "array<struct<"
+    + ",".join(
+        f"{name}:{'bigint' if name.endswith(('_idx', '_length')) else 'string'}"
+        for name in HIT_FIELDS
+    )
+    + ">>"
+)
+# Chunks next to the match's own that are searched for context; 0 means all.
+WINDOW_CHUNKS = (1, 16, 0)
 PAGE_SIZES = (10, 20, 50, 100)
 PAGE_TARGET = 10
 FINE_BINS = 100
@@ -58,95 +79,101 @@ def kwic_hits(text: Column, pattern: str, left: int = 10, right: int = 10) -> Co
     """All hits of one document as an array of structs with the CORE fields.
 
     A context is the raw text of up to ``left`` / ``right`` whitespace-separated
-    words, a word cut by the match counting as one. It is searched for in a
-    window next to the match; only if the words do not fit the window is the
-    whole prefix or suffix read.
+    words, a word cut by the match counting as one. It is looked for in the
+    chunks of text next to the match, and in more of them, at last in all, only
+    where the words do not fit. The left side is read backwards.
     """
-    reach_l, reach_r = max(200, 40 * left), max(200, 40 * right)
-    size = max(1024, reach_l, reach_r)
+    bits = chunk_bits(16 * max(left, right))
     body = F.coalesce(text, F.lit(""))
 
-    def one_side(near: Column, whole: Column, is_whole: Column, count: int) -> Column:
-        words = F.regexp_extract(near, _words(count), 1)
-
-        def settle(w: Column) -> Column:
-            used = F.instr(near, w) - 1 + F.length(w)
-            complete = is_whole | ((w != "") & (used < F.length(near)))
-            return F.when(complete, w).otherwise(F.regexp_extract(whole, _words(count), 1))
+    def words_in(near: list[tuple[Column, Column]], count: int) -> Column:
+        """Words at the start of the first window that holds them for sure."""
+        window, is_all = near[0]
+        if len(near) == 1:
+            return F.regexp_extract(window, _words(count), 1)
+
+        def found(w: Column) -> Column:
+            words = F.regexp_extract(w, _words(count), 1)
+            return let(
+                words,
+                lambda x: F.when(
+                    is_all | ((x != "") & (F.instr(w, x) - 1 + F.length(x) < F.length(w))), x
+                ).otherwise(words_in(near[1:], count)),
+            )
 
-        return let(words, settle)
+        return let(window, found)
+
+    def windows(doc: Column, start: Column, end: Column) -> tuple[list, list]:
+        j, k = chunk_at(start, bits)
+        own_before = F.right(piece(doc["reversed"], j), k)
+        before = []
+        for n in WINDOW_CHUNKS:
+            more = F.least(j, F.lit(n)) if n else j
+            if n == 1:
+                rest = piece(doc["reversed"], j - 1)
+            else:
+                rest = F.array_join(F.reverse(F.slice(doc["reversed"], j - more + 1, more)), "")
+            before.append((F.concat(own_before, rest), j <= n if n else F.lit(True)))
+        j, k = chunk_at(end, bits)
+        own_after = F.substring(piece(doc["chunks"], j), k + 1, F.lit(1 << bits))
+        after = []
+        for n in WINDOW_CHUNKS:
+            last = F.size(doc["chunks"]) - 1
+            if n == 1:
+                rest = piece(doc["chunks"], j + 1)
+            else:
+                rest = F.array_join(
+                    F.slice(doc["chunks"], j + 2, F.lit(n) if n else last + 1), ""
+                )
+            after.append((F.concat(own_after, rest), j + n >= last if n else F.lit(True)))
+        return before, after
 
     def hit(doc: Column, h: Column) -> Column:
-        start, end, length = h["start"], h["end"], doc["length"]
-        low = F.greatest(F.lit(0).cast("bigint"), start - reach_l)
-        high = F.least(length, end + reach_r)
-        windows = F.struct(
-            cut(doc["text"], doc["chunks"], size, low, start).alias("before"),
-            cut(doc["text"], doc["chunks"], size, end, high).alias("after"),
+        start, end = h["start"], h["end"]
+        before, after = windows(doc, start, end)
+        sides = F.struct(
+            words_in(before, left).alias("back"), words_in(after, right).alias("forth")
         )
 
-        def with_windows(w: Column) -> Column:
-            backwards = let(
-                F.reverse(w["before"]),
-                lambda near: one_side(
-                    near,
-                    F.reverse(F.substring(doc["text"], F.lit(1), start.cast("int"))),
-                    low == 0,
-                    left,
-                ),
-            )
-            forwards = one_side(
-                w["after"],
-                F.substring(doc["text"], (end + 1).cast("int"), (length - end).cast("int")),
-                high == length,
-                right,
-            )
-            sides = F.struct(
-                F.reverse(backwards).alias("l"),
-                forwards.alias("r"),
-                w["before"].alias("before"),
-                w["after"].alias("after"),
-            )
-            return let(sides, with_sides)
-
         def with_sides(s: Column) -> Column:
-            left_context = s["l"] if left > 0 else F.lit("")
-            right_context = s["r"] if right > 0 else F.lit("")
-            # Windows are wide enough unless the whole text had to be read.
-            pad_l = F.length(left_context) + F.when(left_context != "", 1).otherwise(0)
-            pad_r = F.length(right_context) + F.when(right_context != "", 1).otherwise(0)
-            fits = (pad_l <= F.length(s["before"])) | (low == 0)
-            fits = fits & ((pad_r <= F.length(s["after"])) | (high == length))
-            narrow = F.concat(
-                F.right(s["before"], pad_l), h["text"], F.substring(s["after"], F.lit(1), pad_r)
-            )
-            wide = cut(
-                doc["text"],
-                doc["chunks"],
-                size,
-                F.greatest(F.lit(0).cast("bigint"), start - pad_l),
-                F.least(length, end + pad_r),
-            )
+            left_context = F.reverse(s["back"]) if left > 0 else F.lit("")
+            right_context = s["forth"] if right > 0 else F.lit("")
+            pad_l = F.when(s["back"] != "", F.length(s["back"]) + 1).otherwise(0)
+            pad_r = F.when(s["forth"] != "", F.length(s["forth"]) + 1).otherwise(0)
+            low = F.greatest(F.lit(0).cast("bigint"), start - (pad_l if left > 0 else 0))
+            high = end + (pad_r if right > 0 else 0)
             return F.struct(
                 left_context.alias(CORE[0]),
                 h["text"].alias(CORE[1]),
                 right_context.alias(CORE[2]),
                 start.alias(CORE[3]),
                 end.alias(CORE[4]),
-                F.regexp_extract(s["l"], r"(?U)(\S+)$", 1).alias(CORE[5]),
-                F.regexp_extract(s["r"], r"(?U)^(\S+)", 1).alias(CORE[6]),
-                F.when(fits, narrow).otherwise(wide).alias(EXTRACTION),
+                F.reverse(F.regexp_extract(s["back"], r"(?U)^(\S+)", 1)).alias(CORE[5]),
+                F.regexp_extract(s["forth"], r"(?U)^(\S+)", 1).alias(CORE[6]),
+                cut(doc["text"], doc["chunks"], bits, low, high).alias(EXTRACTION),
+                doc["length"].alias(DOC_LENGTH),
             )
 
-        return let(windows, with_windows)
+        return let(sides, with_sides)
 
-    doc = F.struct(
+    def with_chunks(c: Column) -> Column:
+        doc = F.struct(
+            c["text"].alias("text"),
+            c["chunks"].alias("chunks"),
+            F.transform(c["chunks"], F.reverse).alias("reversed"),
+            c["spans"].alias("spans"),
+            F.length(c["text"]).cast("bigint").alias("length"),
+        )
+        return let(doc, lambda d: F.transform(d["spans"], lambda h: hit(d, h)))
+
+    parts = F.struct(
         body.alias("text"),
-        chunked(body, size).alias("chunks"),
+        chunked(body, bits).alias("chunks"),
         regex_spans(body, pattern).alias("spans"),
-        F.length(body).cast("bigint").alias("length"),
     )
-    return let(doc, lambda d: F.transform(d["spans"], lambda h: hit(d, h)))
+    # Texts without a hit are not cut up.
+    none = F.array().cast(HIT_TYPE)
+    return F.when(body.rlike(pattern), let(parts, with_chunks)).otherwise(none)
 
 
 def token_alternatives(query: str, case_sensitive: bool = False) -> list[str]:
@@ -169,7 +196,7 @@ def token_hits(
     tokens are null at the edges.
     """
     wanted = token_alternatives(query, case_sensitive)
-    size = max(1024, 40 * max(left, right))
+    bits = chunk_bits(32 * max(left, right))
     body = F.coalesce(text, F.lit(""))
 
     def is_wanted(token: Column) -> Column:
@@ -184,7 +211,7 @@ def token_hits(
         last_right = F.get(all_tokens, F.least(last, i + right))
 
         def raw(start: Column, end: Column) -> Column:
-            return cut(doc["text"], doc["chunks"], size, start, end)
+            return cut(doc["text"], doc["chunks"], bits, start, end)
 
         return F.struct(
             raw(first_left["start"], this["start"]).alias(CORE[0]),
@@ -195,13 +222,15 @@ def token_hits(
             F.get(all_tokens, i - 1)["token"].alias(CORE[5]),
             F.get(all_tokens, i + 1)["token"].alias(CORE[6]),
             raw(first_left["start"], last_right["end"]).alias(EXTRACTION),
+            doc["length"].alias(DOC_LENGTH),
         )
 
     doc = F.struct(
         body.alias("text"),
-        chunked(body, size).alias("chunks"),
+        chunked(body, bits).alias("chunks"),
         F.coalesce(tokens, F.array().cast("array<struct<token:string,start:bigint,end:bigint>>"))
         .alias("tokens"),
+        F.length(body).cast("bigint").alias("length"),
     )
 
     def positions(d: Column) -> Column:
@@ -219,16 +248,8 @@ def not_blank(text_col: str) -> Column:
 
 def _flat(df: DataFrame, hits: Column, text_col: str, keep: list[str]) -> DataFrame:
     """One row per hit. The text itself travels only if it is in ``keep``."""
-    rows = df.filter(not_blank(text_col)).select(
-        *keep,
-        F.length(text_col).cast("bigint").alias("__doc_length"),
-        F.explode(hits).alias("__hit"),
-    )
-    return rows.select(
-        *keep,
-        *[F.col(f"__hit.{name}").alias(name) for name in HIT_FIELDS],
-        F.col("__doc_length").alias("CONC_doc_length"),
-    )
+    rows = df.filter(not_blank(text_col)).select(*keep, F.explode(hits).alias("__hit"))
+    return rows.select(*keep, *[F.col(f"__hit.{name}").alias(name) for name in HIT_FIELDS])
 
 
 def concordance(

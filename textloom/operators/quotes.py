@@ -110,7 +110,7 @@ def preprocessed(texts: pd.Series) -> pd.DataFrame:
 
 def quotations(text: Column) -> Column:
     """All quotations of one document as an array of structs with COLUMNS."""
-    size = 1024
+    bits = 8
     body = F.coalesce(text, F.lit(""))
     none = F.lit(None).cast("bigint")
 
@@ -158,9 +158,9 @@ def quotations(text: Column) -> Column:
             (s0, s1), (v0, v1) = span("s"), span("v")
 
             def raw(a: Column, b: Column) -> Column:
-                return F.when(a.isNotNull(), cut(doc["text"], doc["chunks"], size, a, b))
+                return F.when(a.isNotNull(), cut(doc["text"], doc["chunks"], bits, a, b))
 
-            inner = cut(doc["text"], doc["chunks"], size, start + 1, end - 1)
+            inner = cut(doc["text"], doc["chunks"], bits, start + 1, end - 1)
             values = [
                 raw(s0, s1),
                 F.coalesce(s0, none),
@@ -179,9 +179,9 @@ def quotations(text: Column) -> Column:
             return F.struct(*[v.alias(c) for v, c in zip(values, COLUMNS, strict=True)])
 
         windows = F.struct(
-            F.regexp_replace(cut(doc["plain"], doc["plain_chunks"], size, end, high), r"(?s)\n.*", "")
+            F.regexp_replace(cut(doc["plain"], doc["plain_chunks"], bits, end, high), r"(?s)\n.*", "")
             .alias("after"),
-            F.regexp_replace(cut(doc["plain"], doc["plain_chunks"], size, low, start), r"(?s)^.*\n", "")
+            F.regexp_replace(cut(doc["plain"], doc["plain_chunks"], bits, low, start), r"(?s)^.*\n", "")
             .alias("before"),
         )
         return let(windows, shapes)
@@ -189,9 +189,9 @@ def quotations(text: Column) -> Column:
     plain = plain_text(body)
     doc = F.struct(
         body.alias("text"),
-        chunked(body, size).alias("chunks"),
+        chunked(body, bits).alias("chunks"),
         plain.alias("plain"),
-        chunked(plain, size).alias("plain_chunks"),
+        chunked(plain, bits).alias("plain_chunks"),
         regex_spans(plain, QUOTED).alias("spans"),
         F.length(body).cast("bigint").alias("length"),
     )
