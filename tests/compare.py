@@ -64,7 +64,10 @@ def compare(spark_df, relation) -> list[str]:
         if spark_types[name] != duck_types[name]:
             problems.append(f"type of {name}: {spark_types[name]} vs {duck_types[name]}")
     place = [relation.columns.index(n) for n in names]
-    left = sorted((tuple(plain(r[n]) for n in names) for r in spark_df.collect()), key=repr)
+    begin = time.time()
+    rows = spark_df.collect()
+    compare.spark_seconds = time.time() - begin
+    left = sorted((tuple(plain(r[n]) for n in names) for r in rows), key=repr)
     right = sorted((tuple(plain(r[i]) for i in place) for r in relation.fetchall()), key=repr)
     if len(left) != len(right):
         problems.append(f"rows {len(left)} vs {len(right)}")
@@ -101,7 +104,7 @@ def main() -> int:
             df = run(spark, args.sf)
             if name in sql:
                 problems = compare(df, con.sql(sql[name]))
-                count = ""
+                count = f"(Spark {compare.spark_seconds:.1f}s)"
             else:
                 problems, count = [], f"rows {df.count()}"
         except Exception as err:

@@ -207,7 +207,10 @@ def extract_quotations(
 
 
 def flatten_quotations(
-    df: DataFrame, keep: list[str], quotation_col: str = "quotation", text_col: str | None = None,
+    df: DataFrame,
+    keep: list[str],
+    quotation_col: str = "quotation",
+    text_col: str | None = None,
     context: int | None = None,
 ) -> DataFrame:
     """One row per quotation with QUOTE_ columns; empty quotations are dropped.
@@ -215,23 +218,41 @@ def flatten_quotations(
     With ``text_col``, QUOTE_extraction holds the text from the first to the
     last part of the quotation with ``context`` characters around it.
     """
-    lead = [F.col(text_col).alias("__text")] if text_col else []
-    rows = df.select(*keep, *lead, F.explode(quotation_col).alias("q")).filter(
-        F.col("q").isNotNull()
-    )
-    named = [F.col(f"q.{c}").alias(f"QUOTE_{c}") for c in COLUMNS]
+    if text_col is None:
+        exploded = F.explode(F.transform(quotation_col, lambda q: F.struct(q.alias("q"))))
+        tail = []
+    else:
+        exploded = F.explode(_with_windows(F.col(text_col), F.col(quotation_col), context))
+        tail = [F.col("x.extraction").alias("QUOTE_extraction")]
+    rows = df.select(*keep, exploded.alias("x"))
     filled = [
-        F.coalesce(F.length(F.trim(f"q.{c}")), F.lit(0)) > 0 for c in ("quote", "speaker", "verb")
+        F.coalesce(F.length(F.trim(f"x.q.{c}")), F.lit(0)) > 0 for c in ("quote", "speaker", "verb")
     ]
-    rows = rows.filter(filled[0] | filled[1] | filled[2])
-    if text_col is None:
-        return rows.select(*keep, *named)
-    starts = [F.col(f"q.{c}_start_idx") for c in ("speaker", "quote", "verb")]
-    ends = [F.col(f"q.{c}_end_idx") for c in ("speaker", "quote", "verb")]
-    window = around(
-        F.col("__text"), F.least(*starts), F.greatest(*ends), context_length(context)
+    named = [F.col(f"x.q.{c}").alias(f"QUOTE_{c}") for c in COLUMNS]
+    return rows.filter(filled[0] | filled[1] | filled[2]).select(*keep, *named, *tail)
+
+
+def _with_windows(text: Column, found: Column, context: int | None) -> Column:
+    """Every quotation with the text around it, cut before the rows are split up."""
+    width = context_length(context)
+    parts = ("speaker", "quote", "verb")
+
+    def window(doc: Column, q: Column) -> Column:
+        low = F.least(*[q[f"{p}_start_idx"] for p in parts]) - width
+        high = F.greatest(*[q[f"{p}_end_idx"] for p in parts]) + width
+        low, high = F.greatest(F.lit(0).cast("bigint"), low), F.least(doc["length"], high)
+        return F.struct(
+            q.alias("q"), cut(doc["text"], doc["chunks"], 8, low, high).alias("extraction")
+        )
+
+    body = F.coalesce(text, F.lit(""))
+    doc = F.struct(
+        body.alias("text"),
+        chunked(body, 8).alias("chunks"),
+        F.length(body).cast("bigint").alias("length"),
+        found.alias("found"),
     )
-    return rows.select(*keep, *named, window.alias("QUOTE_extraction"))
+    return let(doc, lambda d: F.transform(d["found"], lambda q: window(d, q)))
 
 
 def context_length(value: object) -> int:

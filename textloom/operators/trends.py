@@ -205,25 +205,25 @@ def fill_missing(
     span = trend.agg(
         F.struct(F.min("time_period").alias("low"), F.max("time_period").alias("high"))
     ).scalar()
+    low, high = span["low"], span["high"]
+    if groups:
+        series = trend.select(*groups).distinct()
+    else:
+        series = trend.sparkSession.range(1).select()
+    at = F.col("time_period")
     if width is not None:
-        steps = F.sequence(
-            F.lit(0).cast("bigint"), F.round((span["high"] - span["low"]) / width).cast("bigint")
-        )
-        periods = F.transform(steps, lambda k: F.round(span["low"] + k * width, 6))
+        steps = F.sequence(F.lit(0).cast("bigint"), F.round((high - low) / width).cast("bigint"))
+        grid = series.select(*groups, F.explode(steps).alias("time_period"))
+        grid = grid.withColumn("time_period", F.round(low + at * width, 6))
     else:
         name = FREQUENCIES.get(frequency, FREQUENCIES["daily"])[0]
         step = F.expr("interval 3 month" if name == "quarter" else f"interval 1 {name}")
-        low, high = span["low"], span["high"]
-        if name not in COARSE:
-            low, high = low.cast("timestamp"), high.cast("timestamp")
-        periods = F.sequence(low, high, step)
-        if name not in COARSE:
-            periods = F.transform(periods, lambda p: p.cast("timestamp_ntz"))
-    if groups:
-        grid = trend.select(*groups).distinct()
-    else:
-        grid = trend.sparkSession.range(1).select()
-    grid = grid.select(*groups, F.explode(periods).alias("time_period"))
+        if name in COARSE:
+            grid = series.select(*groups, F.explode(F.sequence(low, high, step)).alias("time_period"))
+        else:
+            times = F.sequence(low.cast("timestamp"), high.cast("timestamp"), step)
+            grid = series.select(*groups, F.explode(times).alias("time_period"))
+            grid = grid.withColumn("time_period", at.cast("timestamp_ntz"))
     counts = trend.select("time_period", *groups, "sequential_count")
     g, c = grid.alias("g"), counts.alias("c")
     same = F.col("g.time_period") == F.col("c.time_period")

@@ -11,12 +11,13 @@ from textloom.operators.columns import add_columns
 from textloom.operators.sampling import head_and_tail
 from textloom.plans.registry import query, table
 from textloom.session import scratch_path
+from textloom.sources.readers import spread_small_input
 
 WORD = "[\\p{L}\\p{N}]+"
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread_small_input(table(spark, sf, "documents"))
 
 
 # --- SQL building blocks ----------------------------------------------------

@@ -170,6 +170,19 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, repair: bool =
     return repair_text_columns(table) if repair else table
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Share out a table that lies in too few files and splits for all cores.
+
+    A file is read by as many tasks as it has row groups, so one small file
+    would put all text work on one core. Large inputs have more splits than
+    there are cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
+
+
 def preview(df: DataFrame, order_by: list[str], page: int = 0, size: int = 20) -> DataFrame:
     """One page of a table as texts, nulls shown as ``None``."""
     if page < 0 or not 1 <= size <= MAX_PAGE:
