@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.spans import let
+
 # The signature of broken text, and the characters Windows-1252
 # puts where Latin-1 has control codes.
 GATE = "â€|Ã[\\x80-\\xbf]|Â[\\xa0-\\xbf]"
@@ -19,36 +21,37 @@ CP1252_SPECIALS = {
 WIDE_GATE = GATE + "|Ã[" + "".join(CP1252_SPECIALS) + "]"
 
 
-def _one_pass(text: Column) -> Column:
+def repair_mojibake(text: Column) -> Column:
+    """Undo one wrong reading where the signature occurs and the bytes allow it."""
     specials = "".join(CP1252_SPECIALS)
     controls = "".join(chr(code) for code in CP1252_SPECIALS.values())
-    as_latin1 = F.translate(text, specials, controls)
-    decoded = F.encode(as_latin1, "ISO-8859-1").cast("string")
-    # Nested conditions: the encoding raises on wider characters, so it must
-    # only be reached by texts that have none.
-    return F.when(
-        text.rlike(WIDE_GATE),
-        F.when(
+
+    def reread(as_latin1: Column) -> Column:
+        bytes_as_text = F.encode(as_latin1, "ISO-8859-1").cast("string")
+        # A nested condition: the encoding raises on wider characters, so it
+        # must only be reached by texts that have none.
+        return F.when(
             as_latin1.rlike("^[\\x{00}-\\x{FF}]*$"),
-            F.when(F.is_valid_utf8(decoded), decoded).otherwise(text),
-        ).otherwise(text),
-    ).otherwise(text)
+            let(bytes_as_text, lambda t: F.when(F.is_valid_utf8(t), t).otherwise(text)),
+        ).otherwise(text)
 
+    return F.when(
+        text.rlike(WIDE_GATE), let(F.translate(text, specials, controls), reread)
+    ).otherwise(text)
 
-def repair_mojibake(text: Column, passes: int = 2) -> Column:
-    """Undo the wrong reading where the signature occurs and the bytes allow it."""
-    for _ in range(passes):
-        text = _one_pass(text)
-    return text
 
+def repair_text_columns(
+    df: DataFrame, columns: list[str] | None = None, passes: int = 2
+) -> DataFrame:
+    """Repair every string column, or the named ones that are strings.
 
-def repair_text_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Repair every string column, or the named ones that are strings."""
+    A second pass repairs texts that were misread twice.
+    """
     names = [
         f.name
         for f in df.schema.fields
         if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)
     ]
-    if not names:
-        return df
-    return df.withColumns({n: repair_mojibake(F.col(f"`{n}`")) for n in names})
+    for _ in range(passes if names else 0):
+        df = df.withColumns({n: repair_mojibake(F.col(f"`{n}`")) for n in names})
+    return df

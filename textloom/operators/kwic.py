@@ -20,6 +20,7 @@ from textloom.functions.spans import (
 )
 from textloom.functions.stopwords import NO_WORD_BOUNDARY
 from textloom.operators.ranks import spread_lookup, with_row_index
+from textloom.session import staged
 
 # The output columns.
 CORE = [
@@ -269,6 +270,43 @@ def concordance(
     return _flat(df, kwic_hits(F.col(text_col), pattern, left, right), text_col, keep)
 
 
+def matches(
+    df: DataFrame,
+    text_col: str,
+    word: str,
+    keep: list[str],
+    regex: bool = False,
+    whole_word: bool = False,
+    case_sensitive: bool = False,
+    language: str | None = None,
+) -> DataFrame:
+    """Hits of a text search without their contexts: all that counting,
+    grouping and dispersion need, at a fraction of the work."""
+    pattern = search_pattern(word, regex, whole_word, case_sensitive, language)
+    body = F.coalesce(F.col(text_col), F.lit(""))
+
+    def with_length(d: Column) -> Column:
+        return F.transform(
+            d["spans"],
+            lambda h: F.struct(
+                h["text"].alias(CORE[1]),
+                h["start"].alias(CORE[3]),
+                h["end"].alias(CORE[4]),
+                d["length"].alias(DOC_LENGTH),
+            ),
+        )
+
+    doc = F.struct(
+        regex_spans(body, pattern).alias("spans"),
+        F.length(body).cast("bigint").alias("length"),
+    )
+    rows = df.filter(F.col(text_col).rlike(pattern)).select(
+        *keep, F.explode(let(doc, with_length)).alias("__hit")
+    )
+    fields = [CORE[1], CORE[3], CORE[4], DOC_LENGTH]
+    return rows.select(*keep, *[F.col(f"__hit.{name}").alias(name) for name in fields])
+
+
 def token_concordance(
     df: DataFrame,
     text_col: str,
@@ -306,7 +344,12 @@ def non_empty(df: DataFrame) -> DataFrame:
 
 
 def with_neighbour_freqs(hits: DataFrame) -> DataFrame:
-    """Add how often each neighbour word occurs as such over all hits."""
+    """Add how often each neighbour word occurs as such over all hits.
+
+    The hits are written to the shared folder first: they are read three times
+    and cost far more to find than to store.
+    """
+    hits = staged(hits, "hits")
     sides = hits.select(
         F.explode(
             F.array(
@@ -466,12 +509,14 @@ def dispersion_detach(
     total_bins: int | None = None,
     matched_texts: list[str] | None = None,
     fold_case: bool = False,
+    merge_copies: bool = False,
 ) -> DataFrame:
     """One row per document: its hits as lists in text order, and the
     extractions as a bulleted text.
 
-    ``id_col`` names the document. Grouped by a text column, copies of a text
-    become one row whose hits are kept once, with the number of copies.
+    ``id_col`` names the document, so a list holds the hits of one text. With
+    ``merge_copies`` it may be the text itself: copies become one row whose
+    hits are kept once, with the number of copies.
     """
     df = hits
     if matched_texts is not None:
@@ -483,14 +528,16 @@ def dispersion_detach(
         df = df.filter(at.isin([int(b) for b in bins]))
     freqs = [c for c in (L1_FREQ, R1_FREQ) if c in hits.columns]
     listed = ["CONC_matched_text", "CONC_l1", "CONC_r1", *freqs]
-    # Identical hits of copies collapse before any list is built.
-    per_hit = df.groupBy(id_col, "CONC_start_idx", *listed, EXTRACTION).agg(
-        F.count(F.lit(1)).alias("__copies"),
-        *[F.min(c).alias(c) for c in metadata or []],
-    )
-    grouped = per_hit.groupBy(id_col).agg(
+    copies = []
+    if merge_copies:
+        # Identical hits of copies collapse before any list is built.
+        df = df.groupBy(id_col, "CONC_start_idx", *listed, EXTRACTION).agg(
+            F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in metadata or []]
+        )
+        copies = [F.max("copies").alias("copies")]
+    grouped = df.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("CONC_start_idx", *listed, EXTRACTION))).alias("h"),
-        F.max("__copies").alias("copies"),
+        *copies,
         *[F.min(c).alias(c) for c in metadata or []],
     )
     bullet = F.transform(
@@ -507,5 +554,5 @@ def dispersion_detach(
         F.array_join(bullet, "\n").alias(EXTRACTION),
         *[F.col(f"h.{c}").alias(c) for c in listed],
         *(metadata or []),
-        "copies",
+        *(["copies"] if merge_copies else []),
     )

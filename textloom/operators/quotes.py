@@ -67,6 +67,14 @@ COLUMNS = [
     "is_floating_quote",
     "quote_row_idx",
 ]
+QUOTE_TYPE = (
+    "array<struct<"
+    + ",".join(
+        f"{c}:{'boolean' if c.startswith('is_') else 'bigint' if c.endswith(('_idx', '_count')) else 'string'}"
+        for c in COLUMNS
+    )
+    + ">>"
+)
 DEFAULT_CONTEXT, MAX_CONTEXT = 20, 2000
 
 
@@ -186,16 +194,22 @@ def quotations(text: Column) -> Column:
         )
         return let(windows, shapes)
 
-    plain = plain_text(body)
-    doc = F.struct(
-        body.alias("text"),
-        chunked(body, bits).alias("chunks"),
-        plain.alias("plain"),
-        chunked(plain, bits).alias("plain_chunks"),
-        regex_spans(plain, QUOTED).alias("spans"),
-        F.length(body).cast("bigint").alias("length"),
+    def with_plain(plain: Column) -> Column:
+        doc = F.struct(
+            body.alias("text"),
+            chunked(body, bits).alias("chunks"),
+            chunked(plain, bits).alias("plain_chunks"),
+            plain.alias("plain"),
+            regex_spans(plain, QUOTED).alias("spans"),
+            F.length(body).cast("bigint").alias("length"),
+        )
+        return let(doc, lambda d: F.transform(d["spans"], lambda q, i: quote(d, q, i)))
+
+    # Texts without a quotation mark are not looked into.
+    marked = body.rlike(f'["{MARKS}]')
+    return F.when(marked, let(plain_text(body), with_plain)).otherwise(
+        F.array().cast(QUOTE_TYPE)
     )
-    return let(doc, lambda d: F.transform(d["spans"], lambda q, i: quote(d, q, i)))
 
 
 def extract_quotations(

@@ -96,9 +96,9 @@ def topic_words(
     rows = df.select(
         F.col(topic_col).alias("topic"), F.explode(token_words(text)).alias("token")
     ).filter(F.col("topic").isNotNull())
-    if language == "en":
-        rows = without_stop_words(rows.filter(F.length("token") > 1), default_stop_words("en"))
     counts = rows.groupBy("topic", "token").agg(F.count(F.lit(1)).alias("n"))
+    if language == "en":
+        counts = without_stop_words(counts.filter(F.length("token") > 1), default_stop_words("en"))
     sizes = counts.groupBy("topic").agg(F.sum("n").alias("size"))
     mean_size = sizes.agg(F.avg("size")).scalar()
     # A word has at most one row per topic, so these windows stay small.

@@ -11,8 +11,8 @@ from textloom.functions.stopwords import default_stop_words
 from textloom.operators import annotate, kwic, quotes, sampling, topics, trends
 from textloom.operators.ranks import with_row_index
 from textloom.operators.tokens import read_token_store, tokenise
-from textloom.plans.registry import query, table
-from textloom.plans.texts import WORD, documents, spans_sql
+from textloom.plans.registry import documents, query, table
+from textloom.plans.texts import WORD, spans_sql
 from textloom.session import scratch_path
 from textloom.sources.readers import spread_small_input
 from textloom.streaming.tokens import stream_token_store

@@ -17,7 +17,7 @@ from textloom.operators import columns, combine, predicates, sampling, schema, s
 from textloom.operators.keyness import token_frequencies, top_tokens
 from textloom.operators.ranks import with_row_index
 from textloom.operators.tokens import token_words, tokenise
-from textloom.plans.registry import query, table
+from textloom.plans.registry import documents, query, table
 from textloom.session import scratch_path
 from textloom.sources import readers, writers
 
@@ -43,7 +43,7 @@ def typed_customer(df: DataFrame) -> DataFrame:
 @query("a2_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def a2_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "documents") + ".csv"
-    writers.write_table(table(spark, sf, "documents"), path, "csv")
+    writers.write_table(documents(spark, sf), path, "csv")
     types = {"doc_id": "bigint", "n_chars": "bigint"}
     loaded = readers.load(spark, path)
     return loaded.select(*[F.col(c).cast(types.get(c, "string")) for c in loaded.columns])
@@ -114,7 +114,7 @@ def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
        FROM documents""",
 )
 def a8_archives(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf).select("doc_id", "source", "text")
     return readers.unpack_archives(docs.mapInPandas(zipped, "content binary"))
 
 
@@ -149,7 +149,7 @@ def a10_stage(spark: SparkSession, sf: str) -> DataFrame:
 )
 def a11_csv_texts(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "words")
-    words = table(spark, sf, "documents").select(
+    words = documents(spark, sf).select(
         "doc_id", "lang", token_words(F.col("text")).alias("words")
     )
     writers.write_table(words, path, "csv")
@@ -201,7 +201,7 @@ def a14_export(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a15_visible", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def a15_visible(spark: SparkSession, sf: str) -> DataFrame:
-    return writers.visible(tokenise(table(spark, sf, "documents"), "text"))
+    return writers.visible(tokenise(documents(spark, sf), "text"))
 
 
 # --- B: types and text repair -----------------------------------------------
@@ -228,7 +228,7 @@ def b1_types(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("b2_mojibake", "SELECT doc_id, text FROM documents")
 def b2_mojibake(spark: SparkSession, sf: str) -> DataFrame:
-    broken = table(spark, sf, "documents").select(
+    broken = documents(spark, sf).select(
         "doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text")
     )
     return repair_text_columns(broken, ["text", "doc_id", "missing"])
@@ -387,7 +387,7 @@ def c3_in(spark: SparkSession, sf: str) -> DataFrame:
        WHERE list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['the', 'und'])""",
 )
 def c4_in_list(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").withColumn("words", token_words(F.col("text")))
+    words = documents(spark, sf).withColumn("words", token_words(F.col("text")))
     kept = predicates.filter_rows(words, [where("words", "in", ["the", "und"])])
     return kept.select("doc_id", "lang")
 
@@ -402,7 +402,7 @@ def c5_contains(spark: SparkSession, sf: str) -> DataFrame:
         where("text", "contains", "TION"),
         where("text", "contains", "The", case_sensitive=True, negate=True),
     ]
-    return predicates.filter_rows(table(spark, sf, "documents"), tests).select("doc_id", "n_chars")
+    return predicates.filter_rows(documents(spark, sf), tests).select("doc_id", "n_chars")
 
 
 @query(
@@ -411,7 +411,7 @@ def c5_contains(spark: SparkSession, sf: str) -> DataFrame:
 )
 def c6_contains_regex(spark: SparkSession, sf: str) -> DataFrame:
     test = where("text", "contains", "(heit|keit|mente) [a-z]+ung", regex=True)
-    return predicates.filter_rows(table(spark, sf, "documents"), [test]).select("doc_id")
+    return predicates.filter_rows(documents(spark, sf), [test]).select("doc_id")
 
 
 @query(
@@ -545,7 +545,7 @@ def d1_replace_all(spark: SparkSession, sf: str) -> DataFrame:
               regexp_replace(text, '([A-Z])([a-z]+)', '\\2-\\1') AS grouped FROM documents""",
 )
 def d2_replace_first(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     docs = columns.find_replace(
         docs, "text", "[aeiou]+", "#", count="first", n=2, output="literal"
     )
@@ -691,7 +691,7 @@ def e4_sample_fraction(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e5_sample_rows", hashed_sql("documents", "doc_id", 3, "doc_id, lang", "150"))
 def e5_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_rows(table(spark, sf, "documents"), "doc_id", 150, seed=3).select("doc_id", "lang")
+    return sampling.sample_rows(documents(spark, sf), "doc_id", 150, seed=3).select("doc_id", "lang")
 
 
 @query(
@@ -710,7 +710,7 @@ TOKEN_COUNTS = """(SELECT token, count(*) AS frequency FROM (
 
 @query("e7_top_tokens", f"SELECT * FROM {TOKEN_COUNTS} ORDER BY frequency DESC, token LIMIT 200")
 def e7_top_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return top_tokens(token_frequencies(table(spark, sf, "documents"), "text"), 40)
+    return top_tokens(token_frequencies(documents(spark, sf), "text"), 40)
 
 
 @query(
@@ -834,8 +834,8 @@ def f8_suffix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def word_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    first = table(spark, sf, "documents").select("lang", "source")
-    second = table(spark, sf, "documents").select("source", F.upper("lang").alias("lang"))
+    first = documents(spark, sf).select("lang", "source")
+    second = documents(spark, sf).select("source", F.upper("lang").alias("lang"))
     return first, second
 
 
@@ -868,7 +868,7 @@ def g4_stack_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g5_distinct", "SELECT DISTINCT source AS value FROM documents")
 def g5_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return combine.distinct_values(table(spark, sf, "documents"), "source")
+    return combine.distinct_values(documents(spark, sf), "source")
 
 
 @query(
@@ -885,7 +885,7 @@ def g5_distinct_summary(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS value FROM documents",
 )
 def g6_distinct_elements(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(token_words(F.col("text")).alias("words"))
+    words = documents(spark, sf).select(token_words(F.col("text")).alias("words"))
     return combine.distinct_values(words, "words")
 
 
@@ -898,7 +898,7 @@ def g6_distinct_elements(spark: SparkSession, sf: str) -> DataFrame:
 )
 def g6_element_summary(spark: SparkSession, sf: str) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit("ung[a-z]*"), F.lit(0))
-    return combine.distinct_summary(table(spark, sf, "documents").select(found.alias("w")), "w")
+    return combine.distinct_summary(documents(spark, sf).select(found.alias("w")), "w")
 
 
 # --- H: aggregates ----------------------------------------------------------
@@ -1034,7 +1034,7 @@ def j2_unique(spark: SparkSession, sf: str) -> DataFrame:
        FROM documents""",
 )
 def j3_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("pattern", F.concat("source", F.lit(".a+b")))
+    docs = documents(spark, sf).withColumn("pattern", F.concat("source", F.lit(".a+b")))
     names = {"low": "to_lowercase", "chars": "len_chars", "bytes": "len_bytes"}
     return docs.select(
         "doc_id",
@@ -1157,7 +1157,7 @@ def j6_booleans(spark: SparkSession, sf: str) -> DataFrame:
               len(list_distinct(w)) AS kinds, array_to_string(list_sort(w), ' ') AS sorted FROM w""",
 )
 def j7_lists(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select(
+    rows = documents(spark, sf).select(
         "doc_id", F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)).alias("w")
     )
     return rows.select(

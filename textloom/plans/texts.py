@@ -9,17 +9,12 @@ from textloom.functions import stopwords
 from textloom.operators import keyness, kwic, tokens
 from textloom.operators.columns import add_columns
 from textloom.operators.sampling import head_and_tail
-from textloom.plans.registry import query, table
+from textloom.plans.registry import documents, query, table
 from textloom.session import scratch_path
-from textloom.sources.readers import spread_small_input
 
 WORD = "[\\p{L}\\p{N}]+"
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_small_input(table(spark, sf, "documents"))
-
-
 # --- SQL building blocks ----------------------------------------------------
 
 
@@ -259,7 +254,7 @@ def k8_language(spark: SparkSession, sf: str) -> DataFrame:
          FROM documents) WHERE w = 'the' GROUP BY doc_id""",
 )
 def k9_whole_word(spark: SparkSession, sf: str) -> DataFrame:
-    hits = kwic.concordance(documents(spark, sf), "text", "the", ["doc_id"], whole_word=True)
+    hits = kwic.matches(documents(spark, sf), "text", "the", ["doc_id"], whole_word=True)
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -491,7 +486,7 @@ def k21_detach(spark: SparkSession, sf: str) -> DataFrame:
         FROM {spans_sql("documents", "doc_id", "(?i)the[a-z]")} GROUP BY doc_id""",
 )
 def k22_hits_by_document(spark: SparkSession, sf: str) -> DataFrame:
-    hits = kwic.concordance(documents(spark, sf), "text", "the[a-z]", ["doc_id"], regex=True)
+    hits = kwic.matches(documents(spark, sf), "text", "the[a-z]", ["doc_id"], regex=True)
     grouped = kwic.hits_by_document(
         hits.select("doc_id", "CONC_start_idx", "CONC_matched_text"), "doc_id"
     )
@@ -514,7 +509,7 @@ def k22_hits_by_document(spark: SparkSession, sf: str) -> DataFrame:
 )
 def h4_hit_summary(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    return kwic.hit_summary(kwic.concordance(docs, "text", "und", ["doc_id"]), "doc_id", docs)
+    return kwic.hit_summary(kwic.matches(docs, "text", "und", ["doc_id"]), "doc_id", docs)
 
 
 FINE = f"""(SELECT *, least(99, greatest(0, floor(start / length(text) * 100))) AS bin
@@ -527,7 +522,7 @@ FINE = f"""(SELECT *, least(99, greatest(0, floor(start / length(text) * 100)))
         FROM {FINE} GROUP BY 1, 2""",
 )
 def k23_dispersion(spark: SparkSession, sf: str) -> DataFrame:
-    hits = kwic.concordance(documents(spark, sf), "text", "the|und", ["doc_id"], regex=True)
+    hits = kwic.matches(documents(spark, sf), "text", "the|und", ["doc_id"], regex=True)
     return kwic.dispersion(hits)
 
 
@@ -538,7 +533,7 @@ def k23_dispersion(spark: SparkSession, sf: str) -> DataFrame:
 )
 def k24_rebin(spark: SparkSession, sf: str) -> DataFrame:
     keep = ["doc_id", "lang"]
-    hits = kwic.concordance(documents(spark, sf), "text", "the|und", keep, regex=True)
+    hits = kwic.matches(documents(spark, sf), "text", "the|und", keep, regex=True)
     fine = kwic.dispersion(hits, ["lang"])
     return kwic.rebin(fine, 20, merge_case=True, by=["lang"])
 
@@ -565,7 +560,7 @@ def joined_lists(df: DataFrame) -> DataFrame:
     bullets_sql(
         kwic_sql("documents", "doc_id, lang", "(?i)the|und", 3, 3),
         "doc_id",
-        ", min(lang) AS lang, CAST(1 AS BIGINT) AS copies",
+        ", min(lang) AS lang",
         "lower(matched) IN ('the') AND floor(start / doc_length * 4) IN (0, 3)",
     ),
 )
@@ -593,7 +588,7 @@ def k25_dispersion_detach(spark: SparkSession, sf: str) -> DataFrame:
 )
 def k25_detach_by_text(spark: SparkSession, sf: str) -> DataFrame:
     hits = kwic.concordance(documents(spark, sf), "text", "heron", ["text"], left=3, right=3)
-    return joined_lists(kwic.dispersion_detach(hits, "text"))
+    return joined_lists(kwic.dispersion_detach(hits, "text", merge_copies=True))
 
 
 # --- frequencies and keyness ------------------------------------------------
