@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.spans import (
@@ -19,7 +19,7 @@ from textloom.functions.spans import (
     regex_spans,
 )
 from textloom.functions.stopwords import NO_WORD_BOUNDARY
-from textloom.operators.ranks import spread_lookup, with_row_index
+from textloom.operators.ranks import rows_between, spread_lookup, with_row_index
 from textloom.session import staged
 
 # The output columns.
@@ -389,15 +389,13 @@ def document_page(
         raise ValueError("page and page_size start at 1")
     keys = [F.desc_nulls_last(order_by[0]) if descending else F.asc_nulls_last(order_by[0])]
     keys += [F.asc(c) for c in order_by[1:]]
-    return df.orderBy(*keys).offset((page - 1) * page_size).limit(page_size)
+    return rows_between(df, keys, (page - 1) * page_size, page_size)
 
 
 def estimate_page_size(
     df: DataFrame, text_col: str, pattern: str, order_by: list[str]
 ) -> DataFrame:
     """Smallest page size whose first page has enough hits, else the largest."""
-    from pyspark.sql import Window
-
     first = df.orderBy(*order_by).limit(PAGE_SIZES[-1])
     # At most one hundred rows reach the window.
     ranked = first.select(

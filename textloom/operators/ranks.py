@@ -41,6 +41,28 @@ def with_row_index(
     )
 
 
+SMALL_SLICE = 10_000
+
+
+def rows_between(
+    df: DataFrame, order_by: list[str | Column], offset: int, length: int | None
+) -> DataFrame:
+    """``length`` rows after the first ``offset``, in the order of ``order_by``.
+
+    Near the start this is a top-k. Any other stretch is cut by row number, so
+    that it never passes through one task.
+    """
+    if offset < 0 or (length is not None and length < 0):
+        raise ValueError("offset and length are not negative")
+    if length is not None and offset + length <= SMALL_SLICE:
+        return df.orderBy(*order_by).offset(offset).limit(length)
+    numbered = with_row_index(df, order_by, "__row")
+    wanted = F.col("__row") > offset
+    if length is not None:
+        wanted = wanted & (F.col("__row") <= offset + length)
+    return numbered.filter(wanted).drop("__row")
+
+
 def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     """Keys with a large share of all rows: at most HOT_SHARE of them."""
     total = counts.agg(F.sum(n).alias("t")).scalar()
@@ -57,11 +79,9 @@ def spread_lookup(df: DataFrame, table: DataFrame, key: str, value: str) -> Data
     hot = hot_keys(table, key, value).withColumnRenamed(value, "__hot")
     tagged = df.join(F.broadcast(hot), key, "left")
     rare = F.col("__hot").isNull() & F.col(key).isNotNull()
-    salt = F.when(rare, F.lit(0)).otherwise(
-        F.lit(1) + F.pmod(F.xxhash64("CONC_start_idx", "CONC_end_idx", "CONC_left_context"), SPREAD)
-        if {"CONC_start_idx", "CONC_left_context"} <= set(df.columns)
-        else F.lit(1) + F.pmod(F.xxhash64(*df.columns), SPREAD)
-    )
+    # Rows are told apart by all their columns, so copies of a text spread too.
+    spread = F.lit(1) + F.pmod(F.xxhash64(*df.columns), SPREAD)
+    salt = F.when(rare, F.lit(0)).otherwise(spread)
     salted = tagged.withColumn("__salt", salt.cast("int"))
     cold = table.withColumns({"__cold": F.col(value), "__salt": F.lit(0)}).drop(value)
     joined = salted.join(cold, [key, "__salt"], "left")

@@ -12,10 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.ranks import with_row_index
+from textloom.operators.ranks import rows_between
 
 HASH_DIGITS = 4  # 16**4 prefixes
-SMALL_SLICE = 10_000
 
 
 def hash_order(id_col: str, seed: int) -> Column:
@@ -106,20 +105,8 @@ def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
 def slice_rows(
     df: DataFrame, order_by: list[str], offset: int = 0, length: int | None = None
 ) -> DataFrame:
-    """Rows ``offset`` .. ``offset + length`` in the order of ``order_by``.
-
-    A small slice near the start is a top-k; any other one is cut by row number
-    so that it never passes through one task.
-    """
-    if offset < 0 or (length is not None and length < 0):
-        raise ValueError("offset and length are not negative")
-    if length is not None and offset + length <= SMALL_SLICE:
-        return df.orderBy(*order_by).offset(offset).limit(length)
-    ranked = with_row_index(df, order_by, "__row")
-    keep = F.col("__row") > offset
-    if length is not None:
-        keep = keep & (F.col("__row") <= offset + length)
-    return ranked.filter(keep).drop("__row")
+    """Rows ``offset`` .. ``offset + length``, or all after ``offset``."""
+    return rows_between(df, order_by, offset, length)
 
 
 def table_page(
@@ -141,7 +128,7 @@ def table_page(
         order.insert(0, first)
     elif sort_by == id_col and descending:
         order = [F.desc_nulls_last(id_col)]
-    rows = df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
+    rows = rows_between(df, order, (page - 1) * page_size, page_size)
     return rows.withColumn("total_rows", total)
 
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.operators.schema import col, logical_type
 
 QUANTILES = (0.25, 0.5, 0.75)
-ACCURACY = 100_000
+ACCURACY = 10_000
+FEW_ROWS = 200_000  # values that one task may sort
+SAMPLE = 100_000
+MARGIN = 0.01
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -18,57 +26,115 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...]) -> DataFrame:
-    """Exact quantiles by nearest rank: one row with columns q0, q1, ...
+@dataclass
+class Bracket:
+    """Where the value of one rank lies: strictly between ``low`` and ``high``.
+
+    ``below`` values lie before the bracket and ``inside`` ones in it. Without
+    limits it holds everything.
+    """
 
-    A sketch first brackets every rank. Then one pass counts the values inside
-    the brackets, a tiny share of the column, one by one and all others in
-    bulk, and the ranks are read off the running counts. Equal values count as
-    one group, so frequent values cost nothing.
+    rank: int
+    below: int
+    inside: int
+    low: Any = None
+    high: Any = None
+    margin: float = MARGIN
+    answer: Any = None
+
+    @property
+    def holds(self) -> Column:
+        v = F.col("v")
+        if self.low is None:
+            return v.isNotNull()
+        return (v > F.lit(self.low)) & (v < F.lit(self.high))
+
+    @property
+    def points(self) -> list[float]:
+        at = (self.rank - self.below) / self.inside
+        return [max(0.0, at - self.margin), min(1.0, at + self.margin)]
+
+    def settle(self, low: Any, high: Any, smaller: int, lows: int, mid: int, highs: int) -> None:
+        """Take over new limits, given how many values lie around them."""
+        if smaller < self.rank <= smaller + lows:
+            self.answer = low
+        elif smaller + lows + mid < self.rank <= smaller + lows + mid + highs:
+            self.answer = high
+        elif smaller + lows < self.rank <= smaller + lows + mid:
+            self.low, self.high, self.below, self.inside = low, high, smaller + lows, mid
+        else:
+            self.margin *= 2  # the sample misled; the old limits still hold
+
+
+def exact_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...]) -> list:
+    """Exact quantiles by nearest rank, as Python values (None without rows).
+
+    Every rank is held in a bracket of values that a sample narrows and exact
+    counts confirm, until few enough rows are left to sort. The driver sees a
+    handful of numbers per round, and a round shrinks a bracket some fifty
+    times. Values that many rows share become limits and drop out.
     """
     values = df.select(col(column).alias("v")).filter(F.col("v").isNotNull())
-    slack = 4 / ACCURACY
-    points = [min(max(q + d, 0.0), 1.0) for q in quantiles for d in (-slack, slack)]
-    sketch = values.agg(
-        F.percentile_approx("v", points, ACCURACY).alias("p"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.count(F.lit(1)).alias("n"),
+    n = values.count()
+    if not n:
+        return [None] * len(quantiles)
+    brackets = [Bracket(math.floor(q * (n - 1) + 0.5) + 1, 0, n) for q in quantiles]
+    while wide := [b for b in brackets if b.answer is None and b.inside > FEW_ROWS]:
+        _narrow(values, wide)
+    _finish(values, [b for b in brackets if b.answer is None])
+    return [b.answer for b in brackets]
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda x, y: x | y, tests)
+
+
+def _narrow(values: DataFrame, brackets: list[Bracket]) -> None:
+    """One round: guess smaller brackets from a sample, then count them exactly."""
+    share = min(1.0, SAMPLE / min(b.inside for b in brackets))
+    near = values.filter(_any([b.holds for b in brackets]))
+    sample = near.sample(share, seed=brackets[0].inside % 1009)
+    guesses = sample.agg(
+        *[F.percentile_approx(F.when(b.holds, F.col("v")), b.points, ACCURACY) for b in brackets]
+    ).first()
+    v, counts = F.col("v"), []
+    known = [(b, guess) for b, guess in zip(brackets, guesses, strict=True) if guess]
+    for _, (low, high) in known:
+        middle = (v > F.lit(low)) & (v < F.lit(high))
+        above = F.lit(low != high) & (v == F.lit(high))
+        counts += [F.count_if(t) for t in (v < F.lit(low), v == F.lit(low), middle, above)]
+    if not counts:
+        return
+    seen = values.agg(*counts).first()
+    for i, (b, (low, high)) in enumerate(known):
+        b.settle(low, high, *seen[4 * i : 4 * i + 4])
+
+
+def _finish(values: DataFrame, brackets: list[Bracket]) -> None:
+    """Rank the rows left in the brackets, FEW_ROWS each at most."""
+    if not brackets:
+        return
+    counts = values.filter(_any([b.holds for b in brackets])).groupBy("v").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    fields = []
-    for i, q in enumerate(quantiles):
-        low = F.col("least") if q <= slack else F.get("p", F.lit(2 * i))
-        high = F.col("most") if q >= 1 - slack else F.get("p", F.lit(2 * i + 1))
-        rank = (F.round(F.lit(q) * (F.col("n") - 1)) + 1).cast("bigint")
-        fields += [low.alias(f"low{i}"), high.alias(f"high{i}"), rank.alias(f"rank{i}")]
-    plan = sketch.select(F.struct(*fields)).scalar()
-
-    inside, gap = F.lit(False), F.lit(0)
-    for i in range(len(quantiles)):
-        inside = inside | F.col("v").between(plan[f"low{i}"], plan[f"high{i}"])
-        gap = gap + F.when(F.col("v") >= plan[f"low{i}"], 1).otherwise(0)
-    counted = values.groupBy(
-        F.when(inside, F.col("v")).alias("own"), F.when(~inside, gap).alias("gap")
-    ).agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    running = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    return running.agg(
-        *[
-            F.max(
-                F.when(
-                    (F.col("upto") >= plan[f"rank{i}"])
-                    & (F.col("upto") - F.col("n") < plan[f"rank{i}"]),
-                    F.col("own"),
-                )
-            ).alias(f"q{i}")
-            for i in range(len(quantiles))
-        ]
+    upto = Window.orderBy("v")
+    running = counts.withColumns(
+        {
+            f"u{i}": F.sum(F.when(b.holds, F.col("n")).otherwise(0)).over(upto)
+            for i, b in enumerate(brackets)
+        }
     )
+    reached = [b.holds & (F.col(f"u{i}") >= b.rank - b.below) for i, b in enumerate(brackets)]
+    found = running.agg(*[F.min(F.when(r, F.col("v"))) for r in reached]).first()
+    for b, value in zip(brackets, found, strict=True):
+        b.answer = value
 
 
 def describe(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """One row: count, nulls, mean, spread, extremes and quartiles.
 
-    Numbers come out as doubles, times as ISO texts. ``exact=False`` takes the
+    Numbers come out as doubles, times as ISO texts. Exact quartiles run a few
+    jobs at once; ``exact=False`` takes the
     quartiles from a sketch in the same pass.
     """
     data_type = df.schema[column].dataType
@@ -120,9 +186,12 @@ def describe(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     names = ["percentile_25", "median", "percentile_75"]
     if temporal or numeric:
         if exact:
-            quartiles = exact_quantiles(numbers.select("v"), "v", QUANTILES)
-            points = quartiles.select(F.struct("q0", "q1", "q2")).scalar()
-            out = out.withColumns({f"q{i}": shown(points[f"q{i}"]) for i in range(3)})
+            ordered = F.unix_micros("v") if temporal else F.col("v")
+            found = exact_quantiles(numbers.select(ordered.alias("v")), "v", QUANTILES)
+            for i, value in enumerate(found):
+                point = F.lit(value).cast("bigint" if temporal else data_type)
+                point = F.timestamp_micros(point) if temporal else point
+                out = out.withColumn(f"q{i}", shown(point))
     else:
         out = out.withColumns({f"q{i}": F.lit(None).cast("string") for i in range(3)})
     return out.select(

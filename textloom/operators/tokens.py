@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from textloom.functions.spans import regex_spans
+from textloom.operators.ranks import salted_join
 
 # Rule tokenisers. Punctuation is never part of a token. ``char`` gives one
 # token per CJK character and whole runs for the other scripts.
@@ -173,14 +174,17 @@ def compact_store(spark: SparkSession, path: str, target: str, schema: str, file
 def tokenise_from_store(df: DataFrame, text_col: str, path: str, model: str = "word") -> DataFrame:
     """Bring the store up to date and attach its tokens to every row.
 
-    Every text's hash is unique in the store, so copies only repeat on the
-    table's side, where adaptive execution splits a hot partition.
+    A text with very many copies is a hot join key on the table's side; such
+    keys are salted.
     """
     update_token_store(df, text_col, path, model)
-    stored = read_token_store(df.sparkSession, path).withColumnRenamed("text_hash", "__hash")
-    joined = df.withColumn("__hash", content_key(F.col(text_col))).join(stored, "__hash", "left")
-    tokens = F.col("tokens")
-    return tokenise(joined, text_col, model, tokens=tokens).drop("__hash", "tokens")
+    stored = read_token_store(df.sparkSession, path).withColumnsRenamed(
+        {"text_hash": "__stored", "tokens": "__tokens"}
+    )
+    hashed = df.withColumn("__hash", content_key(F.col(text_col)))
+    joined = salted_join(hashed, stored, "__hash", "__stored", "left")
+    named = tokenise(joined, text_col, model, tokens=F.col("__tokens"))
+    return named.drop("__hash", "__stored", "__tokens")
 
 
 # --- incremental vector store -----------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.textfix import repair_text_columns
+from textloom.operators.ranks import rows_between
 from textloom.operators.schema import col
 
 # Formats by file extension, text members of an archive.
@@ -187,7 +188,7 @@ def preview(df: DataFrame, order_by: list[str], page: int = 0, size: int = 20) -
     """One page of a table as texts, nulls shown as ``None``."""
     if page < 0 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"page is 0 or more and size 1 to {MAX_PAGE}")
-    rows = df.orderBy(*order_by).offset(page * size).limit(size)
+    rows = rows_between(df, order_by, page * size, size)
     return rows.select(
         *[F.coalesce(col(c).cast("string"), F.lit("None")).alias(c) for c in df.columns]
     )
