@@ -72,8 +72,9 @@ def search_pattern(
     return ("(?U)" if case_sensitive else "(?i)(?U)") + body
 
 
-def _words(count: int) -> str:
-    return rf"(?U)^\s*(\S++(?:\s++\S++){{0,{max(count, 1) - 1}}})"
+def _words(count: int, least: int = 1) -> str:
+    """Between ``least`` and ``count`` words at the start of a text."""
+    return rf"(?U)^\s*(\S++(?:\s++\S++){{{least - 1},{max(count, 1) - 1}}})"
 
 
 def kwic_hits(text: Column, pattern: str, left: int = 10, right: int = 10) -> Column:
@@ -88,18 +89,19 @@ def kwic_hits(text: Column, pattern: str, left: int = 10, right: int = 10) -> Co
     body = F.coalesce(text, F.lit(""))
 
     def words_in(near: list[tuple[Column, Column]], count: int) -> Column:
-        """Words at the start of the first window that holds them for sure."""
+        """Words at the start of the first window that holds them for sure: all
+        of them with a space behind, or the window is the whole side."""
         window, is_all = near[0]
         if len(near) == 1:
             return F.regexp_extract(window, _words(count), 1)
+        full = _words(count, max(count, 1)) + r"\s"
 
         def found(w: Column) -> Column:
-            words = F.regexp_extract(w, _words(count), 1)
             return let(
-                words,
-                lambda x: F.when(
-                    is_all | ((x != "") & (F.instr(w, x) - 1 + F.length(x) < F.length(w))), x
-                ).otherwise(words_in(near[1:], count)),
+                F.regexp_extract(w, full, 1),
+                lambda x: F.when(x != "", x)
+                .when(is_all, F.regexp_extract(w, _words(count), 1))
+                .otherwise(words_in(near[1:], count)),
             )
 
         return let(window, found)

@@ -43,7 +43,7 @@ VERBS = (
     "insisted insists warned warns admitted admits suggested suggests declared declares"
 ).split()
 VERB = "(?:" + "|".join(VERBS) + ")"
-NAME = r"[A-Z][A-Za-z'.-]*"
+NAME = r"(?:(?:Mr|Mrs|Ms|Dr|Prof|St)\.|[A-Z]\.|[A-Z][A-Za-z'-]*)"
 SPEAKER = rf"(?:{NAME}(?: {NAME}){{0,3}}|he|she|they|it|we|I|you)"
 QUOTED = r'"[^"\n]+"'
 REACH = 80
