@@ -430,16 +430,16 @@ def interleave(
     ``position`` is the place in the combined view and ``__source_node`` the
     table of origin.
     """
-    both = None
-    for side, (df, name) in enumerate(((left, left_name), (right, right_name))):
-        ranked = with_row_index(df, order_by, "__rank").withColumns(
-            {"__side": F.lit(side), "__source_node": F.lit(name)}
-        )
-        both = ranked if both is None else both.unionByName(ranked, allowMissingColumns=True)
-    n_left, n_right = (
-        t.agg(F.count(F.lit(1)).alias("n")).scalar() for t in (left, right)
+    ranked = [with_row_index(df, order_by, "__rank") for df in (left, right)]
+    # The numbered rows are stored, so their counts do not search again.
+    shared = F.least(
+        *[F.coalesce(t.agg(F.max("__rank")).scalar(), F.lit(0).cast("bigint")) for t in ranked]
     )
-    shared = F.least(n_left, n_right)
+    tagged = [
+        t.withColumns({"__side": F.lit(side), "__source_node": F.lit(name)})
+        for side, (t, name) in enumerate(zip(ranked, (left_name, right_name), strict=True))
+    ]
+    both = tagged[0].unionByName(tagged[1], allowMissingColumns=True)
     paired = 2 * (F.col("__rank") - 1) + F.col("__side") + 1
     place = F.when(F.col("__rank") <= shared, paired).otherwise(F.col("__rank") + shared)
     return both.withColumn("position", place.cast("bigint")).drop("__rank", "__side")

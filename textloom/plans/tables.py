@@ -910,7 +910,7 @@ def g6_element_summary(spark: SparkSession, sf: str) -> DataFrame:
               round(sum(l_quantity), 4) AS sum_qty,
               CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE)
                 AS revenue,
-              round(avg(l_discount), 6) AS avg_disc, count(DISTINCT l_suppkey) AS suppliers
+              CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS avg_disc, count(DISTINCT l_suppkey) AS suppliers
        FROM lineitem GROUP BY 1, 2, 3""",
 )
 def h1_group(spark: SparkSession, sf: str) -> DataFrame:
@@ -920,7 +920,7 @@ def h1_group(spark: SparkSession, sf: str) -> DataFrame:
         [
             "sum_qty = round(sum(l_quantity), 4)",
             "revenue = CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE)",
-            "avg_disc = round(avg(l_discount), 6)",
+            "avg_disc = CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) / count(*)",
             "suppliers = count(DISTINCT l_suppkey)",
         ],
         keys=["l_returnflag", "l_linestatus", "ship_year = year(l_shipdate)"],
