@@ -278,7 +278,8 @@ def test_row_index_with_uneven_partitions(spark):
 # --- joins ------------------------------------------------------------------
 
 
-def test_join_kinds(spark):
+def test_join_kinds(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "HOT_ROWS", 1)
     left = spark.createDataFrame([(1, "a", 9), (2, "b", 8), (None, "n", 7)], "k int, v string, x int")
     right = spark.createDataFrame([(1, "A"), (1, "AA"), (3, "C"), (None, "N")], "k int, v string")
 
@@ -301,9 +302,13 @@ def test_join_kinds(spark):
         combine.join_tables(left, right, how="inner")
 
 
-def test_hot_keys_are_spread(spark):
+@pytest.mark.parametrize("least", [1, 1000])
+def test_hot_keys_are_spread(spark, monkeypatch, least):
+    monkeypatch.setattr(ranks, "HOT_ROWS", least)
     left = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(0, 3000, 2).select(F.col("id").alias("k2"), (F.col("id") * 3).alias("w"))
+    salts = ranks.salted_join(left, right, "k", "k2", "left")
+    assert salts.count() == 3000
     for how in ("inner", "left"):
         salted = combine.join_tables(left, right, "k", "k2", how, spread_hot_keys=True)
         assert rows(salted) == rows(combine.join_tables(left, right, "k", "k2", how))

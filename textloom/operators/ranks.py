@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.session import staged
 
 HOT_SHARE = 1000  # a key is hot if it holds at least 1/HOT_SHARE of the rows
+HOT_ROWS = 1000  # and, to be worth a salt, this many rows
 SPREAD = 64
 ROW_BITS = 33  # of monotonically_increasing_id: the lower bits count rows
 
@@ -99,7 +100,8 @@ def salted_join(
     if how not in ("inner", "left"):
         raise ValueError("salting works for inner and left joins")
     counts = left.groupBy(F.col(left_on).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    hot = F.broadcast(hot_keys(counts, "__key", "__n").select("__key", F.lit(True).alias("__hot")))
+    frequent = hot_keys(counts, "__key", "__n").filter(F.col("__n") >= HOT_ROWS)
+    hot = F.broadcast(frequent.select("__key", F.lit(True).alias("__hot")))
     pick = F.pmod(F.xxhash64(*left.columns), SPREAD).cast("int")
     l_side = (
         left.join(hot, left[left_on] == hot["__key"], "left")

@@ -110,10 +110,15 @@ def drop_derived(df: DataFrame, name: str) -> DataFrame:
 
 
 def explode_tokens(df: DataFrame, tokens_col: str, keep: list[str]) -> DataFrame:
-    """One row per token: the kept columns, then token, start and end."""
-    return df.select(*keep, F.explode(tokens_col).alias("t")).select(
-        *keep, F.col("t.token"), F.col("t.start"), F.col("t.end")
-    )
+    """One row per token: the kept columns, then token, start and end.
+
+    The generator reads an expression, not the bare column: for a bare column
+    Spark adds a filter on its size below all that comes before, and a column
+    that is still to be computed would be computed twice more there.
+    """
+    fields = ("token", "start", "end")
+    parts = F.transform(F.col(f"`{tokens_col}`"), lambda t: F.struct(*[t[f].alias(f) for f in fields]))
+    return df.select(*keep, F.explode(parts).alias("t")).select(*keep, "t.token", "t.start", "t.end")
 
 
 # --- incremental token store ------------------------------------------------

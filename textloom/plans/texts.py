@@ -349,13 +349,14 @@ def f10_token_neighbour_freqs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k14_token_hits",
-    f"""SELECT doc_id, count(*) AS hits, min(matched) AS least, max(stop) AS last_end
-        FROM {token_hits_sql("documents", "doc_id", ["the", "der"], 3)} GROUP BY doc_id""",
+    f"""SELECT doc_id, coalesce(hits, 0) AS hits, least, last_end FROM documents LEFT JOIN (
+          SELECT doc_id AS id, count(*) AS hits, min(matched) AS least, max(stop) AS last_end
+          FROM {token_hits_sql("documents", "doc_id", ["the", "der"], 3)} GROUP BY doc_id)
+        ON doc_id = id""",
 )
 def k14_token_hits(spark: SparkSession, sf: str) -> DataFrame:
     hits = kwic.token_hits(F.col("text"), tokens.token_spans(F.col("text")), "The DER", 3, 3)
-    rows = documents(spark, sf).select("doc_id", hits.alias("h")).filter(F.size("h") > 0)
-    return rows.select(
+    return documents(spark, sf).select("doc_id", hits.alias("h")).select(
         "doc_id",
         F.size("h").cast("bigint").alias("hits"),
         F.array_min("h.CONC_matched_text").alias("least"),
