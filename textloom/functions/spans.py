@@ -14,7 +14,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 32
-SPAN_TYPE = "array<struct<text:string,start:bigint,end:bigint>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,18 +51,22 @@ def _advance(piece: Column) -> Column:
     return piece["gap"] + piece["len"]
 
 
-def _block_spans(block: Column, base: Column) -> Column:
+def span_type(name: str) -> str:
+    return f"array<struct<{name}:string,start:bigint,end:bigint>>"
+
+
+def _block_spans(block: Column, base: Column, name: str) -> Column:
     """Spans of one block of pieces whose text begins at offset ``base``."""
     return F.aggregate(
         block,
-        F.struct(base.alias("at"), F.array().cast(SPAN_TYPE).alias("out")),
+        F.struct(base.alias("at"), F.array().cast(span_type(name)).alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + _advance(x)).alias("at"),
             F.concat(
                 acc["out"],
                 F.array(
                     F.struct(
-                        x["text"].alias("text"),
+                        x["text"].alias(name),
                         (acc["at"] + x["gap"]).alias("start"),
                         (acc["at"] + _advance(x)).alias("end"),
                     )
@@ -74,7 +77,7 @@ def _block_spans(block: Column, base: Column) -> Column:
     )
 
 
-def _blocked_spans(pieces: Column) -> Column:
+def _blocked_spans(pieces: Column, name: str) -> Column:
     """Spans of many pieces: block totals first, then every block on its own."""
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")),
@@ -93,18 +96,18 @@ def _blocked_spans(pieces: Column) -> Column:
         return let(
             bases,
             lambda b: F.flatten(
-                F.transform(bound, lambda block, i: _block_spans(block, F.get(b, i)))
+                F.transform(bound, lambda block, i: _block_spans(block, F.get(b, i), name))
             ),
         )
 
     return let(blocks, with_bases)
 
 
-def regex_spans(text: Column, pattern: str) -> Column:
+def regex_spans(text: Column, pattern: str, name: str = "text", fold: bool = False) -> Column:
     """All matches of ``pattern`` as ``array<struct<text, start, end>>``.
 
     Offsets are zero-based characters, ``end`` exclusive. Null gives an empty
-    array.
+    array. ``name`` is the field of the matched text, lower-cased with ``fold``.
     """
     check_pattern(pattern)
     body = F.coalesce(text, F.lit(""))
@@ -117,7 +120,7 @@ def regex_spans(text: Column, pattern: str) -> Column:
         measured = F.transform(
             b["found"],
             lambda x, i: F.struct(
-                x.alias("text"),
+                (F.lower(x) if fold else x).alias("text"),
                 F.length(F.get(b["gaps"], i)).cast("bigint").alias("gap"),
                 F.length(x).cast("bigint").alias("len"),
             ),
@@ -128,9 +131,9 @@ def regex_spans(text: Column, pattern: str) -> Column:
 
     return let(
         let(both, pieces),
-        lambda p: F.when(F.size(p) == 0, F.array().cast(SPAN_TYPE))
-        .when(F.size(p) <= BLOCK, _block_spans(p, _long(0)))
-        .otherwise(_blocked_spans(p)),
+        lambda p: F.when(F.size(p) == 0, F.array().cast(span_type(name)))
+        .when(F.size(p) <= BLOCK, _block_spans(p, _long(0), name))
+        .otherwise(_blocked_spans(p, name)),
     )
 
 

@@ -42,14 +42,7 @@ def token_words(text: Column, model: str = "word", lowercase: bool | None = None
 def token_spans(text: Column, model: str = "word", lowercase: bool | None = None) -> Column:
     """Tokens with character offsets into the untouched text."""
     fold = model not in CASE_FREE_MODELS if lowercase is None else lowercase
-    return F.transform(
-        regex_spans(text, model_pattern(model)),
-        lambda s: F.struct(
-            (F.lower(s["text"]) if fold else s["text"]).alias("token"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-        ),
-    )
+    return regex_spans(text, model_pattern(model), "token", fold)
 
 
 def derived_name(source: str, model: str, form: str = "tokens") -> str:

@@ -12,7 +12,7 @@ from textloom.operators import annotate, kwic, quotes, sampling, topics, trends
 from textloom.operators.ranks import with_row_index
 from textloom.operators.tokens import read_token_store, tokenise
 from textloom.plans.registry import documents, query, table
-from textloom.plans.texts import WORD, spans_sql
+from textloom.plans.texts import WORD, kwic_sql, spans_sql
 from textloom.session import scratch_path
 from textloom.sources.readers import spread_small_input
 from textloom.streaming.tokens import stream_token_store
@@ -706,20 +706,22 @@ def h6_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "h7_lists_by_group",
-    """SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles,
-              min(length(text)) AS shortest FROM conversations GROUP BY conv_id""",
+    "h7_lists_by_document",
+    f"""SELECT doc_id, lang, source, string_agg(matched, '|' ORDER BY start) AS matched,
+               string_agg(l1, '|' ORDER BY start) AS l1
+        FROM {kwic_sql("documents", "doc_id, lang, source", "(?i)[a-z]+ ?= ?[^ ]+", 2, 2)}
+        GROUP BY doc_id, lang, source""",
 )
-def h7_lists_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").select(
-        "conv_id", F.col("turn").alias("CONC_start_idx"), "role", F.length("text").alias("n")
+def h7_lists_by_document(spark: SparkSession, sf: str) -> DataFrame:
+    keep = ["doc_id", "lang", "source"]
+    hits = kwic.concordance(
+        documents(spark, sf), "text", "[a-z]+ ?= ?[^ ]+", keep, left=2, right=2, regex=True
     )
-    grouped = kwic.hits_by_document(turns, "conv_id")
-    return grouped.select(
-        "conv_id",
-        F.size("hits").cast("bigint").alias("turns"),
-        F.array_join("hits.role", ">").alias("roles"),
-        F.array_min("hits.n").cast("bigint").alias("shortest"),
+    rows = kwic.dispersion_detach(hits, "doc_id", ["lang", "source"])
+    return rows.select(
+        *keep,
+        F.array_join("CONC_matched_text", "|").alias("matched"),
+        F.array_join("CONC_l1", "|").alias("l1"),
     )
 
 
