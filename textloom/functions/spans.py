@@ -62,14 +62,12 @@ def _block_spans(block: Column, base: Column, name: str) -> Column:
         F.struct(base.alias("at"), F.array().cast(span_type(name)).alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + _advance(x)).alias("at"),
-            F.concat(
+            F.array_append(
                 acc["out"],
-                F.array(
-                    F.struct(
-                        x["text"].alias(name),
-                        (acc["at"] + x["gap"]).alias("start"),
-                        (acc["at"] + _advance(x)).alias("end"),
-                    )
+                F.struct(
+                    x["text"].alias(name),
+                    (acc["at"] + x["gap"]).alias("start"),
+                    (acc["at"] + _advance(x)).alias("end"),
                 ),
             ).alias("out"),
         ),
@@ -91,7 +89,7 @@ def _blocked_spans(pieces: Column, name: str) -> Column:
         bases = F.aggregate(
             bound,
             F.array(_long(0)),
-            lambda acc, block: F.concat(acc, F.array(F.element_at(acc, -1) + total(block))),
+            lambda acc, block: F.array_append(acc, F.element_at(acc, -1) + total(block)),
         )
         return let(
             bases,
