@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, line_dedup, near_dup, poisson_mix, quote_links, slot_shards
+from textloom.llm import (
+    decontaminate,
+    learned_partitions,
+    line_dedup,
+    near_dup,
+    poisson_mix,
+    quote_links,
+    slot_shards,
+    suffix_dedup,
+    toxicity,
+    wrappers,
+)
+from textloom.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,10 +55,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_slot_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards of near-equal bytes."""
-    placed = slot_shards.assign(table(spark, sf_dir, "documents"), SHARDS)
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    return placed.select(
-        "doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", crc.alias("text_crc32"))
+    return slot_shards.assign(docs, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
     )
 
@@ -199,3 +211,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op1_learned_partitions")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return learned_partitions.search(
+        table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0
+    )
+
+
+@query("op7_toxic_distance")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_page_wrappers")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    scratch = Scratch(spark, "wrappers")
+    text = wrappers.extract(table(spark, sf_dir, "pages"), scratch)
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op10_bwt_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that an earlier document holds go."""
+    scratch = Scratch(spark, "repeats")
+    cut = suffix_dedup.removals(table(spark, sf_dir, "documents"), scratch)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["len"])
+    digest = cut.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    return scratch.finish(digest)

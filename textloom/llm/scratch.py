@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.session import scratch_path, scratch_root
@@ -11,13 +14,15 @@ class Scratch:
     """Tables of one run, in a folder of their own below ``spark.checkpoint.dir``.
 
     Each table cuts the lineage: what reads it later does not depend on an
-    executor's disk. ``finish`` checkpoints the result and deletes the folder.
+    executor's disk. ``finish`` checkpoints the result and deletes the folder; a
+    folder that a lazy result still reads goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = scratch_path(spark, label)
         self.tables = 0
+        atexit.register(self._leave)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{self.tables:02d}-{name}"
@@ -30,7 +35,12 @@ class Scratch:
         self.close()
         return out
 
+    def _leave(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self.close()
+
     def close(self) -> None:
+        atexit.unregister(self._leave)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
