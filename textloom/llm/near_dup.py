@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
@@ -378,3 +378,22 @@ def _bounded_pairs(
     bound = ratio * (F.least("cx", "cy") + F.col("e")) >= F.col("nx") + F.col("ny")
     by_rare = shared.join(x, ["g", "x"]).join(y, ["g", "y"]).filter(bound).select("x", "y")
     return by_length.unionByName(by_rare)
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """One row of every group of near copies, that of the smallest id; see ``near_duplicates``.
+
+    Of rows with equal ids the one with the smallest hash of its text stays.
+    Rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    kept = found.filter(F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
+    repeated = not kept.groupBy(id_col).count().filter("count > 1").isEmpty()
+    rows = docs.join(kept.distinct() if repeated else kept, id_col, "left_semi")
+    if repeated:
+        order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
+        rows = rows.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1")
+    rows = rows.select(*docs.columns)
+    return rows.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -35,7 +35,7 @@ def rates(
     whole = weighted.agg(F.sum("n").alias("rows"), F.sum("w").alias("weight"))
     size = F.col("rows").cast("double") if total is None else F.lit(float(total))
     rated = weighted.crossJoin(F.broadcast(whole)).select(  # one row
-        "source", "n", (size * F.col("w") / F.col("weight") / F.col("n")).alias("rate")
+        "source", "n", F.try_divide(size * F.col("w") / F.col("n"), F.col("weight")).alias("rate")
     )
     sane = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(
         F.raise_error(F.concat(F.lit("rate too large for source "), F.col("source"))).cast("double")

@@ -80,11 +80,14 @@ def first_map(loads: list[int], shards: int) -> SlotMap:
     return SlotMap(1, shards, tuple(owners))
 
 
-def rebalance(old: SlotMap, loads: list[int], shards: int | None = None) -> SlotMap:
+def rebalance(
+    old: SlotMap, loads: list[int], shards: int | None = None, tolerance: float = 0.02
+) -> SlotMap:
     """The next version: only as many slots move as the new loads or shards ask for.
 
     Slots of shards that no longer exist go first; then the fullest shard gives
-    the emptiest the slot that brings the two nearest together, until none helps.
+    the emptiest the slot that brings the two nearest together, until none helps
+    or they differ by no more than ``tolerance`` of a shard's mean.
     """
     shards = shards or old.shards
     owners = list(old.owners)
@@ -110,7 +113,7 @@ def rebalance(old: SlotMap, loads: list[int], shards: int | None = None) -> Slot
         bare = min(range(shards), key=lambda s: (held[s], s))
         gap = held[full] - held[bare]
         fit = [s for s in mine[full] if 0 < loads[s] < gap]
-        if not fit:
+        if not fit or gap <= tolerance * sum(held) / shards:
             break
         slot = min(fit, key=lambda s: (abs(gap - 2 * loads[s]), s))
         mine[full].remove(slot)
