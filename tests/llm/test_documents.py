@@ -59,8 +59,7 @@ def brute_components(rows, width):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("few", [64, 4])
-@pytest.mark.parametrize("width", [2, 5])
+@pytest.mark.parametrize("few, width", [(64, 5), (4, 2)])
 def test_near_copies(make, monkeypatch, few, width):
     """With FEW at 4 the larger families go through the bounds."""
     monkeypatch.setattr(near_dup, "FEW", few)

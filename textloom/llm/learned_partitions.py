@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from textloom.llm.scratch import Scratch
 
 SAMPLE = 8192  # distinct vectors on which partitions and classifier are fitted
-CELL = 400  # distinct vectors per partition, as long as the sample can tell them apart
+CELL = 200  # distinct vectors per partition, as long as the sample can tell them apart
 PER_PART = 64  # sampled vectors per partition at least
 GRAPH = 10  # neighbours of a vector in the graph
-PROBED = 0.3  # of all partitions, for each query
+PROBED = 0.8  # of all partitions, for each query; less where vectors cluster
 BLOCK = 4096  # vectors compared with a block of queries at a time
 
 

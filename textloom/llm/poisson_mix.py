@@ -35,12 +35,13 @@ def rates(
     whole = weighted.agg(F.sum("n").alias("rows"), F.sum("w").alias("weight"))
     size = F.col("rows").cast("double") if total is None else F.lit(float(total))
     rated = weighted.crossJoin(F.broadcast(whole)).select(  # one row
-        "source", "n", F.try_divide(size * F.col("w") / F.col("n"), F.col("weight")).alias("rate")
+        "source", "n",
+        F.coalesce(F.try_divide(size * F.col("w") / F.col("n"), "weight"), F.lit(0.0)).alias("rate"),
     )
     sane = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(
         F.raise_error(F.concat(F.lit("rate too large for source "), F.col("source"))).cast("double")
     )
-    rated = rated.withColumn("rate", F.coalesce(sane, F.lit(0.0)))
+    rated = rated.withColumn("rate", sane)
     # The distribution function up to where its rest is far below the grain of the draw.
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
     none = F.array().cast("array<double>")
