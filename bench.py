@@ -59,7 +59,11 @@ def main() -> None:
         "bench",
         master=f"local[{cpus}]",
         shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
-        **{"spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
+        **{
+            "spark.driver.memory": "16g",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.textloom.inputPartitions": cpus if cpus.isdigit() else "8",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}

@@ -118,7 +118,8 @@ def test_token_store_tokenises_only_unseen_texts(spark, tmp_path):
     spark.read.parquet(path).write.mode("append").parquet(path + "2")
     spark.read.parquet(path).write.mode("append").parquet(path + "2")
     assert tokens.read_token_store(spark, path + "2").count() == 3
-    tokens.compact_store(spark, path + "2", path + "3", tokens.STORE_SCHEMA, 1)
+    assert not tokens.compact_when(spark, path + "2", path + "3", tokens.STORE_SCHEMA, 1, 99)
+    assert tokens.compact_when(spark, path + "2", path + "3", tokens.STORE_SCHEMA, 1, 1)
     assert spark.read.parquet(path + "3").count() == 3
 
 
@@ -146,6 +147,8 @@ def test_mojibake(spark):
     df = spark.createDataFrame(cases, "a string, b string")
     for r in df.select("a", "b", repair_mojibake(F.col("a")).alias("x")).collect():
         assert r["x"] == r["b"], r
-    # A text the bytes of which make no sense, or with wider characters, stays.
-    odd = spark.createDataFrame([("Ã© 日本", 1), (None, 2), ("ÃƒÂ©", 3)], "a string, n int")
-    assert rows(repair_text_columns(odd), "n") == [("Ã© 日本", 1), (None, 2), ("é", 3)]
+    # Wider characters and other broken bytes do not keep a sequence from being repaired.
+    cases = [("Ã© 日本 é Ã", 1), (None, 2), ("ÃƒÂ©", 3), ("e\u0301 a\u0302\u0301 q\u0301", 4)]
+    odd = spark.createDataFrame(cases, "a string, n int")
+    wanted = [("é 日本 é Ã", 1), (None, 2), ("é", 3), ("é ấ q\u0301", 4)]
+    assert rows(repair_text_columns(odd), "n") == wanted

@@ -256,13 +256,10 @@ def test_samples_are_exact_and_seeded(spark):
     assert mixed.orderBy("position").first()["id"] != 0
 
 
-def test_slices(spark, monkeypatch):
+def test_slices(spark):
     df = spark.range(0, 500, numPartitions=5)
     near = sampling.slice_rows(df, ["id"], 100, 50)
     assert sorted(r[0] for r in near.collect()) == list(range(100, 150))
-    monkeypatch.setattr(ranks, "SMALL_SLICE", 10)
-    far = sampling.slice_rows(df, ["id"], 100, 50)
-    assert sorted(r[0] for r in far.collect()) == list(range(100, 150))
     assert sampling.slice_rows(df, ["id"], 480).count() == 20
     with pytest.raises(ValueError):
         sampling.slice_rows(df, ["id"], -1)
@@ -278,8 +275,7 @@ def test_row_index_with_uneven_partitions(spark):
 # --- joins ------------------------------------------------------------------
 
 
-def test_join_kinds(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "HOT_ROWS", 1)
+def test_join_kinds(spark):
     left = spark.createDataFrame([(1, "a", 9), (2, "b", 8), (None, "n", 7)], "k int, v string, x int")
     right = spark.createDataFrame([(1, "A"), (1, "AA"), (3, "C"), (None, "N")], "k int, v string")
 
@@ -289,7 +285,11 @@ def test_join_kinds(spark, monkeypatch):
 
     assert join("inner") == (["k", "v", "x", "v_right"], [(1, "a", 9, "A"), (1, "a", 9, "AA")])
     assert join("inner", spread_hot_keys=True) == join("inner")
-    assert join("left", spread_hot_keys=True) == join("left")
+    for how in ("left", "right", "full"):
+        assert join(how, spread_hot_keys=True) == join(how)
+    named = left.withColumnRenamed("x", "v_right")
+    with pytest.raises(ValueError, match="v_right"):
+        combine.join_tables(named, right, "k", "k")
     assert len(join("left")[1]) == 4
     assert join("right")[0] == ["v", "x", "k", "v_right"] and len(join("right")[1]) == 4
     assert join("full")[0] == ["k", "v", "x", "k_right", "v_right"] and len(join("full")[1]) == 6
@@ -302,14 +302,12 @@ def test_join_kinds(spark, monkeypatch):
         combine.join_tables(left, right, how="inner")
 
 
-@pytest.mark.parametrize("least", [1, 1000])
-def test_hot_keys_are_spread(spark, monkeypatch, least):
-    monkeypatch.setattr(ranks, "HOT_ROWS", least)
+def test_hot_keys_are_spread(spark):
     left = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(0, 3000, 2).select(F.col("id").alias("k2"), (F.col("id") * 3).alias("w"))
     salts = ranks.salted_join(left, right, "k", "k2", "left")
     assert salts.count() == 3000
-    for how in ("inner", "left"):
+    for how in ("inner", "left", "right", "full"):
         salted = combine.join_tables(left, right, "k", "k2", how, spread_hot_keys=True)
         assert rows(salted) == rows(combine.join_tables(left, right, "k", "k2", how))
 
@@ -343,9 +341,7 @@ def nearest(values, q):
 
 
 @pytest.mark.parametrize("kind", ["even", "hot", "two", "heavy", "one"])
-def test_quantiles_in_small_brackets(spark, monkeypatch, kind):
-    monkeypatch.setattr(stats, "FEW_ROWS", 40)
-    monkeypatch.setattr(stats, "SAMPLE", 150)
+def test_quantiles(spark, kind):
     rng = random.Random(2)
     values = {
         "even": [rng.random() for _ in range(2000)],

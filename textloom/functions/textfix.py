@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,23 +24,57 @@ CP1252_SPECIALS = {
 WIDE_GATE = GATE + "|Ã[" + "".join(CP1252_SPECIALS) + "]"
 
 
+_AFTER = "[\\x80-\\xBF" + "".join(CP1252_SPECIALS) + "]"
+SEQUENCE = f"[\\xC2-\\xDF]{_AFTER}|[\\xE0-\\xEF]{_AFTER}{{2}}|[\\xF0-\\xF4]{_AFTER}{{3}}"
+
+
+def _mapped(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with every match of ``pattern`` changed."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    rest = F.split(text, pattern, -1)
+    both = F.zip_with(rest, found, lambda r, f: F.concat(r, F.coalesce(f, F.lit(""))))
+    return F.array_join(both, "")
+
+
 def repair_mojibake(text: Column) -> Column:
-    """Undo one wrong reading where the signature occurs and the bytes allow it."""
+    """Undo one wrong reading in texts with the signature, sequence by sequence.
+
+    A sequence is a run of characters whose Latin-1 or Windows-1252 bytes look
+    like one UTF-8 character; it is replaced if they are one. All else stays.
+    """
     specials = "".join(CP1252_SPECIALS)
     controls = "".join(chr(code) for code in CP1252_SPECIALS.values())
 
-    def reread(as_latin1: Column) -> Column:
-        bytes_as_text = F.encode(as_latin1, "ISO-8859-1").cast("string")
-        # A nested condition: the encoding raises on wider characters, so it
-        # must only be reached by texts that have none.
-        return F.when(
-            as_latin1.rlike("^[\\x{00}-\\x{FF}]*$"),
-            let(bytes_as_text, lambda t: F.when(F.is_valid_utf8(t), t).otherwise(text)),
-        ).otherwise(text)
+    def reread(run: Column) -> Column:
+        raw = F.encode(F.translate(run, specials, controls), "ISO-8859-1").cast("string")
+        return let(raw, lambda t: F.when(F.is_valid_utf8(t), t).otherwise(run))
+
+    return F.when(text.rlike(WIDE_GATE), _mapped(text, SEQUENCE, reread)).otherwise(text)
+
+
+def _compositions() -> str:
+    """Letter and mark, and the one character they make, as the text of a map."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            apart = "".join(chr(int(p, 16)) for p in parts)
+            if unicodedata.normalize("NFC", apart) == chr(code):
+                pairs.append(f"{apart}\x02{chr(code)}")
+    return "\x01".join(pairs)
+
 
-    return F.when(
-        text.rlike(WIDE_GATE), let(F.translate(text, specials, controls), reread)
-    ).otherwise(text)
+def composed(text: Column) -> Column:
+    """Letters followed by marks as single characters where there are such (NFC of Latin,
+    Greek, Cyrillic and other scripts below U+2000, up to two marks on a letter)."""
+    table = F.str_to_map(F.lit(_compositions()), F.lit("\x01"), F.lit("\x02"))
+    out = text
+    for _ in range(2):
+        out = F.when(
+            out.rlike(r"\p{M}"),
+            _mapped(out, r"[^\p{M}]\p{M}", lambda p: F.coalesce(F.try_element_at(table, p), p)),
+        ).otherwise(out)
+    return out
 
 
 def repair_text_columns(
@@ -45,7 +82,7 @@ def repair_text_columns(
 ) -> DataFrame:
     """Repair every string column, or the named ones that are strings.
 
-    A second pass repairs texts that were misread twice.
+    A second pass repairs texts that were misread twice; then marks are composed.
     """
     names = [
         f.name
@@ -54,4 +91,4 @@ def repair_text_columns(
     ]
     for _ in range(passes if names else 0):
         df = df.withColumns({n: repair_mojibake(F.col(f"`{n}`")) for n in names})
-    return df
+    return df.withColumns({n: composed(F.col(f"`{n}`")) for n in names}) if names else df

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.spans import let
 from textloom.operators.schema import ANNOTATION_TYPE
 
 Classifier = Callable[[list[str]], list[str | None]]
@@ -29,24 +30,38 @@ class KeywordClassifier:
             )
             self.words[c["name"]] = set(re.findall(r"\w+", about.lower()))
 
-    def __call__(self, texts: list[str]) -> list[str | None]:
-        out: list[str | None] = []
-        for text in texts:
-            tokens = re.findall(r"\w+", text.lower())
-            scores = {n: sum(t in w for t in tokens) for n, w in self.words.items()}
-            best = max(scores, key=scores.__getitem__) if scores else None
-            out.append(best if best is not None and scores[best] > 0 else None)
-        return out
+    def answer(self, text: Column) -> Column:
+        """The class of a text as a column; null without a hit."""
+        if not self.words:
+            return F.lit(None).cast("string")
+        body = F.lower(F.coalesce(text, F.lit("")))
+        found = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+        def score(tokens: Column, own: list[str]) -> Column:
+            return F.size(F.filter(tokens, lambda t: t.isin(own)))
+
+        def best(tokens: Column) -> Column:
+            scores = [score(tokens, sorted(w)) for w in self.words.values()]
+            top = scores[0] if len(scores) == 1 else F.greatest(*scores)
+            names = [F.when(s == top, F.lit(n)) for s, n in zip(scores, self.words, strict=True)]
+            return F.when(top > 0, F.coalesce(*names))
+
+        return let(found, best)
 
 
 def classify(
-    df: DataFrame, id_col: str, text_col: str, classifier: Classifier, batch_size: int = BATCH
+    df: DataFrame, id_col: str, text_col: str, classifier: Classifier | KeywordClassifier,
+    batch_size: int = BATCH,
 ) -> DataFrame:
     """One answer per row: id, raw_label and error.
 
-    The classifier sees batches of texts on the executors. A batch that fails
-    gives its rows the error and no label.
+    A ``KeywordClassifier`` is a column expression. Any other classifier sees
+    batches of texts on the executors; a batch that fails gives its rows the
+    error and no label.
     """
+    if isinstance(classifier, KeywordClassifier):
+        told = df.select(id_col, classifier.answer(F.col(text_col)).alias("raw_label"))
+        return told.withColumn("error", F.when(F.col("raw_label").isNull(), F.lit(NO_ANSWER)))
     key = df.schema[id_col]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions.spans import check_pattern, let
 from textloom.operators.schema import col
 
-NAME_LIMIT = 120
+NAME_LIMIT = 120  # fixed value
 DEFAULT_NAME = "computed_column"
 
 
@@ -34,6 +34,15 @@ def java_replacement(replacement: str) -> str:
     return re.sub(r"\\|\$\$|\$\{(\d+)\}|\$(\d+)|\$", one, replacement)
 
 
+def replacement_parts(replacement: str) -> list[str | int]:
+    """The literal pieces and the group numbers of a replacement, in order."""
+    parts: list[str | int] = []
+    for m in re.finditer(r"\$\$|\$\{(\d+)\}|\$(\d+)|[^$]+|\$", replacement):
+        number = m.group(1) or m.group(2)
+        parts.append(int(number) if number else "$" if m.group() == "$$" else m.group())
+    return parts
+
+
 def replaced(text: Column, pattern: str, replacement: str, first: int | None = None) -> Column:
     """Replace all matches, or the ``first`` ones. Group references are allowed."""
     java = java_replacement(replacement)
@@ -45,12 +54,21 @@ def replaced(text: Column, pattern: str, replacement: str, first: int | None = N
     parts = F.split(text, pattern, first + 1)
     if "$" not in replacement and "\\" not in replacement:
         return F.array_join(parts, replacement)
-    # Replace inside every match on its own, then put the pieces together.
-    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, first)
-    new = F.transform(found, lambda m: F.regexp_replace(m, pattern, java))
-    return F.array_join(
-        F.zip_with(parts, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
-    )
+    # The replacement of each match, from its groups as found in the whole text.
+    def groups(number: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(number))
+
+    pieces = replacement_parts(replacement)
+    lists = {n: groups(n) for n in sorted({p for p in pieces if isinstance(p, int)} | {0})}
+
+    def build(found: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            new = [F.lit(p) if isinstance(p, str) else F.get(found[f"g{p}"], i) for p in pieces]
+            return F.concat(part, F.when(i < F.size(parts) - 1, F.concat(*new)).otherwise(""))
+
+        return F.array_join(F.transform(parts, one), "")
+
+    return let(F.struct(*[g.alias(f"g{n}") for n, g in lists.items()]), build)
 
 
 def extracted(
@@ -86,7 +104,10 @@ def find_replace(
         value = extracted(col(source), pattern, connector, first)
     else:
         value = replaced(col(source), pattern, replacement, first)
-    return df.withColumn(output_name(output, source), value)
+    name = output_name(output, source)
+    if len(output or source) > NAME_LIMIT and name in df.columns:
+        raise ValueError(f"cut to {NAME_LIMIT} characters, the name is taken: {name!r}")
+    return df.withColumn(name, value)
 
 
 ASSIGNMENT = re.compile(r"^\s*([A-Za-z_]\w*)\s*=(?!=)\s*(.+)$", re.DOTALL)

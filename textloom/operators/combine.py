@@ -34,8 +34,9 @@ def join_tables(
     """Equi-join on one pair of keys; colliding right columns get a suffix.
 
     Inner and left joins keep the left key, right joins the right key, full
-    joins both. ``spread_hot_keys`` salts inner and left joins whose left keys
-    are very uneven; otherwise adaptive execution splits hot partitions.
+    joins both. Names that still collide are refused. ``spread_hot_keys`` salts
+    joins whose keys are very uneven; otherwise adaptive execution splits the
+    hot partitions of all but full joins.
     """
     if how not in JOINS:
         raise ValueError(f"join type {how!r}; use one of {sorted(JOINS)}")
@@ -53,13 +54,17 @@ def join_tables(
     l_kept = [c for c in left.columns if c not in l_drop]
     r_kept = [c for c in right.columns if c not in r_drop]
     names = {c: (c + SUFFIX if c in l_kept else c) for c in r_kept}
+    taken = [*l_kept, *names.values()]
+    double = sorted({c for c in taken if taken.count(c) > 1})
+    if double:
+        raise ValueError(f"the join would give two columns named {', '.join(double)}")
     metadata = {f.name: f.metadata for f in (*left.schema.fields, *right.schema.fields)}
 
     l_side = left.select(*[col(c).alias(f"l__{c}") for c in left.columns])
     r_side = right.select(*[col(c).alias(f"r__{c}") for c in right.columns])
     if how == "cross":
         joined = l_side.crossJoin(r_side)
-    elif spread_hot_keys and how in ("inner", "left"):
+    elif spread_hot_keys:
         joined = salted_join(l_side, r_side, f"l__{left_on}", f"r__{right_on}", how)
     else:
         joined = l_side.join(r_side, col(f"l__{left_on}") == col(f"r__{right_on}"), JOINS[how])

@@ -11,8 +11,7 @@ from textloom.functions.spans import quote_literal
 from textloom.functions.stopwords import stop_word_table
 from textloom.operators.tokens import find_derived, token_words
 
-# Display limits and the critical values of log-likelihood.
-DEFAULT_LIMIT, LIMIT_FACTOR, MAX_LIMIT = 25, 5, 5000
+# The critical values of log-likelihood.
 STARS = ((15.13, "****"), (10.83, "***"), (6.63, "**"), (3.84, "*"))
 
 
@@ -35,10 +34,6 @@ def token_frequencies(df: DataFrame, text_col: str, model: str = "word") -> Data
     )
 
 
-def display_limit(wanted: int) -> int:
-    return min(max(wanted * LIMIT_FACTOR, DEFAULT_LIMIT), MAX_LIMIT)
-
-
 def check_request(corpora: int, limit: int) -> None:
     if not 1 <= corpora <= 2:
         raise ValueError("one or two corpora can be compared")
@@ -46,19 +41,18 @@ def check_request(corpora: int, limit: int) -> None:
         raise ValueError("the token limit is positive")
 
 
-def top_tokens(frequencies: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    return frequencies.orderBy(F.desc("frequency"), F.asc("token")).limit(display_limit(limit))
+def top_tokens(frequencies: DataFrame, limit: int = 25) -> DataFrame:
+    """The ``limit`` most frequent tokens, equal ones in the order of their text."""
+    check_request(1, limit)
+    return frequencies.orderBy(F.desc("frequency"), F.asc("token")).limit(limit)
 
 
 def without_stop_words(df: DataFrame, words: list[str]) -> DataFrame:
-    """Drop rows of stop words after all statistics are done.
-
-    The list is typed in by a user, so it fits a broadcast.
-    """
+    """Drop rows of stop words after all statistics are done."""
     if not words:
         return df
     stop = stop_word_table(df.sparkSession, words).withColumnRenamed("token", "__stop")
-    return df.join(F.broadcast(stop), F.lower("token") == F.col("__stop"), "left_anti")
+    return df.join(stop, F.lower("token") == F.col("__stop"), "left_anti")
 
 
 def keyness(reference: DataFrame, study: DataFrame) -> DataFrame:

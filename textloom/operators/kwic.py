@@ -246,7 +246,8 @@ def token_hits(
 
 
 def not_blank(text_col: str) -> Column:
-    return F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0
+    """Whether a text has anything but white space."""
+    return F.coalesce(F.col(text_col), F.lit("")).rlike(r"(?U)\S")
 
 
 def _flat(df: DataFrame, hits: Column, text_col: str, keep: list[str]) -> DataFrame:
@@ -302,7 +303,7 @@ def matches(
         regex_spans(body, pattern).alias("spans"),
         F.length(body).cast("bigint").alias("length"),
     )
-    rows = df.filter(F.col(text_col).rlike(pattern)).select(
+    rows = df.filter(not_blank(text_col) & F.col(text_col).rlike(pattern)).select(
         *keep, F.explode(let(doc, with_length)).alias("__hit")
     )
     fields = [CORE[1], CORE[3], CORE[4], DOC_LENGTH]

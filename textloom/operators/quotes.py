@@ -46,7 +46,7 @@ VERB = "(?:" + "|".join(VERBS) + ")"
 NAME = r"(?:(?:Mr|Mrs|Ms|Dr|Prof|St)\.|[A-Z]\.|[A-Z][A-Za-z'-]*)"
 SPEAKER = rf"(?:{NAME}(?: {NAME}){{0,3}}|he|she|they|it|we|I|you)"
 QUOTED = r'"[^"\n]+"'
-REACH = 80
+LINE = rf"[^\n]*{QUOTED}[^\n]*"
 
 AFTER_VS = rf"^(\s*,?\s*)({VERB})(\s+)({SPEAKER})(?![A-Za-z])"
 AFTER_SV = rf"^(\s*,?\s*)({SPEAKER})(\s+)({VERB})(?![A-Za-z])"
@@ -75,7 +75,7 @@ QUOTE_TYPE = (
     )
     + ">>"
 )
-DEFAULT_CONTEXT, MAX_CONTEXT = 20, 2000
+DEFAULT_CONTEXT = 20
 
 
 def plain_text(text: Column) -> Column:
@@ -124,8 +124,6 @@ def quotations(text: Column) -> Column:
 
     def quote(doc: Column, q: Column, i: Column) -> Column:
         start, end = q["start"], q["end"]
-        low = F.greatest(F.lit(0).cast("bigint"), start - REACH)
-        high = F.least(doc["length"], end + REACH)
 
         def part(near: Column, pattern: str, group: int) -> Column:
             return F.regexp_extract(near, pattern, group)
@@ -187,21 +185,34 @@ def quotations(text: Column) -> Column:
             return F.struct(*[v.alias(c) for v, c in zip(values, COLUMNS, strict=True)])
 
         windows = F.struct(
-            F.regexp_replace(cut(doc["plain"], doc["plain_chunks"], bits, end, high), r"(?s)\n.*", "")
-            .alias("after"),
-            F.regexp_replace(cut(doc["plain"], doc["plain_chunks"], bits, low, start), r"(?s)^.*\n", "")
-            .alias("before"),
-        )
+            cut(doc["plain"], doc["plain_chunks"], bits, end, q["high"]).alias("after"),
+            cut(doc["plain"], doc["plain_chunks"], bits, q["low"], start).alias("before"),
+        )
         return let(windows, shapes)
 
+    def quoted(plain: Column) -> Column:
+        """Quotations with the bounds of their line, in which speaker and verb are looked for."""
+        lines = F.transform(
+            regex_spans(plain, LINE),
+            lambda line: F.transform(
+                regex_spans(line["text"], QUOTED),
+                lambda q: F.struct(
+                    (line["start"] + q["start"]).alias("start"),
+                    (line["start"] + q["end"]).alias("end"),
+                    line["start"].alias("low"),
+                    line["end"].alias("high"),
+                ),
+            ),
+        )
+        return F.flatten(lines)
+
     def with_plain(plain: Column) -> Column:
         doc = F.struct(
             body.alias("text"),
             chunked(body, bits).alias("chunks"),
             chunked(plain, bits).alias("plain_chunks"),
             plain.alias("plain"),
-            regex_spans(plain, QUOTED).alias("spans"),
-            F.length(body).cast("bigint").alias("length"),
+            quoted(plain).alias("spans"),
         )
         return let(doc, lambda d: F.transform(d["spans"], lambda q, i: quote(d, q, i)))
 
@@ -270,12 +281,14 @@ def _with_windows(text: Column, found: Column, context: int | None) -> Column:
 
 
 def context_length(value: object) -> int:
-    """A context length inside its limits; anything else gives the default."""
+    """The context length asked for; what is no number gives the default."""
     try:
         number = int(value)  # type: ignore[call-overload]
     except (TypeError, ValueError):
         return DEFAULT_CONTEXT
-    return max(0, min(MAX_CONTEXT, number))
+    if number < 0:
+        raise ValueError("a context is not negative")
+    return number
 
 
 def around(text: Column, start: Column, end: Column, context: int) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from textloom.session import staged
 
 HOT_SHARE = 1000  # a key is hot if it holds at least 1/HOT_SHARE of the rows
-HOT_ROWS = 1000  # and, to be worth a salt, this many rows
 SPREAD = 64
 ROW_BITS = 33  # of monotonically_increasing_id: the lower bits count rows
 
@@ -42,21 +41,15 @@ def with_row_index(
     )
 
 
-SMALL_SLICE = 10_000
-
-
 def rows_between(
     df: DataFrame, order_by: list[str | Column], offset: int, length: int | None
 ) -> DataFrame:
     """``length`` rows after the first ``offset``, in the order of ``order_by``.
 
-    Near the start this is a top-k. Any other stretch is cut by row number, so
-    that it never passes through one task.
+    Any stretch is cut by row number, so that it never passes through one task.
     """
     if offset < 0 or (length is not None and length < 0):
         raise ValueError("offset and length are not negative")
-    if length is not None and offset + length <= SMALL_SLICE:
-        return df.orderBy(*order_by).offset(offset).limit(length)
     numbered = with_row_index(df, order_by, "__row")
     wanted = F.col("__row") > offset
     if length is not None:
@@ -80,8 +73,8 @@ def spread_lookup(df: DataFrame, table: DataFrame, key: str, value: str) -> Data
     hot = hot_keys(table, key, value).withColumnRenamed(value, "__hot")
     tagged = df.join(F.broadcast(hot), key, "left")
     rare = F.col("__hot").isNull() & F.col(key).isNotNull()
-    # Rows are told apart by all their columns, so copies of a text spread too.
-    spread = F.lit(1) + F.pmod(F.xxhash64(*df.columns), SPREAD)
+    # Copies of a row differ in where they stand, so they spread too.
+    spread = F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
     salt = F.when(rare, F.lit(0)).otherwise(spread)
     salted = tagged.withColumn("__salt", salt.cast("int"))
     cold = table.withColumns({"__cold": F.col(value), "__salt": F.lit(0)}).drop(value)
@@ -92,17 +85,28 @@ def spread_lookup(df: DataFrame, table: DataFrame, key: str, value: str) -> Data
 def salted_join(
     left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str
 ) -> DataFrame:
-    """Inner or left equi-join whose hot left keys are spread over many tasks.
+    """Equi-join whose hot keys are spread over many tasks.
 
     Rows of a hot left key get one of SPREAD salts and the matching right rows
-    one copy per salt. The result keeps all columns of both sides.
+    one copy per salt. A right join spreads the hot keys of the right side; a
+    full join is the left join and the right rows that match nothing. The result
+    keeps all columns of both sides.
     """
+    if how == "right":
+        swapped = salted_join(right, left, right_on, left_on, "left")
+        return swapped.select(*left.columns, *right.columns)
+    if how == "full":
+        matched = salted_join(left, right, left_on, right_on, "left")
+        keys = left.select(F.col(left_on).alias("__key")).distinct()
+        lone = right.join(keys, F.col(right_on) == F.col("__key"), "left_anti")
+        return matched.unionByName(lone, allowMissingColumns=True)
     if how not in ("inner", "left"):
-        raise ValueError("salting works for inner and left joins")
+        raise ValueError("salting works for inner, left, right and full joins")
     counts = left.groupBy(F.col(left_on).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    frequent = hot_keys(counts, "__key", "__n").filter(F.col("__n") >= HOT_ROWS)
-    hot = F.broadcast(frequent.select("__key", F.lit(True).alias("__hot")))
-    pick = F.pmod(F.xxhash64(*left.columns), SPREAD).cast("int")
+    # HOT_SHARE keys at most.
+    hot = F.broadcast(hot_keys(counts, "__key", "__n").select("__key", F.lit(True).alias("__hot")))
+    # Copies of a row differ in where they stand.
+    pick = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
     l_side = (
         left.join(hot, left[left_on] == hot["__key"], "left")
         .withColumn("__ls", F.when(F.col("__hot") | F.col(left_on).isNull(), pick).otherwise(0))

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-from functools import reduce
-from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.operators.ranks import ROW_BITS
 from textloom.operators.schema import col, logical_type
+from textloom.session import staged
 
 QUANTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10_000
-FEW_ROWS = 200_000  # values that one task may sort
-SAMPLE = 100_000
-MARGIN = 0.01
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -26,108 +22,35 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
-class Bracket:
-    """Where the value of one rank lies: strictly between ``low`` and ``high``.
-
-    ``below`` values lie before the bracket and ``inside`` ones in it. Without
-    limits it holds everything.
-    """
-
-    rank: int
-    below: int
-    inside: int
-    low: Any = None
-    high: Any = None
-    margin: float = MARGIN
-    answer: Any = None
-
-    @property
-    def holds(self) -> Column:
-        v = F.col("v")
-        if self.low is None:
-            return v.isNotNull()
-        return (v > F.lit(self.low)) & (v < F.lit(self.high))
-
-    @property
-    def points(self) -> list[float]:
-        at = (self.rank - self.below) / self.inside
-        return [max(0.0, at - self.margin), min(1.0, at + self.margin)]
-
-    def settle(self, low: Any, high: Any, smaller: int, lows: int, mid: int, highs: int) -> None:
-        """Take over new limits, given how many values lie around them."""
-        if smaller < self.rank <= smaller + lows:
-            self.answer = low
-        elif smaller + lows + mid < self.rank <= smaller + lows + mid + highs:
-            self.answer = high
-        elif smaller + lows < self.rank <= smaller + lows + mid:
-            self.low, self.high, self.below, self.inside = low, high, smaller + lows, mid
-        else:
-            self.margin *= 2  # the sample misled; the old limits still hold
-
-
 def exact_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...]) -> list:
     """Exact quantiles by nearest rank, as Python values (None without rows).
 
-    Every rank is held in a bracket of values that a sample narrows and exact
-    counts confirm, until few enough rows are left to sort. The driver sees a
-    handful of numbers per round, and a round shrinks a bracket some fifty
-    times. Values that many rows share become limits and drop out.
+    Equal values are counted map-side, so a value that many rows share is one
+    row; the distinct values are range-sorted once, and running counts inside
+    the partitions tell which value each rank falls on.
     """
-    values = df.select(col(column).alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    if not n:
-        return [None] * len(quantiles)
-    brackets = [Bracket(math.floor(q * (n - 1) + 0.5) + 1, 0, n) for q in quantiles]
-    while wide := [b for b in brackets if b.answer is None and b.inside > FEW_ROWS]:
-        _narrow(values, wide)
-    _finish(values, [b for b in brackets if b.answer is None])
-    return [b.answer for b in brackets]
-
-
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, tests)
-
-
-def _narrow(values: DataFrame, brackets: list[Bracket]) -> None:
-    """One round: guess smaller brackets from a sample, then count them exactly."""
-    share = min(1.0, SAMPLE / min(b.inside for b in brackets))
-    near = values.filter(_any([b.holds for b in brackets]))
-    sample = near.sample(share, seed=brackets[0].inside % 1009)
-    guesses = sample.agg(
-        *[F.percentile_approx(F.when(b.holds, F.col("v")), b.points, ACCURACY) for b in brackets]
-    ).first()
-    v, counts = F.col("v"), []
-    known = [(b, guess) for b, guess in zip(brackets, guesses, strict=True) if guess]
-    for _, (low, high) in known:
-        middle = (v > F.lit(low)) & (v < F.lit(high))
-        above = F.lit(low != high) & (v == F.lit(high))
-        counts += [F.count_if(t) for t in (v < F.lit(low), v == F.lit(low), middle, above)]
-    if not counts:
-        return
-    seen = values.agg(*counts).first()
-    for i, (b, (low, high)) in enumerate(known):
-        b.settle(low, high, *seen[4 * i : 4 * i + 4])
-
-
-def _finish(values: DataFrame, brackets: list[Bracket]) -> None:
-    """Rank the rows left in the brackets, FEW_ROWS each at most."""
-    if not brackets:
-        return
-    counts = values.filter(_any([b.holds for b in brackets])).groupBy("v").agg(
-        F.count(F.lit(1)).alias("n")
+    counts = (
+        df.select(col(column).alias("v"))
+        .filter(F.col("v").isNotNull())
+        .groupBy("v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.orderBy("v")
-    running = counts.withColumns(
-        {
-            f"u{i}": F.sum(F.when(b.holds, F.col("n")).otherwise(0)).over(upto)
-            for i, b in enumerate(brackets)
-        }
+    at = F.monotonically_increasing_id()
+    placed = staged(counts.orderBy("v").withColumn("part", F.shiftright(at, ROW_BITS)), "quantiles")
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("rows"))
+    # One row per partition of the sort.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    total = sizes.agg(F.sum("rows")).first()[0]
+    if not total:
+        return [None] * len(quantiles)
+    ranks = [math.floor(q * (total - 1) + 0.5) + 1 for q in quantiles]
+    upto = Window.partitionBy("part").orderBy("v")
+    running = placed.join(F.broadcast(bases), "part").select(
+        "v", (F.col("base") + F.sum("n").over(upto)).alias("upto")
     )
-    reached = [b.holds & (F.col(f"u{i}") >= b.rank - b.below) for i, b in enumerate(brackets)]
-    found = running.agg(*[F.min(F.when(r, F.col("v"))) for r in reached]).first()
-    for b, value in zip(brackets, found, strict=True):
-        b.answer = value
+    found = running.agg(*[F.min(F.when(F.col("upto") >= r, F.col("v"))) for r in ranks]).first()
+    return list(found)
 
 
 def describe(df: DataFrame, column: str, exact: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from textloom.functions.spans import regex_spans
 from textloom.operators.ranks import salted_join
+from textloom.session import staged
 
 # Rule tokenisers. Punctuation is never part of a token. ``char`` gives one
 # token per CJK character and whole runs for the other scripts.
@@ -119,8 +120,12 @@ def explode_tokens(df: DataFrame, tokens_col: str, keep: list[str]) -> DataFrame
 STORE_SCHEMA = f"text_hash string, tokens {TOKEN_TYPE}"
 
 
-def content_key(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+BROADCAST_HASHES = 1_000_000  # unseen texts whose hashes are broadcast, about 100 bytes each
+
+
+def content_key(text: Column, model: str = "word") -> Column:
+    """Content hash inside one token model."""
+    return F.sha2(F.concat_ws("\u0001", F.lit(model), F.coalesce(text, F.lit(""))), 256)
 
 
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -133,28 +138,37 @@ def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def unseen_texts(df: DataFrame, text_col: str, store: DataFrame) -> DataFrame:
-    """Distinct texts not in the store.
+def unseen_texts(
+    df: DataFrame, text_col: str, store: DataFrame, model: str = "word",
+    broadcast_hashes: int = BROADCAST_HASHES,
+) -> DataFrame:
+    """Distinct texts whose tokens of ``model`` are not in the store.
 
-    Copies of one text collapse inside every task before the shuffle, and only
-    hashes of the store travel.
+    Hashes are compared first, copies collapsing inside every task, so a known
+    text never travels: only the texts of unseen hashes are fetched, by a
+    broadcast of these if they are few, else by a shuffle.
     """
-    keyed = df.select(content_key(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    distinct = keyed.groupBy("text_hash").agg(F.first("text").alias("text"))
-    return distinct.join(store.select("text_hash"), "text_hash", "left_anti")
+    keyed = df.select(
+        content_key(F.col(text_col), model).alias("text_hash"), F.col(text_col).alias("text")
+    )
+    hashes = keyed.select("text_hash").distinct()
+    fresh = staged(hashes.join(store.select("text_hash"), "text_hash", "left_anti"), "unseen")
+    few = fresh.count() <= broadcast_hashes
+    texts = keyed.join(F.broadcast(fresh) if few else fresh, "text_hash", "left_semi")
+    return texts.groupBy("text_hash").agg(F.first("text").alias("text"))
 
 
 def update_token_store(df: DataFrame, text_col: str, path: str, model: str = "word") -> None:
     """Tokenise texts the store has not seen and append them to it."""
     store = read_store(df.sparkSession, path, STORE_SCHEMA)
-    fresh = unseen_texts(df, text_col, store).select(
+    fresh = unseen_texts(df, text_col, store, model).select(
         "text_hash", token_spans(F.col("text"), model).alias("tokens")
     )
     fresh.write.mode("append").parquet(path)
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text hash; double entries of a retried append collapse."""
+    """One row per hash of model and text; double entries of a retried append collapse."""
     return read_store(spark, path, STORE_SCHEMA).dropDuplicates(["text_hash"])
 
 
@@ -169,6 +183,16 @@ def compact_store(spark: SparkSession, path: str, target: str, schema: str, file
     return len(store.inputFiles())
 
 
+def compact_when(
+    spark: SparkSession, path: str, target: str, schema: str, files: int, limit: int
+) -> bool:
+    """``compact_store`` once the store has more than ``limit`` files; whether it did."""
+    if len(spark.read.schema(schema).parquet(path).inputFiles()) <= limit:
+        return False
+    compact_store(spark, path, target, schema, files)
+    return True
+
+
 def tokenise_from_store(df: DataFrame, text_col: str, path: str, model: str = "word") -> DataFrame:
     """Bring the store up to date and attach its tokens to every row.
 
@@ -179,7 +203,7 @@ def tokenise_from_store(df: DataFrame, text_col: str, path: str, model: str = "w
     stored = read_token_store(df.sparkSession, path).withColumnsRenamed(
         {"text_hash": "__stored", "tokens": "__tokens"}
     )
-    hashed = df.withColumn("__hash", content_key(F.col(text_col)))
+    hashed = df.withColumn("__hash", content_key(F.col(text_col), model))
     joined = salted_join(hashed, stored, "__hash", "__stored", "left")
     named = tokenise(joined, text_col, model, tokens=F.col("__tokens"))
     return named.drop("__hash", "__stored", "__tokens")
@@ -206,9 +230,13 @@ def newest_vectors(store: DataFrame) -> DataFrame:
 
 
 def lookup_vectors(keys: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hits (key, vector) and the distinct keys that are missing."""
+    """Hits (key, vector) and the distinct keys that are missing.
+
+    The store is cut down to the wanted keys before its newest vectors are found.
+    """
     wanted = keys.select("content_hash").distinct()
-    hits = wanted.join(newest_vectors(store), "content_hash").select("content_hash", "embedding")
+    held = store.join(wanted, "content_hash", "left_semi")
+    hits = newest_vectors(held).select("content_hash", "embedding")
     missing = wanted.join(store.select("content_hash"), "content_hash", "left_anti")
     return hits, missing
 

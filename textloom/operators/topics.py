@@ -64,10 +64,9 @@ def assign_topics(
 def mark_outliers(assigned: DataFrame, least: int) -> DataFrame:
     """Clusters of fewer than ``least`` rows become the outlier topic."""
     sizes = assigned.groupBy(TOPIC).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per cluster, MAX_TOPICS at most.
     small = sizes.filter(F.col("__n") < least).select(TOPIC, F.lit(True).alias("__small"))
     return (
-        assigned.join(F.broadcast(small), TOPIC, "left")
+        assigned.join(small, TOPIC, "left")
         .withColumn(TOPIC, F.when(F.col("__small"), F.lit(OUTLIER)).otherwise(F.col(TOPIC)))
         .drop("__small")
         .select(*assigned.columns)
@@ -187,21 +186,30 @@ def _small_rows(table: DataFrame) -> list:
 
 
 def topic_map(center_table: DataFrame) -> DataFrame:
-    """Two coordinates per topic: the main axes of the centroids."""
-    rows = _small_rows(center_table)
-    spark = center_table.sparkSession
-    schema = f"{TOPIC} bigint, x double, y double"
-    if len(rows) <= 1:
-        return spark.createDataFrame([(r[TOPIC], 0.0, 0.0) for r in rows], schema)
-    points = np.array([r["centroid"] for r in rows], dtype=float)
-    points -= points.mean(axis=0)
-    u, s, _ = np.linalg.svd(points, full_matrices=False)
-    axes = u * s
-    # Sign as free choice: the largest entry of every axis is positive.
-    axes *= np.where(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])] < 0, -1.0, 1.0)
-    flat = np.hstack([axes, np.zeros((len(rows), 2))])[:, :2]
-    data = [(r[TOPIC], float(x), float(y)) for r, (x, y) in zip(rows, flat, strict=True)]
-    return spark.createDataFrame(data, schema)
+    """Two coordinates per topic: the main axes of the centroids, their mean at the origin.
+
+    The largest entry of every axis is positive.
+    """
+    topics = center_table.select(TOPIC, array_to_vector("centroid").alias("__v"))
+    if topics.count() <= 1:
+        return topics.select(TOPIC, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    wide = center_table.select(F.size("centroid")).first()[0]
+    model = PCA(k=min(2, wide), inputCol="__v", outputCol="__p").fit(topics)
+    flat = model.transform(topics).select(TOPIC, vector_to_array("__p").alias("p"))
+    axes = flat.select(
+        TOPIC, F.get("p", F.lit(0)).alias("x"), F.coalesce(F.get("p", F.lit(1)), F.lit(0.0)).alias("y")
+    )
+    means = axes.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    moved = axes.crossJoin(means).select(  # one row
+        TOPIC, (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y")
+    )
+    signs = moved.agg(
+        F.signum(F.max_by("x", F.abs("x"))).alias("sx"), F.signum(F.max_by("y", F.abs("y"))).alias("sy")
+    )
+    sign = lambda c: F.when(F.col(c) < 0, -1.0).otherwise(1.0)
+    return moved.crossJoin(signs).select(
+        TOPIC, (F.col("x") * sign("sx")).alias("x"), (F.col("y") * sign("sy")).alias("y")
+    )
 
 
 def merge_plan(center_table: DataFrame, wanted: int) -> dict[int, int]:
@@ -215,15 +223,19 @@ def merge_plan(center_table: DataFrame, wanted: int) -> dict[int, int]:
     ids = [r[TOPIC] for r in rows]
     sums = np.array([np.array(r["centroid"]) * r["size"] for r in rows])
     target = {t: t for t in ids}
-    alive = list(range(len(ids)))
-    while len(alive) > wanted:
-        unit = sums[alive] / np.maximum(np.linalg.norm(sums[alive], axis=1, keepdims=True), 1e-12)
-        similar = np.triu(unit @ unit.T, 1) + np.tril(np.full((len(alive),) * 2, -2.0))
-        i, j = divmod(int(similar.argmax()), len(alive))
-        keep, gone = alive[i], alive[j]
+    unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    # Similarity to later topics; a merge changes one row and one column of it.
+    similar = np.where(np.triu(np.ones((len(ids),) * 2, bool), 1), unit @ unit.T, -2.0)
+    for _ in range(len(ids) - wanted):
+        keep, gone = divmod(int(similar.argmax()), len(ids))
         sums[keep] += sums[gone]
+        unit[keep] = sums[keep] / max(np.linalg.norm(sums[keep]), 1e-12)
         target = {t: ids[keep] if v == ids[gone] else v for t, v in target.items()}
-        alive.remove(gone)
+        near = unit @ unit[keep]
+        later, earlier = similar[keep] > -2, similar[:, keep] > -2
+        similar[keep, later] = near[later]
+        similar[earlier, keep] = near[earlier]
+        similar[gone, :] = similar[:, gone] = -2.0
     return target
 
 
@@ -284,5 +296,5 @@ def detach_meanings(
     own = meanings.sparkSession.createDataFrame(
         list(words.items()), f"{TOPIC} bigint, __words array<string>"
     )
-    joined = kept.join(F.broadcast(own), TOPIC, "left")
+    joined = kept.join(own, TOPIC, "left")
     return joined.select(TOPIC, F.coalesce("__words", MEANING).alias(MEANING))

@@ -34,7 +34,6 @@ CUSTOM_UNITS = {
     "weeks": (604_800, "yyyy-MM-dd"),
 }
 MONDAY = 4 * 86_400  # 1970-01-05
-MAX_GROUPS = 3
 
 
 def _micros(ts: Column) -> Column:
@@ -109,8 +108,6 @@ def _group_value(name: str, case_sensitive: bool) -> Column:
 def _count_groups(
     df: DataFrame, axis: Column, bucket: Column, groups: list[str], case_sensitive: bool
 ) -> DataFrame:
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"at most {MAX_GROUPS} group columns")
     keys = [_group_value(g, case_sensitive).alias(g) for g in groups]
     return df.groupBy(bucket.alias("time_period"), *keys).agg(
         F.count(F.lit(1)).alias("sequential_count"),
@@ -199,39 +196,71 @@ def min_group_size(trend: DataFrame, groups: list[str], least: int) -> DataFrame
 
 
 def fill_missing(
-    trend: DataFrame, groups: list[str], frequency: str | None = None, width: float | None = None
+    trend: DataFrame,
+    groups: list[str],
+    frequency: str | None = None,
+    width: float | None = None,
+    every: int | None = None,
+    unit: str | None = None,
 ) -> DataFrame:
-    """Every series gets every bucket between the first and the last, empty ones 0."""
-    span = trend.agg(
-        F.struct(F.min("time_period").alias("low"), F.max("time_period").alias("high"))
-    ).scalar()
-    low, high = span["low"], span["high"]
-    if groups:
-        series = trend.select(*groups).distinct()
-    else:
-        series = trend.sparkSession.range(1).select()
+    """Every series gets every bucket between the first and the last, empty ones 0.
+
+    Name the buckets as for the trend: a ``frequency``, the ``width`` of numeric
+    bins, or ``every`` and ``unit`` of a custom interval. Buckets are matched by
+    their number counted from the first one, so rounded starts of bins meet. The
+    numbers are a range that Spark spreads over tasks.
+    """
+    custom = frequency == "custom" or every is not None
+    if custom and (every is None or every <= 0 or unit not in CUSTOM_UNITS):
+        raise ValueError("a custom interval needs a positive every and a known unit")
+    if width is None and not custom and frequency not in FREQUENCIES:
+        raise ValueError(f"frequency {frequency!r}; use one of {sorted(FREQUENCIES)}")
+    if width is not None and width <= 0:
+        raise ValueError("the width is positive")
+    spark = trend.sparkSession
+    span = trend.agg(F.min("time_period"), F.max("time_period")).first()
+    low, high = span
+    if low is None:
+        return trend.select("time_period", *groups, "sequential_count")
     at = F.col("time_period")
+    kind = trend.schema["time_period"].dataType
     if width is not None:
-        steps = F.sequence(F.lit(0).cast("bigint"), F.round((high - low) / width).cast("bigint"))
-        grid = series.select(*groups, F.explode(steps).alias("time_period"))
-        grid = grid.withColumn("time_period", F.round(low + at * width, 6))
+        number = lambda x: F.round((x - F.lit(low)) / F.lit(width))
+        start = F.round(F.lit(low) + F.col("__n") * F.lit(width), 6)
+    elif custom:
+        size = every * CUSTOM_UNITS[unit][0] * 1_000_000
+        number = lambda x: F.round((_micros(x) - _micros(F.lit(low))) / size)
+        start = F.timestamp_micros(_micros(F.lit(low)) + F.col("__n") * size)
     else:
-        name = FREQUENCIES.get(frequency, FREQUENCIES["daily"])[0]
-        step = F.expr("interval 3 month" if name == "quarter" else f"interval 1 {name}")
-        if name in COARSE:
-            grid = series.select(*groups, F.explode(F.sequence(low, high, step)).alias("time_period"))
+        name = FREQUENCIES[frequency][0]
+        months = {"month": 1, "quarter": 3, "year": 12}.get(name)
+        if months:
+            number = lambda x: F.round(F.months_between(x, F.lit(low)) / months)
+            start = F.add_months(F.lit(low), (F.col("__n") * months).cast("int"))
+        elif name in COARSE:
+            days = {"day": 1, "week": 7}[name]
+            number = lambda x: F.date_diff(x, F.lit(low)) / days
+            start = F.date_add(F.lit(low), (F.col("__n") * days).cast("int"))
         else:
-            times = F.sequence(low.cast("timestamp"), high.cast("timestamp"), step)
-            grid = series.select(*groups, F.explode(times).alias("time_period"))
-            grid = grid.withColumn("time_period", at.cast("timestamp_ntz"))
-    counts = trend.select("time_period", *groups, "sequential_count")
-    g, c = grid.alias("g"), counts.alias("c")
-    same = F.col("g.time_period") == F.col("c.time_period")
+            size = {"second": 1, "minute": 60, "hour": 3600}[name] * 1_000_000
+            number = lambda x: F.round((_micros(x) - _micros(F.lit(low))) / size)
+            start = F.timestamp_micros(_micros(F.lit(low)) + F.col("__n") * size)
+    last = spark.range(1).select(number(F.lit(high)).cast("bigint")).first()[0]
+    grid = spark.range(last + 1).select(F.col("id").alias("__n"))
+    if groups:  # a row per bucket and series is the result itself
+        grid = grid.crossJoin(trend.select(*groups).distinct())
+    numbered = trend.select(
+        number(at).cast("bigint").alias("__n"), at.alias("__at"), *groups, "sequential_count"
+    )
+    g, c = grid.alias("g"), numbered.alias("c")
+    same = F.col("g.__n") == F.col("c.__n")
     for name in groups:
         same = same & F.col(f"g.{name}").eqNullSafe(F.col(f"c.{name}"))
-    return g.join(c, same, "left").select(
-        "g.time_period",
-        *[f"g.{name}" for name in groups],
+    begin = start.cast("timestamp_ntz") if isinstance(kind, T.TimestampNTZType) else start.cast(kind)
+    named = g.withColumn("__start", begin).alias("g")
+    return named.join(c, same, "left").select(
+        F.coalesce("c.__at", "g.__start").alias("time_period"),
+        *[F.col(f"g.{name}") for name in groups],
         F.coalesce("c.sequential_count", F.lit(0)).alias("sequential_count"),
     )
 

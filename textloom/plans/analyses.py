@@ -14,9 +14,8 @@ from textloom.operators.tokens import read_token_store, tokenise
 from textloom.plans.registry import documents, query, table
 from textloom.plans.texts import WORD, kwic_sql, spans_sql
 from textloom.session import scratch_path
-from textloom.sources.readers import spread_small_input
 from textloom.streaming.tokens import stream_token_store
-from textloom.streaming.trends import stream_trend, write_available
+from textloom.streaming.trends import stream_trend, write_available, read_trend
 
 # --- trends -----------------------------------------------------------------
 
@@ -230,6 +229,40 @@ def k41_missing_bins(spark: SparkSession, sf: str) -> DataFrame:
     return trends.fill_missing(trends.numeric_trend(parts, "p_size", 4, 0), [], width=4)
 
 
+@query(
+    "k41_custom",
+    """WITH c AS (SELECT event_type, time_bucket(INTERVAL 90 MINUTE, ts, TIMESTAMP '1970-01-01') AS p,
+                         count(*) AS n FROM events WHERE value > 40 GROUP BY 1, 2),
+            g AS (SELECT unnest(generate_series(min(p), max(p), INTERVAL 90 MINUTE)) AS p FROM c)
+       SELECT g.p AS time_period, k.event_type, coalesce(c.n, 0) AS sequential_count
+       FROM g CROSS JOIN (SELECT DISTINCT event_type FROM c) k
+       LEFT JOIN c ON c.p = g.p AND c.event_type = k.event_type""",
+)
+def k41_custom(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").filter("value > 40")
+    trend = trends.time_trend(
+        events, "ts", "custom", ["event_type"], every=90, unit="minutes"
+    )
+    return trends.fill_missing(trend, ["event_type"], every=90, unit="minutes")
+
+
+@query(
+    "k41_fractional_bins",
+    """WITH c AS (SELECT floor((p_retailprice / 1000 - 0.1234567) * 3) AS b, count(*) AS n
+                  FROM part WHERE p_size < 10 GROUP BY 1)
+       SELECT g.b AS bin, coalesce(n, 0) AS sequential_count
+       FROM (SELECT unnest(generate_series(min(b)::BIGINT, max(b)::BIGINT)) AS b FROM c) g
+       LEFT JOIN c ON c.b = g.b""",
+)
+def k41_fractional_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """Bins of a third; each is told by its number, as its start is rounded."""
+    parts = table(spark, sf, "part").filter("p_size < 10").selectExpr("p_retailprice / 1000 AS x")
+    trend = trends.numeric_trend(parts, "x", 1 / 3, 0.1234567)
+    full = trends.fill_missing(trend, [], width=1 / 3)
+    number = F.round((F.col("time_period") - 0.1234567) * 3).cast("bigint")
+    return full.select(number.alias("bin"), "sequential_count")
+
+
 @query(
     "k42_detach",
     f"""SELECT event_id, ts, kind FROM {MIXED_CASE}
@@ -418,6 +451,25 @@ def k50_centroids(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "k51_one_merge",
+    """WITH v AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x,
+                         unnest(range(len(embedding))) AS d FROM embeddings),
+            c AS (SELECT label, d, avg(x) AS x FROM v GROUP BY ALL),
+            s AS (SELECT a.label AS keep, b.label AS gone,
+                         sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS alike
+                  FROM c a JOIN c b ON a.d = b.d AND a.label < b.label GROUP BY ALL),
+            m AS (SELECT * FROM s ORDER BY alike DESC LIMIT 1)
+       SELECT vec_id, CAST(CASE WHEN label = (SELECT gone FROM m) THEN (SELECT keep FROM m)
+                                ELSE label END AS BIGINT) AS "TOPIC_topic" FROM embeddings""",
+)
+def k51_one_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The most similar pair of topics becomes one."""
+    assigned = labelled_vectors(spark, sf)
+    wanted = assigned.select(topics.TOPIC).distinct().count() - 1
+    return topics.assignments(topics.reduce_topics(assigned, "embedding", wanted), "vec_id")
+
+
 @query("k51_reduce_topics")
 def k51_reduce_topics(spark: SparkSession, sf: str) -> DataFrame:
     reduced = topics.reduce_topics(labelled_vectors(spark, sf), "embedding", 4)
@@ -573,6 +625,31 @@ def k55_quotations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+LONG_NAME = "A" + "bcdefghijk" * 5
+
+
+@query(
+    "k55_long_speaker",
+    f"""SELECT item_id, 'A' || repeat('bcdefghijk', 5) || ' A' || repeat('bcdefghijk', 5) AS speaker,
+               length('"' || item_id || '" said ') AS speaker_start, 'said' AS verb
+        FROM benchmark""",
+)
+def k55_long_speaker(spark: SparkSession, sf: str) -> DataFrame:
+    """A speaker of 103 characters is found whole."""
+    said = table(spark, sf, "benchmark").select(
+        "item_id",
+        F.concat(F.lit('"'), "item_id", F.lit(f'" said {LONG_NAME} {LONG_NAME}.\n'), "text").alias("t"),
+    )
+    found = quotes.extract_quotations(said, "t")
+    flat = quotes.flatten_quotations(found, ["item_id"]).filter("QUOTE_verb = 'said'")
+    return flat.select(
+        "item_id",
+        F.col("QUOTE_speaker").alias("speaker"),
+        F.col("QUOTE_speaker_start_idx").alias("speaker_start"),
+        F.col("QUOTE_verb").alias("verb"),
+    )
+
+
 @query(
     "k56_flatten",
     f"""SELECT doc_id, matched[2:-2] AS "QUOTE_quote",
@@ -581,7 +658,7 @@ def k55_quotations(spark: SparkSession, sf: str) -> DataFrame:
         FROM {spans_sql(HTML, "doc_id", '"[^"\\n]+"')} WHERE trim(matched[2:-2]) <> ''""",
 )
 def k56_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread_small_input(table(spark, sf, "pages")).selectExpr("page_id AS doc_id", "html")
+    pages = table(spark, sf, "pages").selectExpr("page_id AS doc_id", "html")
     found = quotes.extract_quotations(pages, "html")
     # Attribute values only: the window then starts and ends at the quotation.
     floating = F.filter("quotation", lambda q: q["is_floating_quote"])
@@ -732,9 +809,7 @@ def h7_lists_by_document(spark: SparkSession, sf: str) -> DataFrame:
     "m1_stream_trend",
     """SELECT date_trunc('hour', ts) AS time_period, event_type, count(*) AS sequential_count,
               min(ts) AS period_start, max(ts) AS period_end FROM events
-       GROUP BY 1, 2
-       HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR
-              <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+       GROUP BY 1, 2""",
 )
 def m1_stream_trend(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
@@ -742,14 +817,15 @@ def m1_stream_trend(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "stream-trend")
     result = stream_trend(stream, "ts", "1 hour", "1 hour", ["event_type"])
     write_available(result, path, scratch_path(spark, "stream-state"))
-    rows = spark.read.schema(result.schema).parquet(path)
+    rows = read_trend(spark, result, path, ["time_period", "event_type"])
     times = ("time_period", "period_start", "period_end")
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
 
 
 @query(
     "m2_stream_tokens",
-    f"""SELECT sha256(text) AS text_hash, len(regexp_extract_all(text, '{WORD}')) AS n
+    f"""SELECT sha256('word' || chr(1) || text) AS text_hash,
+               len(regexp_extract_all(text, '{WORD}')) AS n
         FROM (SELECT DISTINCT text FROM documents)""",
 )
 def m2_stream_tokens(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.sources.readers import spread_small_input
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -41,5 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, on all cores also where they are one small file."""
-    return spread_small_input(table(spark, sf_dir, "documents"))
+    """The documents, in as many partitions as the session asks for, else as they lie.
+
+    ``spark.textloom.inputPartitions`` is for a session that reads one small
+    file, which Spark cannot split; it is unset on a cluster.
+    """
+    parts = spark.conf.get("spark.textloom.inputPartitions", None)
+    docs = table(spark, sf_dir, "documents")
+    return docs.repartition(int(parts)) if parts else docs

@@ -44,9 +44,8 @@ def typed_customer(df: DataFrame) -> DataFrame:
 def a2_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "documents") + ".csv"
     writers.write_table(documents(spark, sf), path, "csv")
-    types = {"doc_id": "bigint", "n_chars": "bigint"}
-    loaded = readers.load(spark, path)
-    return loaded.select(*[F.col(c).cast(types.get(c, "string")) for c in loaded.columns])
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    return readers.load(spark, path, schema=schema, multiline=True)
 
 
 @query("a3_tsv", CUSTOMER_SQL)
@@ -135,10 +134,9 @@ def a9_preview(spark: SparkSession, sf: str) -> DataFrame:
     return readers.preview(rows, ["c_custkey"], page=1, size=50)
 
 
-@query("a10_stage", "SELECT * FROM orders WHERE o_totalprice > 250000")
+@query("a10_stage", "SELECT * FROM orders")
 def a10_stage(spark: SparkSession, sf: str) -> DataFrame:
-    expensive = table(spark, sf, "orders").filter(F.col("o_totalprice") > 250000)
-    return writers.stage(expensive, "orders")
+    return writers.stage(table(spark, sf, "orders"), "orders")
 
 
 @query(
@@ -165,8 +163,7 @@ def a12_ndjson(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a13_parquet_partitioned",
-    "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem "
-    "WHERE l_returnflag = 'R'",
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem",
 )
 def a13_parquet_partitioned(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "lineitem")
@@ -174,7 +171,7 @@ def a13_parquet_partitioned(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"
     )
     writers.write_table(items, path, "parquet", ["l_returnflag"])
-    return spark.read.parquet(path).filter(F.col("l_returnflag") == "R")
+    return spark.read.parquet(path)
 
 
 @query(
@@ -234,6 +231,17 @@ def b2_mojibake(spark: SparkSession, sf: str) -> DataFrame:
     return repair_text_columns(broken, ["text", "doc_id", "missing"])
 
 
+@query(
+    "b2_mixed",
+    "SELECT doc_id, '日本 é ' || text || ' é ẹ̀' AS text FROM documents",
+)
+def b2_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of which only a part was misread, with marks set apart."""
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    mixed = F.concat(F.lit("日本 é "), broken, F.lit(" e\u0301 e\u0323\u0300"))
+    return repair_text_columns(documents(spark, sf).select("doc_id", mixed.alias("text")))
+
+
 @query(
     "b3_to_datetime",
     """SELECT event_id,
@@ -555,6 +563,18 @@ def d2_replace_first(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "literal", "grouped")
 
 
+@query(
+    "d2_lookaround",
+    "SELECT doc_id, regexp_replace(text, 'e([rn])', 'e<\\1>') AS marked FROM documents",
+)
+def d2_lookaround(spark: SparkSession, sf: str) -> DataFrame:
+    """The first match of a pattern that looks at what stands before it."""
+    docs = columns.find_replace(
+        documents(spark, sf), "text", "(?<=e)([rn])", "<$1>", count="first", output="marked"
+    )
+    return docs.select("doc_id", "marked")
+
+
 @query(
     "d3_extract",
     """SELECT page_id,
@@ -708,9 +728,9 @@ TOKEN_COUNTS = """(SELECT token, count(*) AS frequency FROM (
     GROUP BY token)"""
 
 
-@query("e7_top_tokens", f"SELECT * FROM {TOKEN_COUNTS} ORDER BY frequency DESC, token LIMIT 200")
+@query("e7_top_tokens", f"SELECT * FROM {TOKEN_COUNTS} ORDER BY frequency DESC, token LIMIT 9000")
 def e7_top_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return top_tokens(token_frequencies(documents(spark, sf), "text"), 40)
+    return top_tokens(token_frequencies(documents(spark, sf), "text"), 9000)
 
 
 @query(
@@ -739,23 +759,23 @@ def e9_corpus_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    left = table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), "c_mktsegment"
+    """Whole tables with rows that match nothing on both sides."""
+    left = table(spark, sf, "supplier").select(
+        (F.col("s_suppkey") * 3).alias("key"), F.col("s_name").alias("name"), "s_nationkey"
     )
     right = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("name"), "o_orderkey"
     )
-    return left.filter("key % 4 <> 0"), right
+    return left, right
 
 
-SIDES = """WITH l AS (SELECT c_custkey AS key, c_name AS name, c_mktsegment FROM customer
-                      WHERE c_custkey % 4 <> 0),
+SIDES = """WITH l AS (SELECT s_suppkey * 3 AS key, s_name AS name, s_nationkey FROM supplier),
      r AS (SELECT o_custkey AS cust, o_orderpriority AS name, o_orderkey FROM orders) """
 
 
 @query(
     "f1_inner",
-    SIDES + "SELECT l.key, l.name, l.c_mktsegment, r.name AS name_right, r.o_orderkey "
+    SIDES + "SELECT l.key, l.name, l.s_nationkey, r.name AS name_right, r.o_orderkey "
     "FROM l JOIN r ON l.key = r.cust",
 )
 def f1_inner(spark: SparkSession, sf: str) -> DataFrame:
@@ -776,7 +796,7 @@ def f1_inner_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f2_left",
-    SIDES + "SELECT l.key, l.name, l.c_mktsegment, r.name AS name_right, r.o_orderkey "
+    SIDES + "SELECT l.key, l.name, l.s_nationkey, r.name AS name_right, r.o_orderkey "
     "FROM l LEFT JOIN r ON l.key = r.cust",
 )
 def f2_left(spark: SparkSession, sf: str) -> DataFrame:
@@ -785,7 +805,7 @@ def f2_left(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f3_right",
-    SIDES + "SELECT l.name, l.c_mktsegment, r.cust, r.name AS name_right, r.o_orderkey "
+    SIDES + "SELECT l.name, l.s_nationkey, r.cust, r.name AS name_right, r.o_orderkey "
     "FROM l RIGHT JOIN r ON l.key = r.cust",
 )
 def f3_right(spark: SparkSession, sf: str) -> DataFrame:
@@ -794,7 +814,7 @@ def f3_right(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f4_full",
-    SIDES + "SELECT l.key, l.name, l.c_mktsegment, r.cust, r.name AS name_right, r.o_orderkey "
+    SIDES + "SELECT l.key, l.name, l.s_nationkey, r.cust, r.name AS name_right, r.o_orderkey "
     "FROM l FULL JOIN r ON l.key = r.cust",
 )
 def f4_full(spark: SparkSession, sf: str) -> DataFrame:
@@ -811,6 +831,15 @@ def f6_anti(spark: SparkSession, sf: str) -> DataFrame:
     return combine.join_tables(*order_sides(spark, sf), "key", "cust", "anti")
 
 
+@query(
+    "f4_full_hot_keys",
+    SIDES + "SELECT l.key, l.name, l.s_nationkey, r.cust, r.name AS name_right, r.o_orderkey "
+    "FROM l FULL JOIN r ON l.key = r.cust",
+)
+def f4_full_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return combine.join_tables(*order_sides(spark, sf), "key", "cust", "full", spread_hot_keys=True)
+
+
 @query("f7_cross", "SELECT r_name, n_name, n_regionkey FROM region CROSS JOIN nation")
 def f7_cross(spark: SparkSession, sf: str) -> DataFrame:
     joined = combine.join_tables(
@@ -821,13 +850,13 @@ def f7_cross(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f8_suffix",
-    """SELECT a.s_suppkey, a.s_name, a.s_nationkey, a.s_acctbal, b.s_suppkey AS s_suppkey_right,
-              b.s_name AS s_name_right, b.s_acctbal AS s_acctbal_right
-       FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey""",
+    """SELECT a.s_suppkey, a.s_name, a.s_nationkey, a.s_acctbal, b.s_name AS s_name_right,
+              b.s_nationkey AS s_nationkey_right, b.s_acctbal AS s_acctbal_right
+       FROM supplier a JOIN supplier b ON a.s_suppkey = b.s_suppkey""",
 )
 def f8_suffix(spark: SparkSession, sf: str) -> DataFrame:
     supplier = table(spark, sf, "supplier")
-    return combine.join_tables(supplier, table(spark, sf, "supplier"), "s_nationkey", "s_nationkey")
+    return combine.join_tables(supplier, table(spark, sf, "supplier"), "s_suppkey", "s_suppkey")
 
 
 # --- G: stacking, distinct --------------------------------------------------

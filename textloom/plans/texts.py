@@ -148,7 +148,7 @@ def k4_carry_derived(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.drop_derived(counted, name).select("doc_id", "lang", "n")
 
 
-STORE_SQL = f"""SELECT sha256(text) AS text_hash, len(regexp_extract_all(text, '{WORD}')) AS n
+STORE_SQL = f"""SELECT sha256('word' || chr(1) || text) AS text_hash, len(regexp_extract_all(text, '{WORD}')) AS n
     FROM (SELECT DISTINCT text FROM documents)"""
 
 
@@ -170,11 +170,23 @@ def k5_token_store(spark: SparkSession, sf: str) -> DataFrame:
 @query("k5_compaction", STORE_SQL)
 def k5_compaction(spark: SparkSession, sf: str) -> DataFrame:
     path, target = filled_store(spark, sf), scratch_path(spark, "token-store-compact")
-    tokens.compact_store(spark, path, target, tokens.STORE_SCHEMA, files=4)
+    tokens.compact_when(spark, path, target, tokens.STORE_SCHEMA, files=4, limit=1)
     stored = spark.read.parquet(target)
     return stored.select("text_hash", F.size("tokens").cast("bigint").alias("n"))
 
 
+@query(
+    "k5_two_models",
+    """SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS n FROM documents""",
+)
+def k5_two_models(spark: SparkSession, sf: str) -> DataFrame:
+    """A store filled with the tokens of one model, read with another."""
+    path = filled_store(spark, sf)
+    docs = tokens.tokenise_from_store(documents(spark, sf), "text", path, "whitespace")
+    column = tokens.find_derived(docs, "text", model="whitespace")
+    return docs.select("doc_id", F.size(column).cast("bigint").alias("n"))
+
+
 @query("k5_tokens_from_store", f"SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n FROM documents")
 def k5_tokens_from_store(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
@@ -290,6 +302,24 @@ def k11_flat_hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits.drop("CONC_doc_length")
 
 
+@query(
+    "k11_blank",
+    "SELECT doc_id, 1 AS hits, 1 AS counted FROM documents WHERE doc_id % 5 <> 0",
+)
+def k11_blank(spark: SparkSession, sf: str) -> DataFrame:
+    """A text of white space only has no hits, in the table or in the counts."""
+    text = "CASE WHEN doc_id % 5 = 0 THEN '\n\t ' ELSE concat(lang, '\t', source) END AS t"
+    docs = documents(spark, sf).selectExpr("doc_id", text)
+    hits = kwic.concordance(docs, "t", "[\\t]", ["doc_id"], regex=True)
+    counted = kwic.matches(docs, "t", "[\\t]", ["doc_id"], regex=True)
+    both = hits.select("doc_id", F.lit(1).alias("h")).unionByName(
+        counted.select("doc_id", F.lit(0).alias("h"))
+    )
+    return both.groupBy("doc_id").agg(
+        F.count_if(F.col("h") == 1).alias("hits"), F.count_if(F.col("h") == 0).alias("counted")
+    )
+
+
 @query(
     "k12_extraction",
     f"""SELECT doc_id, start AS "CONC_start_idx", extraction, extraction AS again
@@ -724,7 +754,7 @@ def k31_contrast(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     scored = finite(keyness.keyness(*corpora(spark, sf, "en", "de")))
     best = [F.desc("log_likelihood_llv"), F.asc("token")]
-    return scored.orderBy(*best).limit(keyness.DEFAULT_LIMIT)
+    return scored.orderBy(*best).limit(25)
 
 
 @query(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_owned: set[str] = set()
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,7 +59,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder of this application, which goes when the driver ends."""
+    home = f"{scratch_root(spark)}/textloom-{spark.sparkContext.applicationId}"
+    if home not in _owned:
+        _owned.add(home)
+        atexit.register(_remove, spark, home)
+    return f"{home}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,11 +74,8 @@ def _write_json_arrays(df: DataFrame, path: str) -> None:
 
 
 def safe_name(label: str | None, fallback: str) -> str:
-    """A name that is valid on every file system."""
-    forbidden = '<>:"/\\|?*'
-    text = (label or fallback).strip()
-    clean = "".join("_" if c in forbidden or ord(c) < 32 else c for c in text).strip()
-    return clean or fallback
+    """The label as a file name: control characters and those some systems reserve become ``_``."""
+    return re.sub(r'[\x00-\x1f<>:"/\\|?*]', "_", (label or fallback).strip()).strip() or fallback
 
 
 def export_tables(tables: list[tuple[str, DataFrame]], folder: str, fmt: str) -> dict[str, str]:

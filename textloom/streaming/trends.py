@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stream_trend(
@@ -35,12 +36,30 @@ def stream_trend(
 
 
 def write_available(result: DataFrame, path: str, checkpoint: str) -> None:
-    """Run a stream over all input present and append what is final to ``path``."""
+    """Run a stream over all input present and append every changed window to ``path``.
+
+    Each micro-batch adds what it changed, with its number, so the last windows
+    of a finished input are there as well. A batch that is repeated after a
+    failure replaces its own folder.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     query = (
-        result.writeStream.format("parquet")
-        .outputMode("append")
+        result.writeStream.foreachBatch(add)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
     query.awaitTermination()
+
+
+def read_trend(spark: SparkSession, result: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The newest state of every window that ``write_available`` has written."""
+    schema = T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(path)
+    values = [c for c in result.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select(*keys, "v.*").select(*result.columns)
