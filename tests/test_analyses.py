@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import stopwords
 from textloom.operators import annotate, keyness, quotes, tokens, topics, trends
 from textloom.streaming.tokens import stream_token_store
-from textloom.streaming.trends import stream_trend, write_available
+from textloom.streaming.trends import read_trend, stream_trend, write_available
 
 
 # --- keyness ----------------------------------------------------------------
@@ -340,16 +340,23 @@ def test_edits_and_annotations(spark):
 # --- streams ----------------------------------------------------------------
 
 
-def test_stream_trend_closes_windows(spark, tmp_path):
+def test_stream_trend_has_all_windows(spark, tmp_path):
     data = [(dt.datetime(2024, 1, 1, h, 30), "a") for h in range(5)]
     df = spark.createDataFrame(data, "ts timestamp_ntz, g string")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     trend = stream_trend(stream, "ts", "1 hour", "1 hour", ["g"])
     write_available(trend, str(tmp_path / "out"), str(tmp_path / "state"))
-    out = spark.read.parquet(str(tmp_path / "out"))
-    # The watermark stands at 03:30, so the hours up to 03:00 are final.
-    assert out.count() == 3 and out.agg(F.sum("sequential_count")).first()[0] == 3
+    out = read_trend(spark, trend, str(tmp_path / "out"), ["time_period", "g"])
+    assert out.count() == 5 and out.agg(F.sum("sequential_count")).first()[0] == 5
+    # More input changes the open windows; the newest state of each counts.
+    more = [(dt.datetime(2024, 1, 1, 4, 45), "a"), (dt.datetime(2024, 1, 1, 9), "a")]
+    spark.createDataFrame(more, df.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    again = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    trend = stream_trend(again, "ts", "1 hour", "1 hour", ["g"])
+    write_available(trend, str(tmp_path / "out"), str(tmp_path / "state"))
+    out = read_trend(spark, trend, str(tmp_path / "out"), ["time_period", "g"])
+    assert sorted(r["sequential_count"] for r in out.collect()) == [1, 1, 1, 1, 1, 2]
 
 
 def test_stream_token_store(spark, tmp_path):

@@ -15,7 +15,7 @@ from textloom.plans.registry import documents, query, table
 from textloom.plans.texts import WORD, kwic_sql, spans_sql
 from textloom.session import scratch_path
 from textloom.streaming.tokens import stream_token_store
-from textloom.streaming.trends import stream_trend, write_available, read_trend
+from textloom.streaming.trends import read_trend, stream_trend, write_available
 
 # --- trends -----------------------------------------------------------------
 

@@ -304,7 +304,7 @@ def k11_flat_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k11_blank",
-    "SELECT doc_id, 1 AS hits, 1 AS counted FROM documents WHERE doc_id % 5 <> 0",
+    "SELECT doc_id, 1::BIGINT AS hits, 1::BIGINT AS counted FROM documents WHERE doc_id % 5 <> 0",
 )
 def k11_blank(spark: SparkSession, sf: str) -> DataFrame:
     """A text of white space only has no hits, in the table or in the counts."""
