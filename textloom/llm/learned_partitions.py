@@ -144,29 +144,40 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _rerank(table: pa.Table, dim: int, k: int) -> pa.Table:
-    """The k best vectors of a block for each of its queries, by exact inner products."""
+def _rerank(table: pa.Table, dim: int, parts: int, k: int) -> pa.Table:
+    """The k best vectors of a block for each of its queries, by exact inner products.
+
+    A query sees the vectors of the partitions it was sent to; vectors as good as
+    the last one stay.
+    """
     role = np.asarray(table.column("query"))
     keys = np.asarray(table.column("key"))
     vectors = _matrix(table.column("vector"), dim)
     queries, base = np.flatnonzero(role), np.flatnonzero(~role)
+    cells = table.column("cells").to_pylist()
+    home = np.array([cells[i][0] for i in base], np.int64)
     x = vectors[base]
-    found_q, found_x, found_s = [], [], []
-    if len(base):
-        for a in range(0, len(queries), 128):
-            pick = queries[a : a + 128]
-            rough = vectors[pick] @ x.T
-            # A few more than k, as rounding differs between the two ways to multiply.
-            wide = min(k + 8, len(base))
-            top = np.argpartition(-rough, wide - 1, axis=1)[:, :wide]
-            exact = (vectors[pick][:, None, :] * x[top]).sum(axis=2)
-            found_q.append(np.repeat(keys[pick], wide))
-            found_x.append(keys[base][top].ravel())
-            found_s.append(exact.ravel())
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    return pa.table(
-        {"q": join(found_q, np.int64), "x": join(found_x, np.int64), "score": join(found_s, np.float64)}
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(queries) if len(base) else 0, 128):
+        pick = queries[a : a + 128]
+        sent = np.zeros((len(pick), parts), bool)
+        for row, i in enumerate(pick):
+            sent[row, cells[i]] = True
+        rough = np.where(sent[:, home], vectors[pick] @ x.T, -np.inf)
+        # A few more than k, as rounding differs between the two ways to multiply.
+        wide = min(k + 8, len(base))
+        top = np.argpartition(-rough, wide - 1, axis=1)[:, :wide]
+        exact = (vectors[pick][:, None, :] * x[top]).sum(axis=2)
+        exact[~np.isfinite(np.take_along_axis(rough, top, 1))] = -np.inf
+        last = -np.sort(-exact, axis=1)[:, min(k, wide) - 1]
+        row, at = np.nonzero(np.isfinite(exact) & (exact >= last[:, None]))
+        out.append((keys[pick][row], keys[base][top[row, at]], exact[row, at]))
+    kinds = (np.int64, np.int64, np.float64)
+    q, found, score = (
+        np.concatenate([o[i] for o in out]) if out else np.empty(0, kind)
+        for i, kind in enumerate(kinds)
     )
+    return pa.table({"q": q, "x": found, "score": score})
 
 
 def search(
@@ -195,8 +206,8 @@ def search(
     ``probed`` share of partitions it finds most probable, or to more until they
     hold 4 k vectors. There exact products, in double precision, decide.
 
-    Partitions are compared in blocks of about ``block`` vectors and ``block``
-    queries, however large one grows. Fewer than k candidates give fewer rows;
+    Small partitions are packed into blocks of up to ``block`` vectors, large
+    ones are split into such; a block meets about ``block`` queries at a time. Fewer than k candidates give fewer rows;
     an empty table gives none. Rows with equal ids and vectors are one; an id on
     several vectors is a candidate with each and, as a query, ranks each
     vector's answers on their own. Null ids take no part. Other columns are
@@ -242,8 +253,15 @@ def search(
     for r in placed.groupBy("cell").count().collect():  # one row per partition
         held[r["cell"]] = r["count"]
     least = max(1, math.ceil(probed * parts))
+    # Partitions in a row share a block as far as there is room.
+    block_of = np.zeros(parts, np.int64)
+    for c in range(1, parts):
+        same = np.flatnonzero(block_of[:c] == block_of[c - 1])
+        block_of[c] = block_of[c - 1] + (held[same].sum() + held[c] > block)
+    blocks = int(block_of[-1]) + 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("block", pa.int32()), ("cells", pa.list_(pa.int32()))]))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -251,36 +269,46 @@ def search(
             enough = (np.cumsum(held[order], axis=1) >= 4 * k + 1).argmax(axis=1) + 1
             full = held[order].sum(axis=1) < 4 * k + 1
             take = np.where(full, parts, np.maximum(enough, least))
-            offsets = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-            flat = np.concatenate([o[:n] for o, n in zip(order, take, strict=True)]).astype(np.int32)
-            cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield batch.append_column("cells", cells)
+            sent = []
+            for row, n in zip(order, take, strict=True):
+                cells: dict[int, list[int]] = {}
+                for c in row[:n].tolist():
+                    cells.setdefault(int(block_of[c]), []).append(c)
+                sent.append([{"block": b, "cells": c} for b, c in cells.items()])
+            yield batch.append_column("sent", pa.array(sent, kind))
 
     sought = base.join(asked.select("key").distinct(), "key", "left_semi").select("key", "vector")
     routed = scratch.table(
-        sought.mapInArrow(route, f"key long, vector {element}, cells array<int>"), "routed"
-    ).select("key", "vector", F.explode("cells").alias("cell"))
-    visits = np.zeros(parts, np.int64)
-    for r in routed.groupBy("cell").count().collect():
-        visits[r["cell"]] = r["count"]
+        sought.mapInArrow(
+            route, f"key long, vector {element}, sent array<struct<block:int,cells:array<int>>>"
+        ),
+        "routed",
+    ).select("key", "vector", F.explode("sent").alias("s"))
+    routed = routed.select("key", "vector", "s.block", "s.cells")
+    size, visits = np.bincount(block_of, weights=held, minlength=blocks), np.zeros(blocks, np.int64)
+    for r in routed.groupBy("block").count().collect():  # one row per block of partitions
+        visits[r["block"]] = r["count"]
     grid = spark.createDataFrame(
-        [(c, math.ceil(held[c] / block) or 1, math.ceil(visits[c] / block) or 1) for c in range(parts)],
-        "cell int, subs int, qsubs int",
-    )
-    grid = F.broadcast(grid)  # one row per partition
+        [
+            (c, int(b), math.ceil(size[b] / block) or 1, math.ceil(visits[b] / block) or 1)
+            for c, b in enumerate(block_of)
+        ],
+        "cell int, block int, subs int, qsubs int",
+    )  # one row per partition
     mine = F.pmod(F.xxhash64("key"), F.col("subs")).cast("int")
     theirs = F.pmod(F.xxhash64("key"), F.col("qsubs")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(grid, "cell").select(
-        "key", "vector", F.lit(False).alias("query"), "cell", mine.alias("sub"),
-        every("qsubs").alias("qsub"),
+    left = placed.join(F.broadcast(grid), "cell").select(
+        "key", "vector", F.lit(False).alias("query"), F.array("cell").alias("cells"), "block",
+        mine.alias("sub"), every("qsubs").alias("qsub"),
     )
-    right = routed.join(grid, "cell").select(
-        "key", "vector", F.lit(True).alias("query"), "cell", every("subs").alias("sub"),
+    per_block = F.broadcast(grid.select("block", "subs", "qsubs").distinct())
+    right = routed.join(per_block, "block").select(
+        "key", "vector", F.lit(True).alias("query"), "cells", "block", every("subs").alias("sub"),
         theirs.alias("qsub"),
     )
-    blocks = left.unionByName(right).groupBy("cell", "sub", "qsub")
-    found = blocks.applyInArrow(lambda t: _rerank(t, dim, k + 1), "q long, x long, score double")
+    met = left.unionByName(right).groupBy("block", "sub", "qsub")
+    found = met.applyInArrow(lambda t: _rerank(t, dim, parts, k + 1), "q long, x long, score double")
     named = found.join(base.select(F.col("key").alias("x"), "ids"), "x")
     near = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0], "x")
     best = named.withColumn("nth", F.row_number().over(near)).filter(F.col("nth") <= k + 1)
