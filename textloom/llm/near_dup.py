@@ -17,6 +17,7 @@ SUBKEYS = 18  # of each of the two collections: 18 * 18 tables from 36 sub-keys
 HASHES = 4  # minhashes in a sub-key, so 8 in a table key
 FEW = 64  # members up to which a group is compared directly, and rows of a rare shingle
 BLOCK = 1 << 16  # shingles hashed at a time
+BROADCAST_IDS = 2_000_000  # candidates whose ids are broadcast to pick their texts, 16 bytes each
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -74,8 +75,10 @@ def near_duplicates(
     )
     stars = _stars(scratch, classes)
     ids = stars.select("id").unionByName(stars.select(F.col("lead").alias("id"))).distinct()
+    ids = scratch.table(ids, "candidates")
+    few = ids.count() <= BROADCAST_IDS
     sets = scratch.table(
-        source.join(ids, "id", "left_semi").mapInArrow(
+        source.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(
             lambda batches: _sets(batches, width), "id long, n long, shingles binary"
         ),
         "sets",
