@@ -43,9 +43,10 @@ def near_duplicates(
     table with a probability of 1.5 in 10,000, and less above it.
 
     *Candidates.* Only sub-keys seen twice are paired. The member of a bucket
-    with the most shared sub-keys leads it and is compared with the others;
-    members that are not linked to their leader ("strays") are then compared
-    with the rest of their group. In a group of more than FEW that goes by an
+    with the most shared sub-keys leads it and is compared with the others.
+    Groups are what the leaders hold together. Members that the links found so
+    far do not tie to the largest part of their group ("strays") are then
+    compared with the rest of it. In a group of more than FEW that goes by an
     exact bound: with S the shingles that more than FEW members hold, two
     members share at most ``min(|x & S|, |y & S|)`` shingles and those rarer
     ones which an index finds. No pair that shares a table is lost, and no
@@ -88,7 +89,7 @@ def near_duplicates(
         "compared",
     )
     links = compared.filter("linked").select("a", "b")
-    late = _stray_pairs(scratch, compared, sets, percent)
+    late = _stray_pairs(scratch, stars, links, sets, percent)
     if late is not None:
         again = scratch.table(_compare(late, sets, percent), "compared-strays")
         links = links.unionByName(again.filter("linked").select("a", "b"))
@@ -282,33 +283,48 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _stray_pairs(
-    scratch: Scratch, compared: DataFrame, sets: DataFrame, percent: int
+    scratch: Scratch, stars: DataFrame, links: DataFrame, sets: DataFrame, percent: int
 ) -> DataFrame | None:
-    """Pairs of a stray with another member of its group that may still be linked."""
+    """Pairs of a stray with another member of its group that may still be linked.
+
+    A group is a component of the stars, so texts that share a table are in one
+    group. Its members fall into the parts that the links found so far make;
+    strays are those outside the largest part.
+    """
+    group = components(scratch, stars, "lead", "id").withColumnRenamed("root", "g")
+    part = components(scratch, links)
+    members = scratch.table(
+        group.join(part, "node", "left")
+        .join(sets.select(F.col("id").alias("node"), "n"), "node")
+        .select("g", F.col("node").alias("id"), "n", F.coalesce("root", "node").alias("part")),
+        "grouped",
+    )
+    parts = members.groupBy("g", "part").agg(F.count(F.lit(1)).alias("held"))
     groups = scratch.table(
-        compared.groupBy("a")
-        .agg(F.count(F.lit(1)).alias("size"), F.count(F.when(~F.col("linked"), 1)).alias("strays"))
-        .filter("strays > 0 and size > 1")
-        .select(F.col("a").alias("g"), "size"),
+        parts.groupBy("g")
+        .agg(F.max(F.struct("held", "part")).alias("top"), F.sum("held").alias("size"))
+        .filter("size > top.held")
+        .select("g", F.col("top.part").alias("main"), "size"),
         "groups-with-strays",
     )
     if groups.isEmpty():
         return None
+    stray = (F.col("part") != F.col("main")).alias("stray")
     members = scratch.table(
-        compared.select(
-            F.col("a").alias("g"), F.col("b").alias("id"), F.col("nb").alias("n"),
-            (~F.col("linked")).alias("stray"),
-        ).join(groups, "g"),
-        "members",
+        members.join(groups, "g").select("g", "id", "n", "part", "size", stray), "members"
     )
-    x = members.filter("stray").select("g", F.col("id").alias("x"), F.col("n").alias("nx"), "size")
-    y = members.select("g", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("stray").alias("sy"))
-    sized = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (
-        (F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ~F.col("sy"))
+    x = members.filter("stray").select(
+        "g", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), "size"
     )
-    small = x.filter(F.col("size") <= FEW).drop("size").join(y, "g").filter(sized).select("x", "y")
+    y = members.select(
+        "g", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"),
+        F.col("stray").alias("sy"),
+    )
+    fits = (F.col("px") != F.col("py")) & (~F.col("sy") | (F.col("x") < F.col("y"))) & (
+        100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    )
+    pairs = x.filter(F.col("size") <= FEW).drop("size").join(y, "g").filter(fits).select("x", "y")
     large = members.filter(F.col("size") > FEW)
-    pairs = small
     if not large.isEmpty():
         pairs = pairs.unionByName(_bounded_pairs(scratch, large, sets, percent))
     low, high = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
@@ -335,7 +351,10 @@ def _bounded_pairs(
 
     rows = members.select("g", "id", "stray").join(sets.select("id", "shingles"), "id")
     rows = scratch.table(
-        rows.mapInArrow(listed, "g long, id long, stray boolean, s long"), "member-shingles"
+        rows.select("g", "id", "stray", "shingles").mapInArrow(
+            listed, "g long, id long, stray boolean, s long"
+        ),
+        "member-shingles",
     )
     held = scratch.table(
         rows.groupBy("g", "s")
@@ -346,7 +365,7 @@ def _bounded_pairs(
     common = rows.join(held.filter(F.col("f") > FEW).select("g", "s"), ["g", "s"])
     counted = common.groupBy("g", "id").agg(F.count(F.lit(1)).alias("c"))
     known = scratch.table(
-        members.select("g", "id", "n", "stray")
+        members.select("g", "id", "n", "part", "stray")
         .join(counted, ["g", "id"], "left")
         .withColumn("c", F.coalesce("c", F.lit(0)))
         .withColumn("room", ratio * F.col("c") - F.col("n")),
@@ -354,12 +373,13 @@ def _bounded_pairs(
     )
     x = known.filter("stray").select(
         "g", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"),
-        F.col("room").alias("rx"),
+        F.col("room").alias("rx"), F.col("part").alias("px"),
     )
     y = known.select(
         "g", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"),
-        F.col("room").alias("ry"), F.col("stray").alias("sy"),
+        F.col("room").alias("ry"), F.col("part").alias("py"),
     )
+    apart = F.col("px") != F.col("py")
     # (1) By their common shingles alone: |y| <= room(x) and |x| <= room(y), met by length.
     bin_of = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
     least = F.lit(percent / 100) * F.col("nx")
@@ -369,18 +389,33 @@ def _bounded_pairs(
     binned = y.withColumn("bin", bin_of(F.col("ny")))
     best = binned.groupBy("g", "bin").agg(F.min("ny").alias("shortest"), F.max("ry").alias("widest"))
     reach = reach.join(best, ["g", "bin"]).filter("shortest <= rx and widest >= nx")
-    fits = (F.col("ny") <= F.col("rx")) & (F.col("nx") <= F.col("ry")) & (F.col("x") != F.col("y"))
+    fits = (F.col("ny") <= F.col("rx")) & (F.col("nx") <= F.col("ry")) & apart
     by_length = reach.join(binned, ["g", "bin"]).filter(fits).select("x", "y")
-    # (2) With rarer shingles in common, as many as the bound asks for.
-    rare = rows.join(held.filter((F.col("f") <= FEW) & F.col("any")).select("g", "s"), ["g", "s"])
-    met = rare.groupBy("g", "s").agg(F.collect_list(F.struct("id", "stray")).alias("who"))
-    one = met.select("g", "who", F.explode("who").alias("p")).filter("p.stray")
-    two = one.select("g", F.col("p.id").alias("x"), F.explode("who").alias("q"))
-    shared = two.select("g", "x", F.col("q.id").alias("y")).filter("x <> y")
-    shared = shared.groupBy("g", "x", "y").agg(F.count(F.lit(1)).alias("e"))
-    bound = ratio * (F.least("cx", "cy") + F.col("e")) >= F.col("nx") + F.col("ny")
-    by_rare = shared.join(x, ["g", "x"]).join(y, ["g", "y"]).filter(bound).select("x", "y")
-    return by_length.unionByName(by_rare)
+    # (2) With rarer shingles in common, ``need`` at least: then any ``has - need + 1`` of the
+    # stray's own hold one that is shared, and its rarest are the cheapest to look up.
+    rare = held.filter((F.col("f") <= FEW) & F.col("any")).select("g", "s", "f")
+    mine = rows.filter("stray").join(rare, ["g", "s"]).withColumnRenamed("id", "x")
+    has = mine.groupBy("g", "x").agg(F.count(F.lit(1)).alias("has"))
+    shortest = known.groupBy("g").agg(F.min("n").alias("least_n"))
+    other = F.greatest(F.col("least_n").cast("double"), least)
+    need = F.greatest(F.lit(1), F.ceil((F.col("nx") + other) / ratio - F.col("cx") - 1e-6))
+    probing = scratch.table(
+        has.join(x, ["g", "x"])
+        .join(shortest, "g")
+        .withColumn("probes", F.col("has") - need + 1)
+        .filter("probes > 0"),
+        "probing",
+    )
+    nth = F.row_number().over(Window.partitionBy("g", "x").orderBy("f", "s"))
+    probes = mine.join(probing.select("g", "x", "probes"), ["g", "x"]).withColumn("nth", nth)
+    probes = probes.filter("nth <= probes").select("g", "s", "x")
+    holders = rows.join(rare.select("g", "s"), ["g", "s"]).select("g", "s", F.col("id").alias("y"))
+    met = probes.join(holders, ["g", "s"]).filter("x <> y")
+    shared = met.groupBy("g", "x", "y").agg(F.count(F.lit(1)).alias("e"))
+    most = F.least("cx", "cy") + F.col("e") + F.col("has") - F.col("probes")
+    bound = ratio * most >= F.col("nx") + F.col("ny") - 1e-6
+    by_rare = shared.join(probing, ["g", "x"]).join(y, ["g", "y"]).filter(bound & apart)
+    return by_length.unionByName(by_rare.select("x", "y"))
 
 
 def drop_near_duplicates(
