@@ -161,6 +161,26 @@ def test_mixing(make, odd):
     assert poisson_mix.mix(make([])).collect() == []
 
 
+def test_mixing_small_source(spark, make):
+    """A one-row source of a large corpus is repeated as often as its weight asks."""
+    many = spark.range(30_000).selectExpr("id AS doc_id", "'t' AS text", "'big' AS source")
+    one = make([(-1, "rare", "small"), (-2, "none", None)]).select("doc_id", "text", "source")
+    docs = many.unionByName(one)
+    rate = 30_002 / 3
+    for limit in (poisson_mix.BROADCAST_SOURCES, 0):
+        mixed = poisson_mix.mix(docs, broadcast_sources=limit)
+        rare = mixed.filter("doc_id < 0").select("doc_id", "copies", "copy", "shuffle_key").collect()
+        for i in (-1, -2):
+            got = [r for r in rare if r.doc_id == i]
+            assert abs(len(got) - rate) < 5 * rate**0.5 and {r.copies for r in got} == {len(got)}
+            assert sorted(r.copy for r in got) == list(range(1, len(got) + 1))
+        assert len({r.shuffle_key for r in rare}) == len(rare)
+    # Sums of draws are Poisson as well: the variance is the rate, so the draws are independent.
+    wide = poisson_mix.mix(make([(i, "t") for i in range(300)]), total=300 * 1200)
+    n = np.array([r.copies for r in wide.filter("copy = 1").collect()])
+    assert len(n) == 300 and abs(n.mean() - 1200) < 10 and 800 < n.var() < 1700
+
+
 def brute_scan(text, items, size=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
