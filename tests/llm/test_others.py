@@ -121,6 +121,31 @@ def test_page_layouts(spark):
     assert wrappers.extract(df.filter("false"), scratch).collect() == []
 
 
+def main_texts(spark, rows):
+    """Texts by id of pages given as (id, url, html)."""
+    scratch = Scratch(spark, "test")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df, scratch).collect()}
+    scratch.close()
+    assert len(got) == len(rows)
+    return got
+
+
+def test_page_templates(spark):
+    """Each layout of a host chooses for itself, also of the host of all null and broken URLs."""
+    article = "<html><body><div class='ad'>Buy</div><article><h1>Head {0}</h1><p>Story {0}</p></article></body></html>"
+    div = "<html><body><div id='top'><a href=/>Home</a></div><div class='content'><p>Report {0}</p></div></body></html>"
+    table = "<html><body><section><p>Long {0} " + "words " * 60 + "</p></section><blockquote>Said {0}</blockquote></body></html>"
+    rows = [(1, "http://two.example/a", article.format(1)), (2, "http://two.example/b", div.format(2))]
+    rows += [(10 + i, "http://hot.example", table.format(i)) for i in range(30)]
+    rows += [(50, "http://hot.example", div.format(50))]
+    rows += [(60, None, article.format(60)), (61, "http://[bad", div.format(61)), (62, None, table.format(62))]
+    got = main_texts(spark, rows)
+    assert got[1] == "Head 1 Story 1" and got[2] == "Report 2"
+    assert got[50] == "Report 50" and all(f"Long {i} words" in got[10 + i] for i in range(30))
+    assert got[60] == "Head 60 Story 60" and got[61] == "Report 61" and got[62].startswith("Long 62 words")
+
+
 def test_wrapper_algebra():
     items, slots = wrappers.fold(["<ul", "<li", "#", "<li", "#", "<li", "#", ">ul", "<p", "#"])
     assert items == ["<ul", ["+", ["<li", "#"]], ">ul", "<p", "#"] and slots == [0, 0, 0, 1]

@@ -336,29 +336,31 @@ def is_side(path: list[str]) -> bool:
 
 
 def choose(slots: list[dict]) -> set[int]:
-    """The slots of a host that hold main text.
-
-    ``slots`` tell each slot's ``path``, ``chars``, ``link`` characters, number
-    of texts ``n``, of ``pages`` and whether all are ``equal``. Side elements,
-    slots made of links and texts that every page repeats fall out. Of the rest,
-    those in an article or main element are taken; where there is none, those
-    in the smallest element that holds nine tenths of the characters.
+    """The slots of a layout that hold main text.
+
+    ``slots`` tell each slot's ``path``, its ``chars`` in this layout and its
+    ``weight``, the characters of its place over all pages of the host;
+    ``dull`` slots are made of links or of text that every page repeats. Side
+    elements and dull slots fall out. Of the rest, those in an article or main
+    element are taken; where this layout has none, those in its smallest element
+    that holds nine tenths of the characters, by ``chars`` and by ``weight``: a
+    page with one long quotation is not cut to it, nor is a rare template
+    measured by a hot one.
     """
-    good = [
-        s for s in slots
-        if not is_side(s["path"]) and 2 * s["link"] <= s["chars"] and not (s["equal"] and s["pages"] > 4)
-    ]
+    good = [s for s in slots if not is_side(s["path"]) and not s["dull"]]
     named = [s for s in good if any(p.split(".")[0] in MAIN_TAGS for p in s["path"])]
     if named:
         return {s["slot"] for s in named}
-    total = sum(s["chars"] for s in good)
-    best: tuple[str, ...] = ()
-    weights: dict[tuple[str, ...], int] = {}
+    held: dict[tuple[str, ...], tuple[int, int]] = {}
     for s in good:
         for n in range(len(s["path"]) + 1):
-            weights[tuple(s["path"][:n])] = weights.get(tuple(s["path"][:n]), 0) + s["chars"]
-    for path, chars in weights.items():
-        if 10 * chars >= 9 * total and (len(path), path) > (len(best), best):
+            chars, weight = held.get(tuple(s["path"][:n]), (0, 0))
+            held[tuple(s["path"][:n])] = chars + s["chars"], weight + s["weight"]
+    best: tuple[str, ...] = ()
+    all_chars, all_weight = held.get((), (0, 0))
+    for path, (chars, weight) in held.items():
+        most = 10 * chars >= 9 * all_chars and 10 * weight >= 9 * all_weight
+        if most and (len(path), path) > (len(best), best):
             if not path or path[-1].split(".")[0] not in OPTIONAL_END:
                 best = path
     return {s["slot"] for s in good if tuple(s["path"][: len(best)]) == best}
@@ -388,7 +390,8 @@ def extract(
        mismatches become optional parts, repeats become groups, differing texts
        are slots. Hosts are salted: partial wrappers come first and are merged.
     3. Characters, link characters and repeated texts are summed per slot of the
-       wrapper, over all pages, and decide which slots hold main text.
+       wrapper, over all pages; with these each layout decides which of its
+       slots hold main text.
     4. Each page's texts in these slots are joined in page order.
 
     Character references are decoded, white space inside a block becomes one
@@ -430,27 +433,32 @@ def extract(
     each = parsed.select("host", "layout", F.explode("texts").alias("t"))
     per_layout = each.groupBy("host", "layout", "t.slot").agg(
         F.sum("t.chars").alias("chars"), F.sum("t.link").alias("link"),
-        F.count(F.lit(1)).alias("n"),
         F.min(F.xxhash64("t.text")).alias("low"), F.max(F.xxhash64("t.text")).alias("high"),
     )
     placed = matched.select(
         "host", "layout", F.posexplode("places").alias("slot", "place"), "paths"
     ).withColumn("path", F.col("paths")[F.col("slot")])
+    slots = scratch.table(per_layout.join(placed, ["host", "layout", "slot"]).drop("paths"), "slots")
     stats = (
-        per_layout.join(placed, ["host", "layout", "slot"])
-        .join(layouts, ["host", "layout"])
+        slots.join(layouts, ["host", "layout"])
         .groupBy("host", "place", "path")
         .agg(
-            F.sum("chars").alias("chars"), F.sum("link").alias("link"), F.sum("n").alias("n"),
-            F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.sum("chars").alias("weight"), F.sum("link").alias("link"), F.sum("pages").alias("pages"),
+            F.min("low").alias("low"), F.max("high").alias("high"),
         )
     )
-    main = scratch.table(
-        stats.groupBy("host").applyInArrow(_choose, "host string, place int, path string"), "main"
+    equal = (F.col("place") >= 0) & (F.col("low") == F.col("high")) & (F.col("pages") > 4)
+    dull = (2 * F.col("link") > F.col("weight")) | equal
+    stats = stats.select("host", "place", "path", "weight", dull.alias("dull"))
+    judged = slots.select("host", "layout", "slot", "place", "path", "chars").join(
+        stats, ["host", "place", "path"]
+    )
+    judged = judged.groupBy("host", "layout").agg(
+        F.collect_list(F.struct("slot", "path", "chars", "weight", "dull")).alias("slots")
+    )
+    kept = scratch.table(
+        judged.mapInArrow(_choose, "host string, layout string, main array<int>"), "kept-slots"
     )
-    kept = placed.join(main, ["host", "place", "path"], "left_semi")
-    kept = kept.groupBy("host", "layout").agg(F.collect_set("slot").alias("main"))
-    kept = scratch.table(kept, "kept-slots")
     few = kept.count() <= broadcast_rows
     joined = parsed.join(F.broadcast(kept) if few else kept, ["host", "layout"], "left")
     chosen = F.filter("texts", lambda t: F.array_contains("main", t["slot"]))
@@ -518,20 +526,11 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _choose(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    slots = [
-        {
-            "slot": i, "path": r["path"].split(), "chars": r["chars"], "link": r["link"], "n": r["n"],
-            "pages": r["pages"], "equal": r["low"] == r["high"] and r["place"] >= 0,
-        }
-        for i, r in enumerate(rows)
-    ]
-    good = sorted(choose(slots))
-    return pa.table(
-        {
-            "host": pa.array([rows[i]["host"] for i in good], pa.string()),
-            "place": pa.array([rows[i]["place"] for i in good], pa.int32()),
-            "path": pa.array([rows[i]["path"] for i in good], pa.string()),
-        }
-    )
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("host", pa.string()), ("layout", pa.string()), ("main", pa.list_(pa.int32()))])
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            slots = [{**s, "path": s["path"].split()} for s in r["slots"]]
+            rows.append({"host": r["host"], "layout": r["layout"], "main": sorted(choose(slots))})
+        yield pa.RecordBatch.from_pylist(rows, schema)
