@@ -146,6 +146,25 @@ def test_page_templates(spark):
     assert got[60] == "Head 60 Story 60" and got[61] == "Report 61" and got[62].startswith("Long 62 words")
 
 
+def test_page_copies(spark):
+    """Copies of a page keep their text; what differing pages share is dropped outside articles only."""
+    div = "<html><body><div class='content'><p>Report {0}</p></div><div class='foot'><p>Imprint</p></div></body></html>"
+    article = "<html><body><article><h1>Introduction</h1><p>Story {0}</p></article></body></html>"
+    note = "<html><body><article><h1>Introduction</h1><p>Story x</p><div>Note</div></article></body></html>"
+    rows = [(i, "http://five.example", div.format("x")) for i in range(5)]
+    rows += [(100 + i, "http://many.example", div.format("x")) for i in range(1000)]
+    rows += [(2000 + i, "http://named.example", article.format(i)) for i in range(6)]
+    rows += [(2010 + i, "http://named.example", note) for i in range(6)]
+    rows += [(3000 + i, "http://differ.example", div.format(f"{i} and more")) for i in range(5)]
+    # Five copies in layouts that differ are still one text.
+    rows += [(4000 + i, "http://names.example", div.format("x").replace("foot", "foot-" + "abcde"[i])) for i in range(5)]
+    got = main_texts(spark, rows)
+    assert {got[i] for i in [*range(5), *range(100, 1100), *range(4000, 4005)]} == {"Report x Imprint"}
+    assert all(got[2000 + i] == f"Introduction Story {i}" for i in range(6))
+    assert {got[2010 + i] for i in range(6)} == {"Introduction Story x Note"}
+    assert all(got[3000 + i] == f"Report {i} and more" for i in range(5))
+
+
 def test_wrapper_algebra():
     items, slots = wrappers.fold(["<ul", "<li", "#", "<li", "#", "<li", "#", ">ul", "<p", "#"])
     assert items == ["<ul", ["+", ["<li", "#"]], ">ul", "<p", "#"] and slots == [0, 0, 0, 1]

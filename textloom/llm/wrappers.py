@@ -16,6 +16,7 @@ from textloom.llm.scratch import Scratch
 
 SALTS = 16  # partial wrappers per host, merged afterwards
 BROADCAST_ROWS = 20_000  # distinct page structures that are broadcast
+REPEATED = 5  # pages of different text that tell a text which all of them hold from main text
 
 # Fixed by HTML: elements whose content is not text, and elements that do not break a block.
 SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head")
@@ -340,15 +341,24 @@ def choose(slots: list[dict]) -> set[int]:
 
     ``slots`` tell each slot's ``path``, its ``chars`` in this layout and its
     ``weight``, the characters of its place over all pages of the host;
-    ``dull`` slots are made of links or of text that every page repeats. Side
-    elements and dull slots fall out. Of the rest, those in an article or main
-    element are taken; where this layout has none, those in its smallest element
-    that holds nine tenths of the characters, by ``chars`` and by ``weight``: a
-    page with one long quotation is not cut to it, nor is a rare template
-    measured by a hot one.
+    ``links`` are slots made of links, ``repeated`` ones hold one text in pages
+    that differ elsewhere. Side elements and links fall out, and repeated slots
+    outside article and main elements, unless they are more than nine tenths of
+    what is left: such pages are copies that differ in a counter or a date.
+    Of the rest, those in an article or main element are taken; where this
+    layout has none, those in its smallest element that holds nine tenths of the
+    characters, by ``chars`` and by ``weight``: a page with one long quotation is
+    not cut to it, nor is a rare template measured by a hot one.
     """
-    good = [s for s in slots if not is_side(s["path"]) and not s["dull"]]
-    named = [s for s in good if any(p.split(".")[0] in MAIN_TAGS for p in s["path"])]
+
+    def in_main(s: dict) -> bool:
+        return any(p.split(".")[0] in MAIN_TAGS for p in s["path"])
+
+    text = [s for s in slots if not is_side(s["path"]) and not s["links"]]
+    good = [s for s in text if in_main(s) or not s["repeated"]]
+    if 10 * sum(s["chars"] for s in good) < sum(s["chars"] for s in text):
+        good = text
+    named = [s for s in good if in_main(s)]
     if named:
         return {s["slot"] for s in named}
     held: dict[tuple[str, ...], tuple[int, int]] = {}
@@ -390,7 +400,7 @@ def extract(
        mismatches become optional parts, repeats become groups, differing texts
        are slots. Hosts are salted: partial wrappers come first and are merged.
     3. Characters, link characters and repeated texts are summed per slot of the
-       wrapper, over all pages; with these each layout decides which of its
+       wrapper, over all pages, copies of a page counting once for the latter; with these each layout decides which of its
        slots hold main text.
     4. Each page's texts in these slots are joined in page order.
 
@@ -410,11 +420,12 @@ def extract(
             _parse_pages,
             "id long, url string, host string, layout string, "
             "texts array<struct<slot:int,text:string,chars:int,link:int>>",
-        ),
+        ).withColumn("page", F.xxhash64(F.transform("texts", lambda t: t["text"]))),
         "parsed",
     )
+    # Sketches of page texts count the few that matter exactly and do not grow with the pages.
     layouts = scratch.table(
-        parsed.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages")), "layouts"
+        parsed.groupBy("host", "layout").agg(F.hll_sketch_agg("page").alias("pages")), "layouts"
     )
     salted = layouts.withColumn("salt", F.pmod(F.xxhash64("layout"), F.lit(SALTS)).cast("int"))
     partial = salted.select("host", "salt", "layout").groupBy("host", "salt").applyInArrow(
@@ -425,7 +436,7 @@ def extract(
     )
     wrapper = wrappers.select("host", F.col("layout").alias("wrapper"))
     matched = scratch.table(
-        layouts.join(wrapper, "host").mapInArrow(
+        layouts.select("host", "layout").join(wrapper, "host").mapInArrow(
             _match, "host string, layout string, places array<int>, paths array<string>"
         ),
         "matched",
@@ -443,18 +454,20 @@ def extract(
         slots.join(layouts, ["host", "layout"])
         .groupBy("host", "place", "path")
         .agg(
-            F.sum("chars").alias("weight"), F.sum("link").alias("link"), F.sum("pages").alias("pages"),
+            F.sum("chars").alias("weight"), F.sum("link").alias("link"), F.hll_union_agg("pages").alias("pages"),
             F.min("low").alias("low"), F.max("high").alias("high"),
         )
     )
-    equal = (F.col("place") >= 0) & (F.col("low") == F.col("high")) & (F.col("pages") > 4)
-    dull = (2 * F.col("link") > F.col("weight")) | equal
-    stats = stats.select("host", "place", "path", "weight", dull.alias("dull"))
+    equal = (F.col("place") >= 0) & (F.col("low") == F.col("high"))
+    stats = stats.select(
+        "host", "place", "path", "weight", (2 * F.col("link") > F.col("weight")).alias("links"),
+        (equal & (F.hll_sketch_estimate("pages") >= REPEATED)).alias("repeated"),
+    )
     judged = slots.select("host", "layout", "slot", "place", "path", "chars").join(
         stats, ["host", "place", "path"]
     )
     judged = judged.groupBy("host", "layout").agg(
-        F.collect_list(F.struct("slot", "path", "chars", "weight", "dull")).alias("slots")
+        F.collect_list(F.struct("slot", "path", "chars", "weight", "links", "repeated")).alias("slots")
     )
     kept = scratch.table(
         judged.mapInArrow(_choose, "host string, layout string, main array<int>"), "kept-slots"
