@@ -165,6 +165,35 @@ def test_page_copies(spark):
     assert all(got[3000 + i] == f"Report {i} and more" for i in range(5))
 
 
+def test_page_unclosed(spark):
+    """Open heads and empty or open graphics lose nothing that follows; side words need a side element."""
+    body = "<article><h1>Title</h1><p>Story</p></article>"
+    rest = "<footer><p>Imprint</p></footer></body></html>"
+    story = [
+        f"<html><head><title>T</title><meta charset=utf-8><body>{body}{rest}",
+        f"<html><head><title>T</title><style>p {{}}</style>{body}{rest}",
+        f"<html><head><title>T</title></head><body><svg width='1'/>{body}{rest}",
+        f"<html><head><title>T</title></head><body><svg hidden/>{body}<svg><text>no</text></svg>{rest}",
+        f"<html><head></head><body><iframe src='x'/><object data=x><template>{body}{rest}",
+        f"<html><head><title>T<body><svg width=5/><text>no</text></svg>{body}{rest}",
+        f"<html><body><iframe>no</iframe><object>no</object><template>no</template>{body}{rest}",
+        f"<html><body><div id='page' class='has-header'>{body}<div class='sidebar'>Side</div></div>{rest}",
+        f"<html><body><div class='header layout'>{body}<aside>{'Side ' * 30}</aside></div>{rest}",
+        f"<html><body>{body.replace('<article', '<article class="post tag-legal"')}{rest}",
+        "<html><body><article><header class='entry-header'><h1>Title</h1></header><p>Story</p>"
+        f"<div class='share'>Share</div></article>{rest}",
+        f"<html><body><div class='content with-sidebar'><p>Title</p><p>Story</p></div>{rest}",
+        f"<html><body><div class='form page'><p>Title</p><p>Story</p></div>{rest}",
+        f"<html><body><form><div><p>Title</p><p>Story</p></div></form>{rest}",
+        f"<html><body><main class='search'>{body}</main><div class='comments'><article>{'No ' * 9}</article></div>{rest}",
+        f"<html><body>{body}<script>var no = 1;",
+    ]
+    got = main_texts(spark, [(i, f"http://h{i}.example", page) for i, page in enumerate(story)])
+    assert got == dict.fromkeys(range(len(story)), "Title Story")
+    one = main_texts(spark, [(i, "http://all.example", page) for i, page in enumerate(story)])
+    assert one == got
+
+
 def test_wrapper_algebra():
     items, slots = wrappers.fold(["<ul", "<li", "#", "<li", "#", "<li", "#", ">ul", "<p", "#"])
     assert items == ["<ul", ["+", ["<li", "#"]], ">ul", "<p", "#"] and slots == [0, 0, 0, 1]

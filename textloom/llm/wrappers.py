@@ -18,8 +18,11 @@ SALTS = 16  # partial wrappers per host, merged afterwards
 BROADCAST_ROWS = 20_000  # distinct page structures that are broadcast
 REPEATED = 5  # pages of different text that tell a text which all of them hold from main text
 
-# Fixed by HTML: elements whose content is not text, and elements that do not break a block.
-SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head")
+# Fixed by HTML: elements whose content is not shown, with what ends it in a page without the end
+# tag (nothing is lost for them but the tag itself, the rest of the page for code, the words before
+# the next tag for titles), and elements that do not break a block. What may stand in a head is
+# silent or void, so the head itself ends of its own where other content begins.
+SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object", "title")
 INLINE = (
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
     "span strike strong sub sup time tt u var wbr"
@@ -34,15 +37,20 @@ SIDE_WORDS = (
     "popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar "
     "widget"
 ).split()
+MODIFIERS = "with without has no tag category".split()  # before such a word: not the thing itself
 MAIN_TAGS = ("article", "main")
 
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<silent>{'|'.join(SILENT)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=silent)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+    rf"|<(?P<silent>{'|'.join(SILENT)})(?=[\s/>])(?P<inside>{_ATTRS})>"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>"
     r"|<[!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z",
     re.S | re.I,
 )
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
+_UNCLOSED = {"script": re.compile(r"\Z"), "style": re.compile(r"\Z"), "title": re.compile(r"(?=<)|\Z")}
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")  # a slash behind it belongs to the value
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 Item = str | list  # a token, or ["+" or "?", items]
@@ -56,8 +64,27 @@ def host_of(url: str | None) -> str:
 
 
 def _label(name: str, attrs: str) -> str:
-    words = [w for m in _NAMED.findall(attrs) for w in re.split(r"[^a-zA-Z]+", "".join(m)) if w]
-    return ".".join([name, *sorted({w.lower() for w in words})])
+    """The element with the words of its class, id and role; ``has-sidebar`` says nothing of a sidebar."""
+    known = [x.lower() for m in _NAMED.findall(attrs) for x in "".join(m).split()]
+    words = {w for x in known for w in _modified(re.split(r"[^a-z]+", x)) if w}
+    return ".".join([name, *sorted(words)])
+
+
+def _modified(words: list[str]) -> list[str]:
+    return ["-".join(words)] if len(words) > 1 and words[0] in MODIFIERS else words
+
+
+def _silent_end(page: str, m: re.Match, unclosed: set[str]) -> int:
+    """Where a silent element ends; ``unclosed`` collects names without a later end tag."""
+    name, inside = m["silent"].lower(), m["inside"]
+    if name in ("svg", "iframe", "object", "template") and inside.endswith("/"):
+        if not _UNQUOTED.search(inside):
+            return m.end()
+    end = None if name in unclosed else _END[name].search(page, m.end())
+    if end is None:
+        unclosed.add(name)
+        end = _UNCLOSED[name].search(page, m.end()) if name in _UNCLOSED else m
+    return end.end()
 
 
 def tokens(page: str | None) -> Iterator[tuple[str, str, int]]:
@@ -79,18 +106,25 @@ def tokens(page: str | None) -> Iterator[tuple[str, str, int]]:
             yield "#", value, min(link, len(value))
         link = 0
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece.append(page[at : m.start()])
             link += in_link * (m.start() - at)
         at = m.end()
+        if m["silent"]:
+            at = _silent_end(page, m, unclosed)
+            continue
         name = m["name"]
         if not name:
             continue
         name = name.lower()
         if name == "a":
             in_link = 0 if m["close"] else 1
-        if name in INLINE:
+        if name in INLINE or name in SILENT:  # of the latter, a stray end tag
+            continue
+        if name == "head":
+            yield from text()
             continue
         if name == "br":
             piece.append(" ")
@@ -323,17 +357,63 @@ def paths(page: list[Item]) -> list[list[str]]:
     return out
 
 
-def is_side(path: list[str]) -> bool:
-    """Whether a path runs through a menu, header, footer or the like."""
-    inside = False
-    for label in path:
-        name, *words = label.split(".")
-        inside = inside or name in MAIN_TAGS
-        if name in SIDE_TAGS and not (name == "header" and inside):
-            return True
-        if name not in ("html", "body") and set(words) & set(SIDE_WORDS):
+def side_label(label: str, inside: bool) -> str | None:
+    """``"tag"`` or ``"words"`` by which an element is a menu, header, footer or the like.
+
+    ``inside`` tells whether it stands in an article or main element, whose own
+    words say nothing, and whose header is part of it.
+    """
+    name, *words = label.split(".")
+    if name in ("html", "body", *MAIN_TAGS) or (name == "header" and inside):
+        return None
+    if name in SIDE_TAGS:
+        return "tag" if name != "form" else "words"  # a form may hold the whole page
+    told = set(words) & set(SIDE_WORDS) - ({"header"} if inside else set())
+    return "words" if told else None
+
+
+def side_elements(path: list[str]) -> list[tuple[tuple[str, ...], str]]:
+    """The elements of a path that look like side elements, and by what."""
+    found, inside = [], False
+    for n, label in enumerate(path, 1):
+        inside = inside or label.split(".")[0] in MAIN_TAGS
+        by = side_label(label, inside)
+        if by:
+            found.append((tuple(path[:n]), by))
+    return found
+
+
+def side_slots(slots: list[dict]) -> set[int]:
+    """The slots of a layout in side elements.
+
+    A class, id or role says nothing where its element encloses a main element,
+    all articles with at least half of the text, or nine tenths of the text:
+    that of slots which are not links, not repeated and not in a nav, header,
+    footer, aside or the like by tag.
+    """
+    marked = [(s, side_elements(s["path"])) for s in slots]
+    plain = [
+        s for s, found in marked
+        if not s["links"] and not s["repeated"] and all(by != "tag" for _, by in found)
+    ]
+    chars = sum(s["chars"] for s in plain)
+
+    def names(s: dict, n: int) -> set[str]:
+        return {p.split(".")[0] for p in s["path"][n:]}
+
+    articles = [s for s in plain if "article" in names(s, 0)]
+
+    def encloses(element: tuple[str, ...]) -> bool:
+        n = len(element)
+        held = [s for s in plain if tuple(s["path"][:n]) == element]
+        own = sum(s["chars"] for s in held)
+        if any("main" in names(s, n) for s in held) or (held and 10 * own >= 9 * chars):
             return True
-    return False
+        inner = sum("article" in names(s, n) for s in held)
+        return 2 * own >= chars and 0 < inner == len(articles)
+
+    excused = {e: encloses(e) for _, found in marked for e, by in found if by == "words"}
+    return {s["slot"] for s, found in marked if any(not excused.get(e, False) for e, _ in found)}
 
 
 def choose(slots: list[dict]) -> set[int]:
@@ -354,7 +434,8 @@ def choose(slots: list[dict]) -> set[int]:
     def in_main(s: dict) -> bool:
         return any(p.split(".")[0] in MAIN_TAGS for p in s["path"])
 
-    text = [s for s in slots if not is_side(s["path"]) and not s["links"]]
+    side = side_slots(slots)
+    text = [s for s in slots if s["slot"] not in side and not s["links"]]
     good = [s for s in text if in_main(s) or not s["repeated"]]
     if 10 * sum(s["chars"] for s in good) < sum(s["chars"] for s in text):
         good = text
@@ -408,7 +489,7 @@ def extract(
     space. A null or empty page has an empty text. A null or broken URL counts
     as the host ``""``. Pages that repeat, and ids that repeat or are null, are
     rows of their own. Side content in a page that its host's wrapper does not
-    cover is judged by its path alone. Other columns are ignored. The result
+    cover is judged by its path and its page. Other columns are ignored. The result
     reads tables of ``scratch``.
     """
     source = pages.select(
