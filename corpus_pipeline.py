@@ -1,13 +1,16 @@
 """The documents, from raw to mixed and sharded, by five of the operators in ``textloom.llm``.
 
-Near copies are judged here on 5-word shingles at a similarity of 0.8.
+Near copies are judged here on 5-word shingles at a similarity of 0.8. A row without an id goes by
+its text from the second stage to the fourth: it is a copy of rows with the same text, falls with its
+own benchmark passages and is drawn by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, near_dup, poisson_mix, slot_shards, toxicity
 from textloom.llm.scratch import Scratch
@@ -25,6 +28,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _text_key() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``: the id or, without one, a 128-bit hash of the text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), _text_key()))
+    return docs.withColumn("__key", key)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -32,18 +45,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays."""
-    return near_dup.drop_near_duplicates(docs, width=5)
+    """Of every group of near copies the document with the smallest id stays.
+
+    Ids are numbers there, so a row without one gets a hash of its text from
+    2 ** 62 on, after the usual ids; rows that share it by chance stay apart.
+    """
+    late = F.shiftrightunsigned(F.xxhash64(_text_key()), 2).bitwiseOR(F.lit(2**62))
+    text = F.when(F.col("doc_id").isNull(), _text_key())
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), late)).withColumn("__text", text)
+    kept = near_dup.drop_near_duplicates(keyed, id_col="__key", same=("__text",), width=5)
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    bench = _table(spark, sf_dir, "benchmark")
+    return decontaminate.remove_contaminated(_keyed(docs), bench, id_col="__key").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source gets the same weight, by repeating its documents."""
-    return poisson_mix.mix(docs, seed=SEED).select(*docs.columns)
+    return poisson_mix.mix(_keyed(docs), seed=SEED, id_col="__key").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

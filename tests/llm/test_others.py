@@ -280,3 +280,20 @@ def test_pipeline_odd(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_pipeline_without_ids(spark, make):
+    """Rows without an id are deduplicated, decontaminated and drawn by their own text."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    story = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"more{i}" for i in range(60))
+    rows = [(7, story), (None, story), (None, story), (None, other), (None, other), (None, f"{bench} {bench}"), (8, None)]
+    steps = dict(corpus_pipeline.STAGES)
+    two = steps["minhash_near_dedup"](spark, make(rows), SF)
+    left = sorted(((r.doc_id, r.text) for r in two.collect()), key=str)
+    assert left == sorted([(7, story), (None, other), (None, f"{bench} {bench}"), (8, None)], key=str)
+    three = steps["benchmark_decontamination"](spark, two, SF)
+    assert {(r.doc_id, r.text) for r in three.collect()} == {(7, story), (None, other), (8, None)}
+    docs = make([(None, f"clean text {i}") for i in range(400)])
+    four = steps["source_mixing"](spark, docs, SF).groupBy("text").count().collect()
+    assert 210 < len(four) < 300 and len({r["count"] for r in four}) > 2

@@ -419,19 +419,20 @@ def _bounded_pairs(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    same: tuple[str, ...] = (), **options,
 ) -> DataFrame:
     """One row of every group of near copies, that of the smallest id; see ``near_duplicates``.
 
-    Of rows with equal ids the one with the smallest hash of its text stays.
-    Rows without an id stay.
+    Of rows with equal ids, and equal columns ``same`` where given, the one with
+    the smallest hash of its text stays. Rows without an id stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
     kept = found.filter(F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
     repeated = not kept.groupBy(id_col).count().filter("count > 1").isEmpty()
     rows = docs.join(kept.distinct() if repeated else kept, id_col, "left_semi")
     if repeated:
-        order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
+        order = Window.partitionBy(id_col, *same).orderBy(F.xxhash64(F.col(text_col)))
         rows = rows.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1")
     rows = rows.select(*docs.columns)
     return rows.unionByName(docs.filter(F.col(id_col).isNull()))
