@@ -16,6 +16,7 @@ from textloom.llm import (
     quote_links,
     slot_shards,
     suffix_dedup,
+    token_align,
     toxicity,
     wrappers,
 )
@@ -251,3 +252,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"),
     )
     return scratch.finish(digest)
+
+
+@query("op13_token_align")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of byte-level and piece tokens of all documents."""
+    scratch = Scratch(spark, "token-align")
+    vocabularies = token_align.files(spark)
+    aligned = token_align.align(table(spark, sf_dir, "documents"), vocabularies)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    aligned = scratch.table(
+        aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"), "aligned"
+    )
+    return token_align.with_link_counts(aligned, scratch, token_align.size_b(vocabularies))
