@@ -12,6 +12,7 @@ from textloom.llm import (
     learned_partitions,
     line_dedup,
     near_dup,
+    ngram_join,
     poisson_mix,
     quote_links,
     slot_shards,
@@ -265,3 +266,33 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"), "aligned"
     )
     return token_align.with_link_counts(aligned, scratch, token_align.size_b(vocabularies))
+
+
+@query(
+    "op12_ngram_join",
+    f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id,
+         unnest(list_transform(range(1, len(w) - least(len(w), 3) + 2),
+                               lambda i: array_to_string(w[i:i + least(len(w), 3) - 1], ' '))) AS g
+  FROM words WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * c >= 90 * (x.n + y.n - c)),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT doc_id, b FROM reach JOIN step ON a = other)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share 90 % of their 3-word n-grams."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
