@@ -16,6 +16,7 @@ from textloom.llm import (
     poisson_mix,
     quote_links,
     slot_shards,
+    spelling,
     suffix_dedup,
     token_align,
     toxicity,
@@ -255,6 +256,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(digest)
 
 
+@query("op11_spelling_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the words one edit away."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"))
+    return spelling.variants(words.filter((F.char_length("word") >= 7) & (F.col("n") >= 2)))
+
+
 @query("op13_token_align")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of byte-level and piece tokens of all documents."""
