@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from textloom.llm.scratch import Scratch
 
 GROUPS = 16  # of letters, and levels of the trie
-SUBTRIE = 16_384  # words of a subtrie, and of a block of one leaf
-QUERIES = 65_536  # words that search one copy of a subtrie
-LEAF = 48  # words at a node below which the counts left are compared at once
+SUBTRIE = 65_536  # words of a subtrie, and of a block of one leaf
+QUERIES = 131_072  # words that search one copy of a subtrie
+LEAF = 32  # words at a node below which the counts left are compared at once
 MUTATE = 31  # one run in so many loses a letter
 
 _BLOCK = 2048  # searches compared at once at a leaf
@@ -229,15 +229,24 @@ def _near_words(hold: pa.Table, seek: pa.Table) -> pa.Table:
         table = lambda t: t["vec"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, GROUPS)
         level, held, sought = hold["depth"][0].as_py(), table(hold), table(seek)
         order = np.lexsort(held.T[::-1])
-        held = held[order]
+        small = np.int16 if max(held.max(), sought.max()) < 1 << 14 else np.int32
+        held, sought = held[order].astype(small), sought.astype(small)
         words, searches = hold["word"].to_pylist(), seek["word"].to_pylist()
         spent = seek["spent"].to_numpy()
+        long, first, second = _halves(searches, 0)
+        _, first_less, second_less = _halves(searches, 1)
+        long_w, first_w, second_w = _halves(words, 0)
         stack = [(0, len(held), level, np.arange(len(sought)), spent)]
         while stack:
             lo, hi, level, who, spent = stack.pop()
             if level == GROUPS or hi - lo <= LEAF:
                 for q, w, equal in _leaf(held[lo:hi, level:], sought[who, level:], spent):
-                    for i, j, same in zip(who[q].tolist(), order[lo + w].tolist(), equal.tolist(), strict=True):
+                    q, w = who[q], order[lo + w]
+                    # One edit leaves the first or the second half as it is.
+                    kept = (first[q] == first_w[w]) | (second[q] == second_w[w])
+                    less = (first_less[q] == first_w[w]) | (second_less[q] == second_w[w])
+                    kept = np.flatnonzero(np.where(long[q] == long_w[w], kept, less))
+                    for i, j, same in zip(q[kept].tolist(), w[kept].tolist(), equal[kept].tolist(), strict=True):
                         a, b = searches[i], words[j]
                         if (not same or b < a) and one_edit(a, b):
                             found_q.append(i)
@@ -261,6 +270,16 @@ def _near_words(hold: pa.Table, seek: pa.Table) -> pa.Table:
     )
 
 
+def _halves(words: list[str], without: int) -> tuple[np.ndarray, ...]:
+    """Lengths, and hashes of both halves of every word, of a word without one letter between them."""
+    cut = [(len(w) - without) // 2 for w in words]
+    return (
+        np.array([len(w) for w in words]),
+        np.array([hash(w[:c]) for w, c in zip(words, cut, strict=True)]),
+        np.array([hash(w[c + without :]) for w, c in zip(words, cut, strict=True)]),
+    )
+
+
 def _spend(more: np.ndarray, spent: np.ndarray) -> np.ndarray:
     """What is spent after a count that is higher by ``more``; -1 beyond the budget."""
     after = np.where(more == 0, spent, -1)
@@ -276,19 +295,16 @@ def _leaf(held: np.ndarray, sought: np.ndarray, spent: np.ndarray) -> Iterator[t
         for j in range(0, len(held), _BLOCK // 8):
             more = held[None, j : j + _BLOCK // 8] - sought[i : i + _BLOCK, None]
             moved = np.abs(more).sum(2)
+            q, w = np.nonzero(moved <= 2)
+            more, moved, state = more[q, w], moved[q, w], spent[i + q]
             up, down = more == 1, more == -1
-            state = spent[i : i + _BLOCK, None]
-            one_down = (moved == 1) & down.any(2)
             fits = (moved == 0) & (state != _SURPLUS)
-            fits |= one_down & ((state == _NONE) | (state == _SURPLUS))
-            q, w = np.nonzero((moved == 2) & (state == _NONE))
-            if len(q):
-                first, last = up[q, w], down[q, w]
-                both = first.any(1) & last.any(1) & (first.argmax(1) < last.argmax(1))
-                fits[q[both], w[both]] = True
-            q, w = np.nonzero(fits)
-            if len(q):
-                yield q + i, w + j, (moved[q, w] == 0) & (state[q, 0] == _NONE)
+            fits |= (moved == 1) & down.any(1) & ((state == _NONE) | (state == _SURPLUS))
+            if up.shape[1]:
+                ordered = up.any(1) & down.any(1) & (up.argmax(1) < down.argmax(1))
+                fits |= (moved == 2) & (state == _NONE) & ordered
+            if fits.any():
+                yield q[fits] + i, w[fits] + j, (moved[fits] == 0) & (state[fits] == _NONE)
 
 
 def one_edit(a: str, b: str) -> bool:
