@@ -19,7 +19,8 @@ from textloom.functions.spans import (
     regex_spans,
 )
 from textloom.functions.stopwords import NO_WORD_BOUNDARY
-from textloom.operators.ranks import rows_between, spread_lookup, with_row_index
+from textloom.operators.paging import SortKey, rows_between
+from textloom.operators.ranks import spread_lookup, with_row_index
 from textloom.session import staged
 
 # The output columns.
@@ -390,8 +391,7 @@ def document_page(
     """One page of source documents, taken before any search runs."""
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size start at 1")
-    keys = [F.desc_nulls_last(order_by[0]) if descending else F.asc_nulls_last(order_by[0])]
-    keys += [F.asc(c) for c in order_by[1:]]
+    keys = [SortKey(order_by[0], descending, nulls_last=True), *map(SortKey, order_by[1:])]
     return rows_between(df, keys, (page - 1) * page_size, page_size)
 
 

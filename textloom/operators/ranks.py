@@ -41,22 +41,6 @@ def with_row_index(
     )
 
 
-def rows_between(
-    df: DataFrame, order_by: list[str | Column], offset: int, length: int | None
-) -> DataFrame:
-    """``length`` rows after the first ``offset``, in the order of ``order_by``.
-
-    Any stretch is cut by row number, so that it never passes through one task.
-    """
-    if offset < 0 or (length is not None and length < 0):
-        raise ValueError("offset and length are not negative")
-    numbered = with_row_index(df, order_by, "__row")
-    wanted = F.col("__row") > offset
-    if length is not None:
-        wanted = wanted & (F.col("__row") <= offset + length)
-    return numbered.filter(wanted).drop("__row")
-
-
 def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     """Keys with a large share of all rows: at most HOT_SHARE of them."""
     total = counts.agg(F.sum(n).alias("t")).scalar()

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.ranks import rows_between
+from textloom.operators.paging import SortKey, count_rows, rows_between
 
 HASH_DIGITS = 4  # 16**4 prefixes
 
@@ -121,15 +121,13 @@ def table_page(
 
     ``total_rows`` repeats the number of rows of the whole table.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    order = [F.asc(id_col)]
+    order = [SortKey(id_col)]
     if sort_by and sort_by in df.columns and sort_by != id_col:
-        first = F.desc_nulls_last(sort_by) if descending else F.asc_nulls_last(sort_by)
-        order.insert(0, first)
+        order.insert(0, SortKey(sort_by, descending, nulls_last=True))
     elif sort_by == id_col and descending:
-        order = [F.desc_nulls_last(id_col)]
+        order = [SortKey(id_col, descending=True, nulls_last=True)]
     rows = rows_between(df, order, (page - 1) * page_size, page_size)
-    return rows.withColumn("total_rows", total)
+    return rows.withColumn("total_rows", F.lit(count_rows(df)).cast("bigint"))
 
 
 def head_and_tail(df: DataFrame, order: list[Column], reverse: list[Column], n: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.textfix import repair_text_columns
-from textloom.operators.ranks import rows_between
+from textloom.operators.paging import rows_between
 from textloom.operators.schema import col
 
 # Formats by file extension, text members of an archive.
