@@ -117,8 +117,10 @@ def explode_tokens(df: DataFrame, tokens_col: str, keep: list[str]) -> DataFrame
 
 # --- incremental token store ------------------------------------------------
 
-STORE_SCHEMA = f"text_hash string, tokens {TOKEN_TYPE}"
+# Both stores lie in one folder per key prefix. Each file is sorted by key and has a Bloom filter of it.
+STORE_SCHEMA = f"text_hash string, tokens {TOKEN_TYPE}, bucket string"
 
+BUCKET_DIGITS = 1  # of the hexadecimal key; 16 ** digits folders
 
 BROADCAST_HASHES = 1_000_000  # unseen texts whose hashes are broadcast, about 100 bytes each
 
@@ -138,48 +140,97 @@ def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def append_store(rows: DataFrame, path: str, digits: int = BUCKET_DIGITS) -> None:
+    """Add rows to a store; their first column is the key.
+
+    ``digits`` is a matter of the store: all appends to it take the same.
+    """
+    key = rows.columns[0]
+    _write_store(rows.withColumn("bucket", F.substring(key, 1, digits)).repartition("bucket"), path)
+
+
+def _write_store(rows: DataFrame, path: str) -> None:
+    key = rows.columns[0]
+    (
+        rows.sortWithinPartitions("bucket", key)
+        .write.partitionBy("bucket").mode("append")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .parquet(path)
+    )
+
+
+def near_keys(store: DataFrame, keys: DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """The part of a store in whose folders some of ``keys`` belong, at most 16 ** digits names."""
+    key = keys.columns[0]
+    names = keys.select(F.substring(key, 1, digits).alias("b")).distinct().collect()
+    return store.filter(F.col("bucket").isin([r["b"] for r in names]))
+
+
 def unseen_texts(
     df: DataFrame, text_col: str, store: DataFrame, model: str = "word",
-    broadcast_hashes: int = BROADCAST_HASHES,
+    broadcast_hashes: int = BROADCAST_HASHES, digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Distinct texts whose tokens of ``model`` are not in the store.
 
     Hashes are compared first, copies collapsing inside every task, so a known
-    text never travels: only the texts of unseen hashes are fetched, by a
-    broadcast of these if they are few, else by a shuffle.
+    text never travels and no stored token is read: of the folders that the
+    wanted hashes belong to, the key column alone. Only the texts of unseen
+    hashes are fetched, by a broadcast of these if they are few, else by a
+    shuffle.
     """
     keyed = df.select(
         content_key(F.col(text_col), model).alias("text_hash"), F.col(text_col).alias("text")
     )
-    hashes = keyed.select("text_hash").distinct()
-    fresh = staged(hashes.join(store.select("text_hash"), "text_hash", "left_anti"), "unseen")
+    hashes = staged(keyed.select("text_hash").distinct(), "wanted")
+    known = near_keys(store, hashes, digits).select("text_hash")
+    fresh = staged(hashes.join(known, "text_hash", "left_anti"), "unseen")
     few = fresh.count() <= broadcast_hashes
     texts = keyed.join(F.broadcast(fresh) if few else fresh, "text_hash", "left_semi")
     return texts.groupBy("text_hash").agg(F.first("text").alias("text"))
 
 
-def update_token_store(df: DataFrame, text_col: str, path: str, model: str = "word") -> None:
+def update_token_store(
+    df: DataFrame, text_col: str, path: str, model: str = "word", digits: int = BUCKET_DIGITS
+) -> None:
     """Tokenise texts the store has not seen and append them to it."""
     store = read_store(df.sparkSession, path, STORE_SCHEMA)
-    fresh = unseen_texts(df, text_col, store, model).select(
+    fresh = unseen_texts(df, text_col, store, model, digits=digits).select(
         "text_hash", token_spans(F.col("text"), model).alias("tokens")
     )
-    fresh.write.mode("append").parquet(path)
+    append_store(fresh, path, digits)
+
+
+def distinct_keys(store: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """A store without double keys, which two updates at one time can leave.
+
+    They are found in the key column; other rows are read where they lie.
+    """
+    key = store.columns[0]
+    double = store.groupBy(key).count().filter("count > 1").select(key)
+    double = staged(double, "double-keys")
+    n = double.count()
+    if n == 0:
+        return store
+    side = F.broadcast(double) if n <= broadcast_hashes else double
+    single = store.join(side, key, "left_anti")
+    return single.unionByName(store.join(side, key, "left_semi").dropDuplicates([key]))
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """One row per hash of model and text; double entries of a retried append collapse."""
-    return read_store(spark, path, STORE_SCHEMA).dropDuplicates(["text_hash"])
+    """``text_hash, tokens``, one row per hash of model and text."""
+    return distinct_keys(read_store(spark, path, STORE_SCHEMA)).select("text_hash", "tokens")
 
 
 def compact_store(spark: SparkSession, path: str, target: str, schema: str, files: int) -> int:
-    """Rewrite a store into ``files`` files under ``target``; double keys go.
+    """Rewrite a store under ``target``, about ``files`` files or one per folder; double keys go.
 
     Returns the number of files read. The old files are left to the caller.
     """
     store = spark.read.schema(schema).parquet(path)
-    key = store.columns[0]
-    store.dropDuplicates([key]).repartition(files, key).write.parquet(target)
+    folders = store.select("bucket").distinct().count()
+    parts = max(1, files // max(1, folders))
+    salt = F.pmod(F.xxhash64(store.columns[0]), F.lit(parts))
+    _write_store(distinct_keys(store).repartition(max(files, 1), "bucket", salt), target)
     return len(store.inputFiles())
 
 
@@ -211,7 +262,9 @@ def tokenise_from_store(df: DataFrame, text_col: str, path: str, model: str = "w
 
 # --- incremental vector store -----------------------------------------------
 
-VECTOR_SCHEMA = "content_hash string, space string, embedding array<float>, stored_at timestamp"
+VECTOR_SCHEMA = (
+    "content_hash string, space string, embedding array<float>, stored_at timestamp, bucket string"
+)
 
 
 def vector_key(text: Column, model: str, provider: str) -> Column:
@@ -232,20 +285,22 @@ def newest_vectors(store: DataFrame) -> DataFrame:
 def lookup_vectors(keys: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hits (key, vector) and the distinct keys that are missing.
 
-    The store is cut down to the wanted keys before its newest vectors are found.
+    Only the folders of wanted keys are read, and the store is cut down to the
+    keys before its newest vectors are found.
     """
-    wanted = keys.select("content_hash").distinct()
-    held = store.join(wanted, "content_hash", "left_semi")
-    hits = newest_vectors(held).select("content_hash", "embedding")
-    missing = wanted.join(store.select("content_hash"), "content_hash", "left_anti")
+    wanted = staged(keys.select("content_hash").distinct(), "wanted")
+    near = near_keys(store, wanted)
+    hits = newest_vectors(near.join(wanted, "content_hash", "left_semi")).select("content_hash", "embedding")
+    missing = wanted.join(near.select("content_hash"), "content_hash", "left_anti")
     return hits, missing
 
 
 def store_vectors(vectors: DataFrame, path: str, space: str, stored_at: str) -> None:
     """Append (content_hash, embedding) rows to the store."""
-    vectors.select(
+    rows = vectors.select(
         "content_hash",
         F.lit(space).alias("space"),
         F.col("embedding").cast(T.ArrayType(T.FloatType())).alias("embedding"),
         F.lit(stored_at).cast("timestamp").alias("stored_at"),
-    ).write.mode("append").parquet(path)
+    )
+    append_store(rows, path)
