@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.near_dup import shingle_hashes, subkeys
@@ -21,6 +21,8 @@ ORDINARY_BYTES = 32_768
 TOXIC_BYTES = 32_768
 THRESHOLDS = range(1, 8)  # bytes saved
 COPY_KEYS = 12
+FIT_BYTES = 64 << 20  # of labelled texts at most, in the order of the same hash
+SIGN_ROWS = 128  # labelled texts signed at a time
 
 
 def windows(text: bytes | None) -> list[bytes]:
@@ -47,20 +49,20 @@ def train(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
     tells them apart; it ends in the ordinary one, so that a window of ordinary
     words finds the same matches at the same distance in both.
     """
-    texts = [t for t, _ in rows]
-    sets = [shingle_hashes(t, 2) for t in texts]
-    filled = [i for i, s in enumerate(sets) if len(s)]
     seen: set[tuple[int, int, int]] = set()
-    kept: list[tuple[list[bytes], int]] = []
-    signs = subkeys([sets[i] for i in filled])[:, :COPY_KEYS] if filled else []
-    for i, sign in zip(filled, signs, strict=True):
-        marks = {(rows[i][1], j, int(k)) for j, k in enumerate(sign)}
-        if not marks & seen:
-            kept.append((texts[i].lower().split(), rows[i][1]))
-        seen |= marks
+    kept: list[tuple[bytes, int]] = []
+    for i in range(0, len(rows), SIGN_ROWS):
+        some = [(t, label, shingle_hashes(t, 2)) for t, label in rows[i : i + SIGN_ROWS]]
+        some = [x for x in some if len(x[2])]
+        signs = subkeys([x[2] for x in some])[:, :COPY_KEYS] if some else []
+        for (text, label, _), sign in zip(some, signs, strict=True):
+            marks = {(label, j, int(k)) for j, k in enumerate(sign)}
+            if not marks & seen:
+                kept.append((text, label))
+            seen |= marks
     toxic, ordinary = Counter(), Counter()
-    for words, label in kept:
-        (toxic if label else ordinary).update(set(words))
+    for text, label in kept:
+        (toxic if label else ordinary).update(set(text.lower().split()))
     bad = sum(label for _, label in kept)
     good = len(kept) - bad
     least = max(3, 0.01 * bad)
@@ -69,13 +71,10 @@ def train(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
         if n >= least and (n - 1) / bad >= 8 * (ordinary[w] + 0.5) / max(good, 1)
     }
     toxic_samples = [
-        b" " + b" ".join(w for w in words if w in telling) + b" " for words, label in kept if label
-    ]
-    plain = [
-        b" " + b" ".join(words[i : i + WINDOW]) + b" "
-        for words, label in kept[:3000] if not label
-        for i in range(0, len(words), WINDOW)
+        b" " + b" ".join(w for w in text.lower().split() if w in telling) + b" "
+        for text, label in kept if label
     ]
+    plain = [w for text, label in kept[:3000] if not label for w in windows(text)]
     size = max(1024, min(TOXIC_BYTES, 3 * sum(len(w) + 1 for w in telling) // 2))
     base = _trained(ORDINARY_BYTES, plain)
     return _trained(size, toxic_samples) + base, base
@@ -159,12 +158,12 @@ def held_out(id_col: str) -> F.Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "toxic", fit_rows_max: int = FIT_ROWS,
+    label_col: str = "toxic", fit_rows_max: int = FIT_ROWS, fit_bytes_max: int = FIT_BYTES,
 ) -> Model:
     """Learn from at most ``fit_rows_max`` labelled documents that are not held out.
 
     They are chosen by a hash of the id among the labels, and only their texts
-    are fetched. An id with several labels counts as toxic if one says so.
+    are fetched, in that order until they hold ``fit_bytes_max`` bytes. An id with several labels counts as toxic if one says so.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.filter(~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("__label"))
@@ -173,7 +172,10 @@ def fit(
     found = docs.join(side, docs[id_col] == F.col("__id")).select(
         "__id", F.col(text_col).cast("binary").alias("text"), F.col("__label").cast("int").alias("y")
     )
-    rows = found.orderBy(F.xxhash64("__id"), "__id", "text").limit(fit_rows_max).collect()
+    order = [F.xxhash64("__id"), F.col("__id"), F.col("text")]
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    few = found.orderBy(*order).limit(fit_rows_max).withColumn("__bytes", so_far)
+    rows = few.filter(F.col("__bytes") <= fit_bytes_max).orderBy("__bytes", *order).select("text", "y").collect()
     return fit_rows([(bytes(r["text"] or b""), r["y"]) for r in rows])
 
 
