@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from conftest import rows
@@ -126,6 +127,39 @@ def test_custom_interval_checks(spark):
             trends.time_trend(df, "ts", "custom", every=every, unit=unit)
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "double", "decimal(12,2)", "long"])
+def test_detach_many_periods(spark, kind):
+    rng = random.Random(5)
+    values = [rng.randrange(0, 40_000) for _ in range(3000)] + [0, 40_000, -9, 99_999]
+    periods = [(a, a + rng.choice((0, 1, 2, 300))) for a in rng.sample(range(40_000), 400)]
+    periods += [(50, 20), (12, 12), (0, 0)]
+    inside = sorted(v for v in values if any(a <= v <= b for a, b in periods))
+    day = lambda n: dt.datetime(1990, 1, 1) + dt.timedelta(days=n)
+    timed = kind.startswith(("date", "time"))
+    raw = spark.createDataFrame([(v, day(v).isoformat(sep=" ")) for v in values] + [(None, None)], "v long, d string")
+    df = raw.select("v", F.col("d" if timed else "v").cast(kind).alias("a.x"))
+    given = [(day(a).isoformat(), day(b)) for a, b in periods] if timed else periods
+    assert sorted(r.v for r in trends.detach_periods(df, "a.x", given).collect()) == inside
+    plan = trends.detach_periods(df, "a.x", given)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    table = spark.createDataFrame(periods + [(None, 5)], "p long, q long")
+    ends = [F.date_add(F.lit("1990-01-01").cast("date"), F.col(c).cast("int")) if timed else F.col(c) for c in ("p", "q")]
+    typed = table.select(*[e.cast(kind).alias(n) for e, n in zip(ends, "pq", strict=True)])
+    assert sorted(r.v for r in trends.detach_periods(df, "a.x", typed).collect()) == inside
+    assert trends.detach_periods(df, "a.x", typed.limit(0)).count() == 0
+
+
+def test_detach_open_periods(spark):
+    df = spark.createDataFrame([(float(v),) for v in (-1e300, -3, 0, 5, 8, 1e300)] + [(None,), (float("nan"),)], "x double")
+    inf = float("inf")
+    for periods, wanted in (
+        ([(-inf, -3.0), (5.0, 5.0)], 3), ([(8.0, inf)], 2), ([(-inf, inf)], 6), ([(0.0, 0.0)], 1)
+    ):
+        table = spark.createDataFrame(periods, "low double, high double")
+        assert trends.detach_periods(df, "x", table).count() == wanted
+        assert trends.detach_periods(df, "x", periods).count() == wanted
+
+
 def test_missing_buckets_keep_null_groups(spark):
     data = [(dt.datetime(2024, 1, d), g) for d, g in ((1, "a"), (4, "a"), (2, None))]
     days = trends.time_trend(spark.createDataFrame(data, "ts timestamp, g string"), "ts", "daily", ["g"])

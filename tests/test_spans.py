@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 
 import pytest
 import regex
@@ -9,7 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from textloom.functions import spans
-from textloom.functions.textfix import repair_mojibake, repair_text_columns
+from textloom.functions.textfix import composed, repair_mojibake, repair_text_columns
 from textloom.operators import tokens
 
 
@@ -142,6 +143,20 @@ CLEAN = [
 ]
 
 
+def test_normal_form(spark):
+    """Canonical composition as the standard library has it, over letters and marks of many scripts."""
+    rng = random.Random(3)
+    spans_ = [(0x41, 0x5B), (0xC0, 0x250), (0x300, 0x345), (0x370, 0x3D0), (0x5B0, 0x5C0), (0x900, 0x950),
+              (0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3), (0x1E00, 0x2000), (0x2126, 0x212C),
+              (0xAC00, 0xAC20), (0xFB1D, 0xFB50), (0x1D15E, 0x1D165), (0x1F600, 0x1F610)]
+    pool = [chr(c) for a, b in spans_ for c in range(a, b) if unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(1, 12))) for _ in range(5000)]
+    texts += ["", None, "plain", "e" + "\u0301" * 5000, "x\u0301\u0323\u0302 " * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", composed(F.col("t")).alias("n")).collect():
+        assert r.n == (None if r.t is None else unicodedata.normalize("NFC", r.t)), ascii(r.t[:40])
+
+
 def test_mojibake(spark):
     cases = MOJIBAKE + [(c, c) for c in CLEAN]
     df = spark.createDataFrame(cases, "a string, b string")

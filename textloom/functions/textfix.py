@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -52,29 +51,17 @@ def repair_mojibake(text: Column) -> Column:
     return F.when(text.rlike(WIDE_GATE), _mapped(text, SEQUENCE, reread)).otherwise(text)
 
 
-def _compositions() -> str:
-    """Letter and mark, and the one character they make, as the text of a map."""
-    pairs = []
-    for code in range(0xC0, 0x2000):
-        parts = unicodedata.decomposition(chr(code)).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            apart = "".join(chr(int(p, 16)) for p in parts)
-            if unicodedata.normalize("NFC", apart) == chr(code):
-                pairs.append(f"{apart}\x02{chr(code)}")
-    return "\x01".join(pairs)
-
-
 def composed(text: Column) -> Column:
-    """Letters followed by marks as single characters where there are such (NFC of Latin,
-    Greek, Cyrillic and other scripts below U+2000, up to two marks on a letter)."""
-    table = F.str_to_map(F.lit(_compositions()), F.lit("\x01"), F.lit("\x02"))
-    out = text
-    for _ in range(2):
-        out = F.when(
-            out.rlike(r"\p{M}"),
-            _mapped(out, r"[^\p{M}]\p{M}", lambda p: F.coalesce(F.try_element_at(table, p), p)),
-        ).otherwise(out)
-    return out
+    """The text in canonical composition (NFC), for all of Unicode.
+
+    Only texts with a character from U+0300 on can change; the others are passed
+    on as they are. The rest goes through the normaliser that Spark ships for its
+    collations.
+    """
+    nfc = F.reflect(
+        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False)
+    )
+    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), nfc).otherwise(text)
 
 
 def repair_text_columns(
@@ -82,7 +69,7 @@ def repair_text_columns(
 ) -> DataFrame:
     """Repair every string column, or the named ones that are strings.
 
-    A second pass repairs texts that were misread twice; then marks are composed.
+    A second pass repairs texts that were misread twice; then letters and marks are composed.
     """
     names = [
         f.name

@@ -34,6 +34,7 @@ CUSTOM_UNITS = {
     "weeks": (604_800, "yyyy-MM-dd"),
 }
 MONDAY = 4 * 86_400  # 1970-01-05
+FILTERED_PERIODS = 32  # periods tested one by one; more are joined
 
 
 def _micros(ts: Column) -> Column:
@@ -284,26 +285,119 @@ def _comparable(value: Any) -> Any:
     return value
 
 
+def _period_rows(
+    df: DataFrame, data_type: T.DataType, periods: list[tuple[Any, Any]]
+) -> DataFrame:
+    """The periods as rows ``low, high`` of the axis' type."""
+    spark = df.sparkSession
+    if isinstance(data_type, T.NumericType):
+        return spark.createDataFrame(periods, "low double, high double")
+
+    def wall(value: datetime) -> str:
+        text = value.replace(tzinfo=None).isoformat(sep=" ")
+        if isinstance(data_type, T.TimestampType):
+            return text + (value.strftime("%:z") if value.tzinfo else "+00:00")
+        return text
+
+    rows = spark.createDataFrame([(wall(a), wall(b)) for a, b in periods], "low string, high string")
+    return rows.select(*[F.col(c).cast(data_type) for c in ("low", "high")])
+
+
+def within_periods(df: DataFrame, axis_col: str, periods: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose value lies in a period ``low, high`` (both ends count).
+
+    Rows and periods meet on the number of a bucket, so the join has an equality
+    and works for any number of periods. A bucket is as wide as the larger of
+    the mean length of a period and the whole span over the number of periods;
+    so the periods make at most three rows each on average. Rows outside the whole
+    span are filtered at the scan. Every row comes once; null values, and periods
+    with a null or with the ends reversed, match nothing.
+    """
+    kind = df.schema[axis_col].dataType
+
+    def number(c: Column) -> Column:
+        """Grows with the value, whatever the time zone of the session."""
+        if isinstance(kind, T.DateType):
+            c = F.unix_date(c)
+        elif isinstance(kind, T.TimestampNTZType):
+            c = (c - F.lit("1970-01-01").cast(kind)).cast("decimal(20,6)")
+        elif isinstance(kind, T.TimestampType):
+            c = F.unix_micros(c)
+        return c.cast("double")
+
+    def carried(c: Column) -> Column:
+        """A form in which a value passes through the driver unchanged."""
+        return F.unix_micros(c) if isinstance(kind, T.TimestampType) else c.cast("string") if timed else c
+
+    def constant(value: Any) -> Column:
+        if isinstance(kind, T.TimestampType):
+            return F.timestamp_micros(F.lit(value))
+        return F.lit(value).cast(kind) if timed else F.lit(value)
+
+    timed = isinstance(kind, (T.DateType, T.TimestampNTZType, T.TimestampType))
+    if timed:
+        periods = periods.select(F.col("low").cast(kind), F.col("high").cast(kind))
+    usable = periods.filter(F.col("low") <= F.col("high"))
+    low, high = number(F.col("low")), number(F.col("high"))
+    finite = F.abs(low) + F.abs(high) < F.lit(float("inf"))
+    begin, end, first, last, total, count = usable.agg(
+        carried(F.min("low")), carried(F.max("high")),
+        F.min(F.when(finite, low)), F.max(F.when(finite, high)),
+        F.sum(F.when(finite, high - low)), F.count(F.lit(1)),
+    ).first()
+    if not count:
+        return df.limit(0)
+    first, last = (0.0, 0.0) if first is None else (first, last)
+    width = max(last - first, total or 0.0) / count or 1.0
+
+    def bucket(c: Column) -> Column:
+        # Ends without a bound, and rows beyond the finite ones, go to the outermost buckets.
+        place = F.floor(F.least(F.greatest((number(c) - first) / width, F.lit(-1.0)), F.lit(count + 1.0)))
+        return place.cast("bigint")
+
+    numbers = F.sequence(bucket(F.col("low")), bucket(F.col("high")))
+    spread = usable.select("low", "high", F.explode(numbers).alias("n"))
+    axis = F.col(f"r.{_quoted(axis_col)}")
+    near = df.filter(col(axis_col).between(constant(begin), constant(end))).alias("r")
+    same = bucket(axis) == F.col("p.n")
+    inside = axis.between(F.col("p.low"), F.col("p.high"))
+    return near.join(spread.alias("p"), same & inside, "left_semi")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def detach_periods(
     df: DataFrame,
     time_col: str,
-    periods: list[tuple[Any, Any]],
+    periods: list[tuple[Any, Any]] | DataFrame,
     groups: list[dict[str, Any]] | None = None,
     case_sensitive: bool = True,
 ) -> DataFrame:
-    """Source rows inside any of the closed periods and in any visible group."""
-    if not periods:
-        raise ValueError("no period is selected")
+    """Source rows inside any of the closed periods and in any visible group.
+
+    ``periods`` is a list, or a table whose first two columns are the ends. A short
+    list becomes a filter that the scan can use, a long one or a table a join.
+    """
     data_type = df.schema[time_col].dataType
     axis = col(time_col)
-    if isinstance(data_type, T.NumericType):
-        pairs = [(float(a), float(b)) for a, b in periods]
+    if isinstance(periods, DataFrame):
+        ends = periods.toDF("low", "high", *periods.columns[2:]).select("low", "high")
+        kept = within_periods(df, time_col, ends)
+    elif not periods:
+        raise ValueError("no period is selected")
     else:
-        pairs = [(_comparable(a), _comparable(b)) for a, b in periods]
-    tests = [
-        axis.between(literal(a, data_type), literal(b, data_type)) for a, b in _merged(pairs)
-    ]
-    kept = df.filter(reduce(lambda a, b: a | b, tests))
+        if isinstance(data_type, T.NumericType):
+            pairs = [(float(a), float(b)) for a, b in periods]
+        else:
+            pairs = [(_comparable(a), _comparable(b)) for a, b in periods]
+        pairs = _merged(pairs)
+        if len(pairs) > FILTERED_PERIODS:
+            kept = within_periods(df, time_col, _period_rows(df, data_type, pairs))
+        else:
+            tests = [axis.between(literal(a, data_type), literal(b, data_type)) for a, b in pairs]
+            kept = df.filter(reduce(lambda a, b: a | b, tests))
     series = []
     for selection in groups or []:
         parts = []

@@ -290,6 +290,36 @@ def k42_detach_numeric(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", "p_size")
 
 
+@query(
+    "k42_detach_many",
+    """SELECT event_id, ts, event_type FROM events e
+       WHERE EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'error'
+                     AND e.ts BETWEEN p.ts - INTERVAL 40 SECOND AND p.ts + INTERVAL 2 MINUTE)""",
+)
+def k42_detach_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Events around any error: as many periods, overlapping ones too, as there are errors."""
+    events = table(spark, sf, "events")
+    around = events.filter("event_type = 'error'").selectExpr(
+        "ts - INTERVAL 40 SECOND AS low", "ts + INTERVAL 2 MINUTE AS high"
+    )
+    return trends.detach_periods(events, "ts", around).select("event_id", "ts", "event_type")
+
+
+@query(
+    "k42_detach_many_numeric",
+    """SELECT DISTINCT l_orderkey, l_linenumber, l_extendedprice FROM lineitem l
+       JOIN part p ON l_extendedprice BETWEEN p_retailprice * 20 AND p_retailprice * 20 + p_size / 4
+       WHERE p_partkey % 2 = 0""",
+)
+def k42_detach_many_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items whose price lies in a band around the price of twenty of some part."""
+    bands = table(spark, sf, "part").filter("p_partkey % 2 = 0").selectExpr(
+        "p_retailprice * 20 AS low", "p_retailprice * 20 + p_size / 4 AS high"
+    )
+    rows = trends.detach_periods(table(spark, sf, "lineitem"), "l_extendedprice", bands)
+    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 # --- topics -----------------------------------------------------------------
 
 

@@ -242,6 +242,16 @@ def b2_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return repair_text_columns(documents(spark, sf).select("doc_id", mixed.alias("text")))
 
 
+# Marks out of order, three on a letter, Hangul parts, a singleton, an excluded composition.
+MARKS = "o\u0302\u0323 \u1112\u1161\u11ab \u212b \ufb2c a\u0315\u0300\u05ae\u0301 u\u0308\u0323\u0304 "
+
+
+@query("b2_normal_form", f"SELECT doc_id, nfc_normalize('{MARKS}' || text) AS text FROM documents")
+def b2_normal_form(spark: SparkSession, sf: str) -> DataFrame:
+    texts = documents(spark, sf).select("doc_id", F.concat(F.lit(MARKS), "text").alias("text"))
+    return repair_text_columns(texts, ["text"])
+
+
 @query(
     "b3_to_datetime",
     """SELECT event_id,
