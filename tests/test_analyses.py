@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import stopwords
 from textloom.operators import annotate, keyness, quotes, tokens, topics, trends
 from textloom.streaming.tokens import stream_token_store
+from textloom.streaming.topics import assign_nearest, read_topics, stream_topics, update_topics
 from textloom.streaming.trends import read_trend, stream_trend, write_available
 
 
@@ -399,3 +400,70 @@ def test_stream_token_store(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         stream_token_store(stream, "text", store, state)
         assert spark.read.parquet(store).count() == 2 + n
+
+
+def vector_stream(spark, folder, parts):
+    """One file per part, read as one micro-batch each."""
+    for i, part in enumerate(parts):
+        data = [(k, None if v is None else [float(x) for x in v]) for k, v in part]
+        frame = spark.createDataFrame(data, "k long, v array<double>").coalesce(1)
+        frame.write.parquet(f"{folder}/{i}")
+    reader = spark.readStream.schema("k long, v array<double>").option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{folder}/*")
+
+
+def centres_of(spark, folder):
+    return {r["TOPIC_topic"]: (r["centroid"], r["size"]) for r in read_topics(spark, folder).collect()}
+
+
+def test_stream_topics_one_or_five_batches(spark, tmp_path):
+    rng = random.Random(8)
+    middles = [(0, 0, 9), (9, 0, 0), (0, 9, 0)]
+    data = [(k, [m + rng.uniform(-1, 1) for m in middles[k % 3]]) for k in range(150)]
+    odd = [(900, None), (901, []), (902, [1.0, float("nan"), 2.0]), (903, [1.0, float("inf"), 2.0])]
+    seeds = spark.createDataFrame(list(enumerate([list(map(float, m)) for m in middles])), "TOPIC_topic int, centroid array<double>")
+    found = []
+    for name, parts in (("one", [data + odd]), ("five", [data[i::5] + odd for i in range(5)])):
+        stream = vector_stream(spark, tmp_path / name, parts)
+        stream_topics(stream, "v", "k", str(tmp_path / f"{name}-state"), str(tmp_path / f"{name}-check"), 3, seeds)
+        found.append(centres_of(spark, str(tmp_path / f"{name}-state")))
+    for t in range(3):
+        own = [v for k, v in data if k % 3 == t]
+        for state in found:
+            centre, size = state[t]
+            assert size == 50 and centre == pytest.approx([sum(x) / 50 for x in zip(*own, strict=True)], abs=1e-9)
+    rows_ = spark.createDataFrame(data + odd, "k long, v array<double>")
+    named = assign_nearest(rows_, "v", read_topics(spark, str(tmp_path / "five-state")))
+    assert all(r["TOPIC_topic"] == (r["k"] % 3 if r["k"] < 900 else None) for r in named.collect())
+
+
+def test_stream_topics_repeated_batch(spark, tmp_path):
+    rng = random.Random(9)
+    data = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(90)] + [(90, [5.0] * 4)] * 40
+    parts = [data[:1], data[1:60], [], data[60:]]
+    folder = str(tmp_path / "state")
+    stream_topics(vector_stream(spark, tmp_path / "in", parts), "v", "k", folder, str(tmp_path / "check"), 7)
+    state = centres_of(spark, folder)
+    assert sum(n for _, n in state.values()) == len(data) and len(state) == 7
+    for axis in range(4):  # however the batches fell, the mean of all rows is kept
+        total = sum(c[axis] * n for c, n in state.values())
+        assert total / len(data) == pytest.approx(sum(v[axis] for _, v in data) / len(data), abs=1e-9)
+    # A batch that comes again after a failure counts once.
+    number = spark.read.parquet(folder).agg(F.max("batch")).first()[0] + 1
+    again = spark.createDataFrame(data[60:], "k long, v array<double>")
+    update_topics(again, "v", "k", folder, 7, number)
+    once = centres_of(spark, folder)
+    update_topics(again, "v", "k", folder, 7, number)
+    assert centres_of(spark, folder) == once
+    assert sum(n for _, n in once.values()) == len(data) + len(data[60:])
+    with pytest.raises(ValueError):
+        stream_topics(again, "v", "k", folder, folder, 0)
+
+
+def test_stream_topics_without_rows(spark, tmp_path):
+    stream = vector_stream(spark, tmp_path / "in", [[(1, None)]])
+    stream_topics(stream, "v", "k", str(tmp_path / "state"), str(tmp_path / "check"), 3)
+    centres = read_topics(spark, str(tmp_path / "state"))
+    assert centres.count() == 0
+    rows_ = spark.createDataFrame([(1, [1.0])], "k long, v array<double>")
+    assert assign_nearest(rows_, "v", centres).first()["TOPIC_topic"] is None

@@ -15,6 +15,7 @@ from textloom.plans.registry import documents, query, table
 from textloom.plans.texts import WORD, kwic_sql, spans_sql
 from textloom.session import scratch_path
 from textloom.streaming.tokens import stream_token_store
+from textloom.streaming.topics import assign_nearest, read_topics, stream_topics
 from textloom.streaming.trends import read_trend, stream_trend, write_available
 
 # --- trends -----------------------------------------------------------------
@@ -347,6 +348,51 @@ def clustered(spark: SparkSession, sf: str, clusters: int | None = None) -> Data
     return topics.assign_topics(table(spark, sf, "embeddings"), "embedding", clusters, seed=42)
 
 
+# One micro-batch from the first eight vectors by hash: every row to the nearest, then the means.
+ONLINE = """WITH s AS (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) - 1 AS t,
+                          CAST(embedding AS DOUBLE[]) AS c FROM embeddings
+                   ORDER BY md5(CAST(vec_id AS VARCHAR)) LIMIT 8),
+            e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+            a AS (SELECT vec_id, any_value(v) AS v, arg_min(t, list_distance(v, c)) AS t
+                  FROM e, s GROUP BY vec_id),
+            m AS (SELECT t, list(x ORDER BY i) AS c, any_value(n) AS n FROM (
+                    SELECT t, i, avg(v[i]) AS x, count(*) AS n
+                    FROM a, range(1, 65) r(i) GROUP BY t, i) GROUP BY t) """
+
+
+def online_centres(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").schema
+    stream = spark.readStream.schema(vectors).parquet(f"{sf}/embeddings*.parquet")
+    folder = scratch_path(spark, "stream-topics")
+    stream_topics(stream, "embedding", "vec_id", folder, scratch_path(spark, "stream-topics-state"), 8)
+    return read_topics(spark, folder)
+
+
+@query(
+    "k45_online",
+    ONLINE + """SELECT CAST(t AS BIGINT) AS topic, CAST(n AS BIGINT) AS size, CAST(i AS BIGINT) AS axis,
+                       CAST(round(c[i] * 1e6) AS BIGINT) AS millionths FROM m, range(1, 65) r(i)""",
+)
+def k45_online(spark: SparkSession, sf: str) -> DataFrame:
+    rows = online_centres(spark, sf).select(
+        F.col(topics.TOPIC).alias("topic"), "size", F.posexplode("centroid").alias("at", "x")
+    )
+    return rows.select(
+        "topic", "size", (F.col("at") + 1).cast("bigint").alias("axis"),
+        F.round(F.col("x") * 1e6).cast("bigint").alias("millionths"),
+    )
+
+
+@query(
+    "k45_online_nearest",
+    ONLINE + """SELECT vec_id, CAST(arg_min(m.t, list_distance(v, c)) AS BIGINT) AS topic
+                FROM e, m GROUP BY vec_id""",
+)
+def k45_online_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = assign_nearest(table(spark, sf, "embeddings"), "embedding", online_centres(spark, sf))
+    return rows.select("vec_id", F.col(topics.TOPIC).alias("topic"))
+
+
 @query("k45_cluster")
 def k45_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return topics.assignments(clustered(spark, sf), "vec_id")
