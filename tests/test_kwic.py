@@ -91,6 +91,15 @@ def test_case_and_whole_words(spark):
     assert speakers(case_sensitive=True) == ["A", "A", "D"]
     assert speakers(whole_word=True) == ["A", "A", "C"]
     assert speakers(whole_word=True, language="ja") == ["A", "A", "C", "D"]
+    tongues = {"A": "en", "B": None, "C": None, "D": " JA "}
+    own = F.create_map(*[F.lit(x) for pair in tongues.items() for x in pair])[F.col("speaker")]
+    df = df.withColumn("own", own)
+    assert speakers(whole_word=True, language_col="own") == ["A", "A", "C", "D"]
+    df = df.withColumn("own", F.when(F.col("speaker") == "D", "xx"))
+    assert speakers(whole_word=True, language_col="own") == ["A", "A", "C"]
+    assert speakers(language_col="own") == ["A", "A", "C", "D"]
+    with pytest.raises(ValueError):
+        speakers(whole_word=True, language="en", language_col="own")
     umlaut = spark.createDataFrame([("Bär äpfel ÄPFEL",)], "text string")
     assert kwic.concordance(umlaut, "text", "äpfel", [], whole_word=True).count() == 2
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,6 +258,23 @@ def _flat(df: DataFrame, hits: Column, text_col: str, keep: list[str]) -> DataFr
     return rows.select(*keep, *[F.col(f"__hit.{name}").alias(name) for name in HIT_FIELDS])
 
 
+def _by_language(
+    search: Callable[[str | None], Column], language: str | None, language_col: str | None
+) -> Column:
+    """``search`` with the word rule of ``language``, or of each row's own language.
+
+    A row is searched once, by the rule for scripts with or without spaces. A row
+    whose language is null or unknown has the rule for scripts with spaces.
+    """
+    if language_col is None:
+        return search(language)
+    if language is not None:
+        raise ValueError("name a language or a column of languages, not both")
+    own = F.lower(F.trim(F.col(language_col).cast("string")))
+    unspaced = sorted(NO_WORD_BOUNDARY)
+    return F.when(own.isin(unspaced), search(unspaced[0])).otherwise(search(None))
+
+
 def concordance(
     df: DataFrame,
     text_col: str,
@@ -268,10 +286,19 @@ def concordance(
     whole_word: bool = False,
     case_sensitive: bool = False,
     language: str | None = None,
+    language_col: str | None = None,
 ) -> DataFrame:
-    """Flat hit table of a text search: kept columns, then the CONC columns."""
-    pattern = search_pattern(word, regex, whole_word, case_sensitive, language)
-    return _flat(df, kwic_hits(F.col(text_col), pattern, left, right), text_col, keep)
+    """Flat hit table of a text search: kept columns, then the CONC columns.
+
+    For a table of mixed languages ``language_col`` holds the language of each row.
+    """
+
+    def hits(code: str | None) -> Column:
+        pattern = search_pattern(word, regex, whole_word, case_sensitive, code)
+        return kwic_hits(F.col(text_col), pattern, left, right)
+
+    found = _by_language(hits, language, language_col if whole_word else None)
+    return _flat(df, found, text_col, keep)
 
 
 def matches(
@@ -283,10 +310,15 @@ def matches(
     whole_word: bool = False,
     case_sensitive: bool = False,
     language: str | None = None,
+    language_col: str | None = None,
 ) -> DataFrame:
     """Hits of a text search without their contexts: all that counting,
     grouping and dispersion need, at a fraction of the work."""
-    pattern = search_pattern(word, regex, whole_word, case_sensitive, language)
+    by_row = language_col if whole_word else None
+
+    def pattern(code: str | None) -> str:
+        return search_pattern(word, regex, whole_word, case_sensitive, code)
+
     body = F.coalesce(F.col(text_col), F.lit(""))
 
     def with_length(d: Column) -> Column:
@@ -301,10 +333,11 @@ def matches(
         )
 
     doc = F.struct(
-        regex_spans(body, pattern).alias("spans"),
+        _by_language(lambda code: regex_spans(body, pattern(code)), language, by_row).alias("spans"),
         F.length(body).cast("bigint").alias("length"),
     )
-    rows = df.filter(not_blank(text_col) & F.col(text_col).rlike(pattern)).select(
+    found = _by_language(lambda code: F.col(text_col).rlike(pattern(code)), language, by_row)
+    rows = df.filter(not_blank(text_col) & found).select(
         *keep, F.explode(let(doc, with_length)).alias("__hit")
     )
     fields = [CORE[1], CORE[3], CORE[4], DOC_LENGTH]

@@ -270,6 +270,35 @@ def k9_whole_word(spark: SparkSession, sf: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
+ROW_LANGUAGE = "CASE WHEN doc_id % 3 = 0 THEN ' ZH ' WHEN doc_id % 3 = 1 THEN lang END"
+
+
+def row_language_sql(word: str, unspaced: str) -> str:
+    """Hits per document: anywhere in texts that meet ``unspaced``, as whole words in the others."""
+    return f"""SELECT doc_id, count(*) AS hits FROM (
+          SELECT doc_id, unnest(CASE WHEN {unspaced} THEN regexp_extract_all(lower(text), '{word}')
+             ELSE list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'),
+                              lambda w: w = '{word}') END)
+          FROM documents) GROUP BY doc_id"""
+
+
+@query("k9_row_language", row_language_sql("the", f"({ROW_LANGUAGE}) = ' ZH '"))
+def k9_row_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole words in a table where every third text is of a language without spaces."""
+    docs = documents(spark, sf).withColumn("own", F.expr(ROW_LANGUAGE))
+    hits = kwic.matches(docs, "text", "the", ["doc_id"], whole_word=True, language_col="own")
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("k10_row_language", row_language_sql("her", "lang = 'de'"))
+def k10_row_language(spark: SparkSession, sf: str) -> DataFrame:
+    """The German texts are searched as if they had no spaces, the others by whole words."""
+    own = F.when(F.col("lang") == "de", "ko").otherwise(F.col("lang"))
+    docs = documents(spark, sf).withColumn("own", own)
+    hits = kwic.concordance(docs, "text", "her", ["doc_id"], whole_word=True, language_col="own")
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query(
     "k10_concordance",
     f"SELECT doc_id, {HIT_COLUMNS} FROM {kwic_sql('documents', 'doc_id', '(?i)th[a-z]+on')}",
