@@ -7,6 +7,7 @@ own benchmark passages and is drawn by itself.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 SHARDS = 24
 SEED = 17
+USED = ("doc_id", "text", "source")  # the columns that the operators see
+REST = "rest"  # all others, as one column
 
 # The classifier, the bounds on sets and the slot map have no SQL form.
 ORACLE_SQL = None
@@ -28,6 +31,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _apart(stage: Stage) -> Stage:
+    """``stage`` with all columns but the used ones packed into one, so that no name clashes.
+
+    Columns that the stage adds replace those of the same name.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [docs[f"`{c.replace('`', '``')}`"].alias(c) for c in docs.columns if c not in USED]
+        packed = docs.select(*USED, F.struct(*(others or [F.lit(None).alias("none")])).alias(REST))
+        out = stage(spark, packed, sf_dir)
+        added = [c for c in out.columns if c not in (*USED, REST)]
+        kept = [c for c in docs.columns if c.lower() not in added]
+        back = [F.col(c) if c in USED else F.col(REST).getField(c).alias(c) for c in kept]
+        return out.select(*back, *added)
+
+    return run
+
+
 def _text_key() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
@@ -38,12 +60,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__key", key)
 
 
+@_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.reject_toxic(docs, model)
 
 
+@_apart
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the document with the smallest id stays.
 
@@ -57,17 +81,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.select(*docs.columns)
 
 
+@_apart
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     bench = _table(spark, sf_dir, "benchmark")
     return decontaminate.remove_contaminated(_keyed(docs), bench, id_col="__key").select(*docs.columns)
 
 
+@_apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source gets the same weight, by repeating its documents."""
     return poisson_mix.mix(_keyed(docs), seed=SEED, id_col="__key").select(*docs.columns)
 
 
+@_apart
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards of near-equal bytes; adds ``size, virtual_slot, map_version, shard, slot``."""
     return slot_shards.assign(docs, SHARDS)
