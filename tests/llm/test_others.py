@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -282,6 +283,21 @@ def test_pipeline_odd(spark, odd):
     assert empty.count() == 0
 
 
+def test_pipeline_clashing_columns(spark):
+    """Columns named like those that operators make and drop come out as they went in."""
+    names = ["copy", "copies", "shuffle_key", "__key", "__text", "__nth", "__source", "score", "kept", "rest", "none", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names])
+    for step, stage in corpus_pipeline.STAGES:
+        before, docs = docs.columns, stage(spark, docs, SF)
+        if step != "sharding":
+            assert docs.columns == before, step
+    mine = [F.col(f"`{n}`") == F.concat(F.lit(f"{n}:"), "doc_id") for n in names]
+    both = docs.join(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "lang AS l", "n_chars AS c"), "doc_id")
+    wrong = both.filter(~functools.reduce(lambda a, b: a & b, mine, (F.col("lang") == F.col("l")) & (F.col("n_chars") == F.col("c"))))
+    assert docs.count() > 100 and wrong.count() == 0
+
+
 def test_pipeline_without_ids(spark, make):
     """Rows without an id are deduplicated, decontaminated and drawn by their own text."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
