@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import math
+import random
 import re
 
 import numpy as np
@@ -195,6 +197,66 @@ def test_page_unclosed(spark):
     assert one == got
 
 
+def test_page_sections(spark):
+    """Links, sections named after a side word and odd attributes inside an article lose nothing."""
+    rest = "<footer><p>Imprint</p></footer></body></html>"
+    cases = [
+        ("<h1><a href=/x>Linked title</a></h1><p>Story</p><ul><li><a href=/a>Ref one</a><li><a href=/b>Ref two</a></ul>",
+         "Linked title Story Ref one Ref two"),
+        ("<p title=Bob's>Story isn't lost</p><p data-x=\"a > b\" title='it\"s'>More</p><p alt=5'>End</p>",
+         "Story isn't lost More End"),
+        ("<section id='legal'><p>Law</p></section><section class='related-work'><p>Others</p></section>"
+         "<section id='notice-period'><p>Notice</p></section><p data-class='ad' title='class=ads'>Text</p>",
+         "Law Others Notice Text"),
+        ("<p>Story</p><section id='comments'><p>No</p></section><div class='ad-slot'>Buy</div><div id='sidebar'>Side</div>"
+         "<div class='share-buttons'>Share</div><div role='navigation'>Go</div><div class='wide newsletter'>Join</div>", "Story"),
+    ]
+    rows = [(i, f"http://s{i}.example", f"<html><body><article>{x}</article>{rest}") for i, (x, _) in enumerate(cases)]
+    want = {i: w for i, (_, w) in enumerate(cases)}
+    words = " ".join(f"word{i}" for i in range(120))
+    teaser = "<article><p>Next story</p></article>"
+    rows.append((50, "http://t.example", f"<html><body><div class='content'><p>{words}</p></div>{teaser}{rest}"))
+    got = main_texts(spark, rows)
+    assert {i: got[i] for i in want} == want and words in got[50]
+
+
+def test_page_sizes(spark):
+    """A page of 100,000 elements beside a short one, and a host with a layout for each page."""
+    def text(i, n):
+        return "".join(f"<x{(j * j + i) % 997}><p>P{i} {j}</p></x{(j * j + i) % 997}>" for j in range(n))
+
+    long = [(i, "http://long.example", f"<html><body><main>{text(i, n)}</main></body></html>") for i, n in ((0, 50_000), (1, 40), (2, 5_000))]
+    many = [
+        (10 + i, "http://many.example", f"<html><body><div class='menu'>Go</div><article>{text(i, 3)}</article></body></html>")
+        for i in range(300)
+    ]
+    got = main_texts(spark, long + many)
+    for i, n in ((0, 50_000), (1, 40), (2, 5_000)):
+        assert got[i] == " ".join(f"P{i} {j}" for j in range(n))
+    assert all(got[10 + i] == f"P{i} 0 P{i} 1 P{i} 2" for i in range(300))
+
+
+def test_long_alignment():
+    """Matches of long sequences rise on both sides, and none is lost where one side is part of the other."""
+    rng = random.Random(5)
+    x = [f"<{rng.randrange(4_000)}" for _ in range(6_000)]
+    y = [k for k in x if rng.random() < 0.9]
+    for one, other in ((x, y), (y, x), (x, ["<a"] * 3_000), (["<a"] * 3_000, ["<b", "<a"] * 2_000)):
+        found = wrappers._matches(one, other)
+        assert all(one[i] == other[j] for i, j in found)
+        assert all(i < k and j < m for (i, j), (k, m) in itertools.pairwise(found))
+        if len(one) == 3_000:
+            assert len(found) >= 1_000
+    assert len(wrappers._matches(x, y)) >= 0.97 * len(y)
+    for _ in range(200):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(12))]
+        b = [rng.choice("abcd") for _ in range(rng.randrange(12))]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(wrappers._matches(a, b)) == best[-1][-1]
+
+
 def test_wrapper_algebra():
     items, slots = wrappers.fold(["<ul", "<li", "#", "<li", "#", "<li", "#", ">ul", "<p", "#"])
     assert items == ["<ul", ["+", ["<li", "#"]], ">ul", "<p", "#"] and slots == [0, 0, 0, 1]

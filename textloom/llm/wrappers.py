@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -14,7 +18,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.scratch import Scratch
 
-SALTS = 16  # partial wrappers per host, merged afterwards
+MERGED = 64  # page structures of a host that are aligned in one task, on average
+DEPTH = 100  # elements within elements that a path tells
+CELLS = 250_000  # places of two structures that are compared in one table
 BROADCAST_ROWS = 20_000  # distinct page structures that are broadcast
 REPEATED = 5  # pages of different text that tell a text which all of them hold from main text
 
@@ -39,8 +45,17 @@ SIDE_WORDS = (
 ).split()
 MODIFIERS = "with without has no tag category".split()  # before such a word: not the thing itself
 MAIN_TAGS = ("article", "main")
+# Inside a main element a word may name what a section is about. There these tell in any place, the
+# next ones as an id of their own, and all others as a class or role, alone or with words for parts.
+COMMENT_OR_AD = "ad ads advert advertisement comment comments promo sponsor sponsored".split()
+PLAIN_IDS = "breadcrumb breadcrumbs navbar popup sidebar toolbar widget".split()
+PARTS = (
+    "bar block box button buttons container inner item items link links list module panel post posts "
+    "signup slot stories unit wrap wrapper"
+).split()
 
-_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
+# Attributes up to the end of a tag: a quotation mark opens a value only after an equals sign.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<silent>{'|'.join(SILENT)})(?=[\s/>])(?P<inside>{_ATTRS})>"
@@ -51,7 +66,7 @@ _TOKEN = re.compile(
 _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
 _UNCLOSED = {"script": re.compile(r"\Z"), "style": re.compile(r"\Z"), "title": re.compile(r"(?=<)|\Z")}
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")  # a slash behind it belongs to the value
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s=/>][^\s=/>]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+))|[^\s=/>]++")
 
 Item = str | list  # a token, or ["+" or "?", items]
 
@@ -63,10 +78,24 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+@lru_cache(4096)
 def _label(name: str, attrs: str) -> str:
-    """The element with the words of its class, id and role; ``has-sidebar`` says nothing of a sidebar."""
-    known = [x.lower() for m in _NAMED.findall(attrs) for x in "".join(m).split()]
-    words = {w for x in known for w in _modified(re.split(r"[^a-z]+", x)) if w}
+    """The element with the words of its class, id and role; ``has-sidebar`` says nothing of a sidebar.
+
+    A word that also counts inside a main element ends in ``*``.
+    """
+    words: set[str] = set()
+    for key, *values in _ATTR.findall(attrs):
+        key = key.lower()
+        if key not in ("class", "id", "role"):
+            continue
+        for known in "".join(values).lower().split():
+            pieces = [w for w in _modified(re.split(r"[^a-z]+", known)) if w]
+            if key == "id":
+                telling = pieces if len(pieces) == 1 and pieces[0] in PLAIN_IDS else []
+            else:
+                telling = pieces if all(w in SIDE_WORDS or w in PARTS for w in pieces) else []
+            words.update(w + "*" if w in telling or w in COMMENT_OR_AD else w for w in pieces)
     return ".".join([name, *sorted(words)])
 
 
@@ -169,9 +198,6 @@ def fold(flat: list[str]) -> tuple[list[Item], list[int]]:
     longest = 12
     count = 0
 
-    def shape(x: Item) -> str:
-        return x if isinstance(x, str) else json.dumps(x)
-
     for token in flat:
         held = []
         if token == "#":
@@ -182,19 +208,24 @@ def fold(flat: list[str]) -> tuple[list[Item], list[int]]:
         while again:
             again = False
             for n in range(1, min(longest, len(items) // 2 + 1) + 1):
+                if n >= len(items):
+                    break
+                before = items[-n - 1]
+                group = isinstance(before[0], list) and len(before[0][1]) == n
+                if not group and before[0] != items[-1][0]:
+                    continue
                 tail = items[-n:]
                 if not any(isinstance(i, list) or i[0] == "<" for i, _ in tail):
                     continue  # a group holds an element
                 body = [i for i, _ in tail]
-                before = items[-n - 1] if len(items) > n else None
-                if before and isinstance(before[0], list) and before[0][1] == body:
+                if group and before[0][1] == body:
                     for have, more in zip(before[1], [s for _, h in tail for s in h], strict=True):
                         have.extend(more)
                     del items[-n:]
                     again = True
                     break
                 twin = items[-2 * n : -n]
-                if len(twin) == n and [shape(i) for i, _ in twin] == [shape(i) for i in body]:
+                if [i for i, _ in twin] == body:
                     slots = [s for _, h in twin for s in h]
                     for have, more in zip(slots, [s for _, h in tail for s in h], strict=True):
                         have.extend(more)
@@ -215,35 +246,98 @@ def _head(item: Item) -> str:
     return item
 
 
-def _same(a: Item, b: Item) -> bool:
-    """Whether two items may be one in a common expression."""
-    if isinstance(a, str) and isinstance(b, str):
-        return a == b
-    return _head(a) == _head(b) and _head(a) != "#"
+def _key(item: Item) -> str | None:
+    """Items of equal keys may be one in a common expression; those without a key stand alone."""
+    head = _head(item)
+    return head if head != "#" or isinstance(item, str) else None
 
 
-def _pairs(a: list[Item], b: list[Item]) -> list[tuple[int | None, int | None]]:
-    """An alignment of most matches: pairs of places, or a place and None."""
-    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best = max(rows[i + 1][j], rows[i][j + 1])
-            rows[i][j] = max(best, rows[i + 1][j + 1] + 1) if _same(a[i], b[j]) else best
-    out: list[tuple[int | None, int | None]] = []
+def _table(x: list, y: list) -> list[tuple[int, int]]:
+    """The matches of a longest common subsequence."""
+    rows = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        row, below, key = rows[i], rows[i + 1], x[i]
+        for j in range(len(y) - 1, -1, -1):
+            if key is not None and key == y[j]:
+                row[j] = below[j + 1] + 1
+            else:
+                row[j] = max(below[j], row[j + 1])
+    out = []
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and _same(a[i], b[j]) and rows[i][j] == rows[i + 1][j + 1] + 1:
+    while i < len(x) and j < len(y):
+        if x[i] is not None and x[i] == y[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and rows[i + 1][j] >= rows[i][j + 1]):
-            out.append((i, None))
+        elif rows[i + 1][j] >= rows[i][j + 1]:
             i += 1
         else:
-            out.append((None, j))
             j += 1
     return out
 
 
+def _anchors(x: list, y: list) -> list[tuple[int, int]]:
+    """Keys that stand once on both sides, the most of them that are in the same order."""
+    in_x, in_y = Counter(x), Counter(y)
+    at = {k: j for j, k in enumerate(y) if k is not None and in_y[k] == 1}
+    pairs = [(i, at[k]) for i, k in enumerate(x) if k in at and in_x[k] == 1]
+    ends: list[int] = []  # the least end of a rising run of each length
+    last: list[int] = []
+    back: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        back.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [j], [n]
+    out = []
+    n = last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = back[n]
+    return out[::-1]
+
+
+def _matches(x: list, y: list) -> list[tuple[int, int]]:
+    """Matching places, rising on both sides.
+
+    Up to ``CELLS`` places are compared in a table. Longer stretches are cut
+    at keys that stand once on both sides, or where there are none at their
+    middles, so that memory is bounded and time is in proportion to the length.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] is not None and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) <= CELLS:
+            out.extend((a + i, c + j) for i, j in _table(x[a:b], y[c:d]))
+            continue
+        cuts = [(a + i, c + j) for i, j in _anchors(x[a:b], y[c:d])]
+        out.extend(cuts)
+        if cuts:
+            begins, ends = [(a, c), *((i + 1, j + 1) for i, j in cuts)], [*cuts, (b, d)]
+        else:
+            half = (a + b) // 2, (c + d) // 2
+            begins, ends = [(a, c), half], [half, (b, d)]
+        todo.extend((i, k, j, m) for (i, j), (k, m) in zip(begins, ends, strict=True))
+    return sorted(out)
+
+
+def _pairs(a: list[Item], b: list[Item]) -> list[tuple[int | None, int | None]]:
+    """An alignment: pairs of places that match, or a place and None."""
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    for k, m in [*_matches([_key(x) for x in a], [_key(x) for x in b]), (len(a), len(b))]:
+        out.extend((n, None) for n in range(i, k))
+        out.extend((None, n) for n in range(j, m))
+        if k < len(a):
+            out.append((k, m))
+        i, j = k + 1, m + 1
+    return out
+
+
 def _body(item: Item) -> list[Item]:
     return item[1] if isinstance(item, list) else [item]
 
@@ -333,7 +427,10 @@ def unfold_optional(items: list[Item]) -> list[Item]:
 
 
 def paths(page: list[Item]) -> list[list[str]]:
-    """The labels of the elements around each slot of an expression."""
+    """The labels of the elements around each slot of an expression.
+
+    Elements deeper than ``DEPTH`` count as siblings, as in browsers.
+    """
     out: list[list[str]] = []
 
     def walk(items: list[Item], stack: list[str]) -> None:
@@ -347,6 +444,8 @@ def paths(page: list[Item]) -> list[list[str]]:
                 if name in OPTIONAL_END or name == "p":
                     while stack and stack[-1].split(".")[0] in OPTIONAL_END:
                         stack.pop()
+                if len(stack) >= DEPTH:
+                    stack.pop()
                 stack.append(item[1:])
             else:
                 names = [s.split(".")[0] for s in stack]
@@ -361,15 +460,16 @@ def side_label(label: str, inside: bool) -> str | None:
     """``"tag"`` or ``"words"`` by which an element is a menu, header, footer or the like.
 
     ``inside`` tells whether it stands in an article or main element, whose own
-    words say nothing, and whose header is part of it.
+    words say nothing, whose header is part of it, and whose sections may be
+    called after what they are about.
     """
     name, *words = label.split(".")
     if name in ("html", "body", *MAIN_TAGS) or (name == "header" and inside):
         return None
     if name in SIDE_TAGS:
         return "tag" if name != "form" else "words"  # a form may hold the whole page
-    told = set(words) & set(SIDE_WORDS) - ({"header"} if inside else set())
-    return "words" if told else None
+    told = {w.rstrip("*") for w in words if not inside or w.endswith("*")} & set(SIDE_WORDS)
+    return "words" if told - ({"header"} if inside else set()) else None
 
 
 def side_elements(path: list[str]) -> list[tuple[tuple[str, ...], str]]:
@@ -422,11 +522,12 @@ def choose(slots: list[dict]) -> set[int]:
     ``slots`` tell each slot's ``path``, its ``chars`` in this layout and its
     ``weight``, the characters of its place over all pages of the host;
     ``links`` are slots made of links, ``repeated`` ones hold one text in pages
-    that differ elsewhere. Side elements and links fall out, and repeated slots
-    outside article and main elements, unless they are more than nine tenths of
-    what is left: such pages are copies that differ in a counter or a date.
-    Of the rest, those in an article or main element are taken; where this
-    layout has none, those in its smallest element that holds nine tenths of the
+    that differ elsewhere. Side elements fall out, and links and repeated slots
+    outside article and main elements; the repeated ones stay if they are more than
+    nine tenths of what is left: such pages are copies that differ in a counter or a date.
+    Of the rest, those in article and main elements are taken if one of them is in a
+    main element or they hold half of the characters; articles with less are teasers
+    beside the text. Else those in the layout's smallest element that holds nine tenths of the
     characters, by ``chars`` and by ``weight``: a page with one long quotation is
     not cut to it, nor is a rare template measured by a hot one.
     """
@@ -435,12 +536,13 @@ def choose(slots: list[dict]) -> set[int]:
         return any(p.split(".")[0] in MAIN_TAGS for p in s["path"])
 
     side = side_slots(slots)
-    text = [s for s in slots if s["slot"] not in side and not s["links"]]
+    text = [s for s in slots if s["slot"] not in side and (in_main(s) or not s["links"])]
     good = [s for s in text if in_main(s) or not s["repeated"]]
     if 10 * sum(s["chars"] for s in good) < sum(s["chars"] for s in text):
         good = text
     named = [s for s in good if in_main(s)]
-    if named:
+    sure = any(p.split(".")[0] == "main" for s in named for p in s["path"])
+    if named and (sure or 2 * sum(s["chars"] for s in named) >= sum(s["chars"] for s in good)):
         return {s["slot"] for s in named}
     held: dict[tuple[str, ...], tuple[int, int]] = {}
     for s in good:
@@ -476,10 +578,10 @@ def extract(
     """``id, url, text`` for every row: the main text of each page.
 
     1. Each page becomes a token stream; inline elements vanish, repeats fold
-       into groups, so pages of one layout share an expression.
-    2. The distinct expressions of a host are aligned one after the other:
-       mismatches become optional parts, repeats become groups, differing texts
-       are slots. Hosts are salted: partial wrappers come first and are merged.
+       into groups, so pages of one layout share an expression, and its 128-bit hash.
+    2. The distinct expressions of a host are aligned: mismatches become optional
+       parts, repeats become groups, differing texts are slots. About 64 of them meet
+       in a task, and their common expressions meet in the next round.
     3. Characters, link characters and repeated texts are summed per slot of the
        wrapper, over all pages, copies of a page counting once for the latter; with these each layout decides which of its
        slots hold main text.
@@ -499,26 +601,23 @@ def extract(
     parsed = scratch.table(
         source.mapInArrow(
             _parse_pages,
-            "id long, url string, host string, layout string, "
+            "id long, url string, host string, layout string, shape string, "
             "texts array<struct<slot:int,text:string,chars:int,link:int>>",
         ).withColumn("page", F.xxhash64(F.transform("texts", lambda t: t["text"]))),
         "parsed",
     )
     # Sketches of page texts count the few that matter exactly and do not grow with the pages.
     layouts = scratch.table(
-        parsed.groupBy("host", "layout").agg(F.hll_sketch_agg("page").alias("pages")), "layouts"
-    )
-    salted = layouts.withColumn("salt", F.pmod(F.xxhash64("layout"), F.lit(SALTS)).cast("int"))
-    partial = salted.select("host", "salt", "layout").groupBy("host", "salt").applyInArrow(
-        _infer, "host string, layout string"
-    )
-    wrappers = scratch.table(
-        partial.groupBy("host").applyInArrow(_infer, "host string, layout string"), "wrappers"
+        parsed.groupBy("host", "layout").agg(
+            F.hll_sketch_agg("page").alias("pages"), F.any_value("shape").alias("shape")
+        ),
+        "layouts",
     )
-    wrapper = wrappers.select("host", F.col("layout").alias("wrapper"))
+    wrappers = _wrappers(layouts.select("host", "shape"), scratch)
+    wrapper = wrappers.select("host", F.col("shape").alias("wrapper"))
     matched = scratch.table(
-        layouts.select("host", "layout").join(wrapper, "host").mapInArrow(
-            _match, "host string, layout string, places array<int>, paths array<string>"
+        layouts.select("host", "layout", "shape").join(wrapper, "host").mapInArrow(
+            _match, "host string, layout string, places array<struct<place:int,path:string>>"
         ),
         "matched",
     )
@@ -527,12 +626,11 @@ def extract(
         F.sum("t.chars").alias("chars"), F.sum("t.link").alias("link"),
         F.min(F.xxhash64("t.text")).alias("low"), F.max(F.xxhash64("t.text")).alias("high"),
     )
-    placed = matched.select(
-        "host", "layout", F.posexplode("places").alias("slot", "place"), "paths"
-    ).withColumn("path", F.col("paths")[F.col("slot")])
-    slots = scratch.table(per_layout.join(placed, ["host", "layout", "slot"]).drop("paths"), "slots")
+    placed = matched.select("host", "layout", F.posexplode("places").alias("slot", "at"))
+    placed = placed.select("host", "layout", "slot", "at.place", "at.path")
+    slots = scratch.table(per_layout.join(placed, ["host", "layout", "slot"]), "slots")
     stats = (
-        slots.join(layouts, ["host", "layout"])
+        slots.join(layouts.drop("shape"), ["host", "layout"])
         .groupBy("host", "place", "path")
         .agg(
             F.sum("chars").alias("weight"), F.sum("link").alias("link"), F.hll_union_agg("pages").alias("pages"),
@@ -554,7 +652,7 @@ def extract(
         judged.mapInArrow(_choose, "host string, layout string, main array<int>"), "kept-slots"
     )
     few = kept.count() <= broadcast_rows
-    joined = parsed.join(F.broadcast(kept) if few else kept, ["host", "layout"], "left")
+    joined = parsed.drop("shape").join(F.broadcast(kept) if few else kept, ["host", "layout"], "left")
     chosen = F.filter("texts", lambda t: F.array_contains("main", t["slot"]))
     text = F.array_join(F.transform(chosen, lambda t: t["text"]), " ")
     return joined.select(
@@ -562,9 +660,23 @@ def extract(
     )
 
 
+def _wrappers(layouts: DataFrame, scratch: Scratch) -> DataFrame:
+    """One expression per host that generalises its ``layouts``, merged as a tree."""
+    while True:
+        sizes = layouts.groupBy("host").agg(F.count("*").alias("size"))
+        most = sizes.agg(F.max("size")).first()[0] or 0
+        if most <= 1:
+            return layouts
+        part = F.pmod(F.xxhash64("shape"), F.ceil(F.col("size") / MERGED))
+        dealt = layouts.join(sizes, "host").select("host", part.alias("part"), "shape")
+        merged = dealt.groupBy("host", "part").applyInArrow(_infer, "host string, shape string")
+        layouts = scratch.table(merged, "wrappers")
+
+
 _PARSED = pa.schema(
     [
         ("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("layout", pa.string()),
+        ("shape", pa.string()),
         (
             "texts",
             pa.list_(
@@ -582,11 +694,13 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, batch.num_rows, 200):
             rows = []
             for r in batch.slice(a, 200).to_pylist():
-                layout, texts = parse(r["html"])
+                folded, texts = parse(r["html"])
+                shape = json.dumps(folded)
                 rows.append(
                     {
                         "id": r["id"], "url": r["url"], "host": host_of(r["url"]),
-                        "layout": json.dumps(layout),
+                        "layout": hashlib.blake2b(shape.encode(), digest_size=16).hexdigest(),
+                        "shape": shape,
                         "texts": [
                             {"slot": s, "text": t, "chars": len(t), "link": n} for s, t, n in texts
                         ],
@@ -596,27 +710,23 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _infer(table: pa.Table) -> pa.Table:
-    layouts = sorted(set(table.column("layout").to_pylist()), key=lambda x: (len(x), x))
-    wrapper = _merge([json.loads(x) for x in layouts])
-    return pa.table({"host": [table.column("host")[0].as_py()], "layout": [json.dumps(wrapper)]})
+    shapes = sorted(set(table.column("shape").to_pylist()), key=lambda x: (len(x), x))
+    wrapper = _merge([json.loads(x) for x in shapes])
+    return pa.table({"host": [table.column("host")[0].as_py()], "shape": [json.dumps(wrapper)]})
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
-        [("host", pa.string()), ("layout", pa.string()), ("places", pa.list_(pa.int32())),
-         ("paths", pa.list_(pa.string()))]
+        [("host", pa.string()), ("layout", pa.string()),
+         ("places", pa.list_(pa.struct([("place", pa.int32()), ("path", pa.string())])))]
     )
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            page = json.loads(r["layout"])
-            rows.append(
-                {
-                    "host": r["host"], "layout": r["layout"],
-                    "places": slots_of(json.loads(r["wrapper"]), page),
-                    "paths": [" ".join(p) for p in paths(page)],
-                }
-            )
+            page = json.loads(r["shape"])
+            found = zip(slots_of(json.loads(r["wrapper"]), page), paths(page), strict=True)
+            places = [{"place": n, "path": " ".join(p)} for n, p in found]
+            rows.append({"host": r["host"], "layout": r["layout"], "places": places})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
