@@ -467,3 +467,25 @@ def test_stream_topics_without_rows(spark, tmp_path):
     assert centres.count() == 0
     rows_ = spark.createDataFrame([(1, [1.0])], "k long, v array<double>")
     assert assign_nearest(rows_, "v", centres).first()["TOPIC_topic"] is None
+
+
+def test_requests(spark):
+    """One corpus gives frequencies, two give keyness; other requests are refused."""
+    one = spark.createDataFrame([("b a a",), (None,), ("",)], "t string")
+    two = spark.createDataFrame([("a c c c",)], "t string")
+    assert [tuple(r) for r in keyness.compare_corpora([one], "t", 1).collect()] == [("a", 2)]
+    got = keyness.compare_corpora([one, two], "t", 5).collect()
+    assert [(r.token, r.freq_reference, r.freq_study) for r in got] == [("c", 0, 3), ("b", 1, 0), ("a", 2, 1)]
+    assert keyness.compare_corpora([one.filter("false")], "t", 5).count() == 0
+    for corpora, limit in (([], 5), ([one, two, one], 5), ([one], 0)):
+        with pytest.raises(ValueError):
+            keyness.compare_corpora(corpora, "t", limit)
+
+
+def test_small_topics(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([1] * 6 + [2] * 3 + [3])], f"id int, {topics.TOPIC} bigint")
+    sizes = lambda d: {r[0]: r[1] for r in d.groupBy(topics.TOPIC).count().collect()}
+    assert sizes(topics.mark_small(rows, "target", 1)) == {1: 6, 2: 3, -1: 1}
+    assert sizes(topics.mark_small(rows, "min", 4)) == {1: 6, -1: 4}
+    assert sizes(topics.mark_small(rows, "exact", 1)) == {1: 6, -1: 4}
+    assert topics.mark_small(rows.filter("false"), "min", 4).count() == 0

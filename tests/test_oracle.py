@@ -31,7 +31,7 @@ def test_query(spark, duck, name):
 
 def test_every_key_has_an_inventory_id():
     for name in QUERIES:
-        assert name.split("_")[0][0] in "abcdefghijkm" or name == "flagship_keyness"
+        assert name.split("_")[0][0] in "abcdefghijkmn" or name == "flagship_keyness"
         assert not name.startswith("op") and "pipeline" not in name
 
 

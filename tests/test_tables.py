@@ -385,3 +385,28 @@ def test_functions(spark):
     with pytest.raises(ValueError):
         scalars.apply(df, "t", "sqrt")
     assert scalars.family(T.DateType()) == "datetime" and scalars.family(T.BinaryType()) == "string"
+
+
+def test_format_column(spark):
+    names = ["a.CSV", "x/.hidden", "x.d/noext", "dir.csv/", "a.tar.gz", "b.JSONL", ".x.md", "", "a.", "p/q.xlsx", None]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [r[1] for r in rows.select("name", readers.format_of(F.col("name"))).collect()]
+    assert got == [None if n is None else readers.detect_format(n) for n in names]
+
+
+def test_axis_and_schema_reports(spark):
+    df = spark.createDataFrame(
+        [(1, float("nan"), None, "x"), (None, 2.0, None, "y"), (3, float("inf"), None, None)],
+        "`a.b` int, v double, t timestamp, s string",
+    )
+    want = {("a.b", "numeric", 2), ("v", "numeric", 1), ("t", "datetime", 0)}
+    assert {tuple(r) for r in schema.axis_report(df).collect()} == want
+    assert schema.axis_report(df.select("s")).count() == 0
+    assert {r.filled for r in schema.axis_report(df.filter("false")).collect()} == {0}
+    assert combine.schema_report([df, df]).count() == 0
+    other = df.select("v", F.col("t").cast("string").alias("t"), "s", F.lit("z").alias("a"))
+    got = {tuple(r) for r in combine.schema_report([df, df, other]).collect()}
+    assert got == {
+        ("3", "a.b", "missing", "int", 2), ("3", "t", "type", "timestamp vs string", 0),
+        ("3", "a", "unexpected", "string", 3),
+    }

@@ -95,6 +95,36 @@ def schema_differences(tables: list[DataFrame]) -> list[dict[str, str]]:
     return report
 
 
+def schema_report(tables: list[DataFrame]) -> DataFrame:
+    """``schema_differences`` as a table, with the values each difference concerns.
+
+    ``filled`` counts the non-null values of the column: in the first table if
+    the other lacks it, else in the other one. Each table is read once, and
+    only its columns that differ.
+    """
+    schema = "`table` string, `column` string, problem string, detail string"
+    spark = tables[0].sparkSession
+    report = schema_differences(tables)
+    if not report:
+        return spark.createDataFrame([], schema + ", filled bigint")
+    parts = []
+    for number in range(len(tables)):
+        own = [
+            r for r in report
+            if (0 if r["problem"] == "missing" else int(r["table"]) - 1) == number
+        ]
+        if own:
+            rows = [
+                F.struct(
+                    *[F.lit(r[k]).alias(k) for k in ("table", "column", "problem", "detail")],
+                    F.count(col(r["column"])).alias("filled"),
+                )
+                for r in own
+            ]
+            parts.append(tables[number].agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
 def stack_tables(tables: list[DataFrame], distinct: bool = False) -> DataFrame:
     """Rows of all tables, columns in the order of the first."""
     if len(tables) < 2:

@@ -47,6 +47,19 @@ def top_tokens(frequencies: DataFrame, limit: int = 25) -> DataFrame:
     return frequencies.orderBy(F.desc("frequency"), F.asc("token")).limit(limit)
 
 
+def compare_corpora(corpora: list[DataFrame], text_col: str, limit: int) -> DataFrame:
+    """The strongest tokens of a request: the most frequent of one corpus, or the keyness of two.
+
+    Of two corpora the first is the reference; equal tokens come in the order of
+    their text. A request for other numbers of corpora, or for no token, is refused.
+    """
+    check_request(len(corpora), limit)
+    if len(corpora) == 1:
+        return top_tokens(token_frequencies(corpora[0], text_col), limit)
+    scored = keyness(*[token_rows(c, text_col) for c in corpora])
+    return scored.orderBy(F.desc("log_likelihood_llv"), F.asc("token")).limit(limit)
+
+
 def without_stop_words(df: DataFrame, words: list[str]) -> DataFrame:
     """Drop rows of stop words after all statistics are done."""
     if not words:

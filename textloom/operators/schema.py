@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -171,6 +172,37 @@ def logical_types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, family string")
 
 
+def axis_report(df: DataFrame) -> DataFrame:
+    """``column, axis, filled`` for every column that a trend can run along, and its values that count.
+
+    One pass over the table; null, NaN and infinite values have no place on an axis.
+    """
+    axes: dict[str, str] = {}
+    for name in df.columns:
+        for axis in ("numeric", "datetime"):
+            with contextlib.suppress(ValueError):
+                check_axis_type(df, name, axis)
+                axes[name] = axis
+
+    def placed(name: str) -> Column:
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.DoubleType | T.FloatType):
+            return F.abs(col(name)) < F.lit(float("inf"))
+        return col(name).isNotNull()
+
+    if not axes:
+        return df.sparkSession.createDataFrame([], "column string, axis string, filled bigint")
+    counts = df.agg(
+        F.array(
+            *[
+                F.struct(F.lit(n).alias("column"), F.lit(a).alias("axis"), F.count_if(placed(n)).alias("filled"))
+                for n, a in axes.items()
+            ]
+        ).alias("rows")
+    )
+    return counts.select(F.inline("rows"))
+
+
 def check_axis_type(df: DataFrame, name: str, axis: str) -> None:
     """Raise if a trends axis does not suit the column's type."""
     family = logical_type(df.schema[name].dataType)

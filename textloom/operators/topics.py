@@ -73,6 +73,11 @@ def mark_outliers(assigned: DataFrame, least: int) -> DataFrame:
     )
 
 
+def mark_small(assigned: DataFrame, mode: str, value: int) -> DataFrame:
+    """Clusters below the size rule become the outlier topic; the rows are counted first."""
+    return mark_outliers(assigned, topic_size(assigned.count(), mode, value))
+
+
 def label_text(df: DataFrame, text_col: str, model: str | None = None) -> Column:
     """Text used for topic words: the tokens where a token column exists."""
     name = find_derived(df, text_col, model=model)

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,13 @@ def detect_format(name: str) -> str:
     return FORMATS.get(suffix, "unknown")
 
 
+def format_of(name: Column) -> Column:
+    """``detect_format`` for a column of file names, as in a listing; null has no format."""
+    suffix = F.lower(F.regexp_extract(name, r"(?:^|/)[^/]+\.([^./]+)/*$", 1))
+    known = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    return F.when(name.isNotNull(), F.coalesce(F.try_element_at(known, suffix), F.lit("unknown")))
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
