@@ -107,6 +107,21 @@ def test_slots(make, odd):
     assert slot_shards.assign(make([]), 24).collect() == []
 
 
+def test_slots_of_copies(make):
+    """An id, a text without an id, or an id with many texts that fills a shard is spread over all of them."""
+    docs = [(i, "x" * 40) for i in range(3000)]
+    for hot in ([(7, "y" * 40)] * 900, [(None, "z" * 40)] * 900, [(9, f"{i:040}") for i in range(900)], [(5, None)] * 900):
+        for cell_rows in (300, 65_536):
+            rows = make(docs + hot)
+            placed = slot_shards.assign(rows, 8, slots=512, cell_rows=cell_rows).collect()
+            assert collections.Counter((r.doc_id, r.text) for r in placed) == collections.Counter(map(tuple, docs + hot))
+            held = [sum(r.size for r in placed if r.shard == s) for s in range(8)]
+            assert max(held) <= 1.02 * sum(held) / 8
+            for s in range(8):
+                assert sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed)))
+            assert len({r.shard for r in placed if r.doc_id == 3000 - 1}) == 1
+
+
 def test_slot_map_versions(spark, tmp_path):
     rng = random.Random(2)
     loads = [rng.randint(0, 1000) for _ in range(500)]

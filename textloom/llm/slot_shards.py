@@ -5,14 +5,16 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.frames import without
+from textloom.llm.scratch import Scratch
 
 SLOTS = 4096
 OVERHEAD = 8  # bytes of a record beside its text
 CELL_ROWS = 65_536  # rows that are numbered together
+HOT_SLOTS = 2  # an id with the bytes of so many mean slots is spread over all of them
 
 
 @dataclass(frozen=True)
@@ -51,16 +53,58 @@ def with_slots(
     The size is the UTF-8 length of the text plus OVERHEAD; null counts none.
     """
     text = F.col(text_col).cast("binary")
-    key = F.coalesce(F.xxhash64(F.when(F.col(id_col).isNotNull(), F.col(id_col))), F.lit(0))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(key)
     return docs.withColumns(
         {
             "size": (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long"),
-            "virtual_slot": F.pmod(key, F.lit(slots)).cast("int"),
+            "virtual_slot": F.pmod(_slot_key(id_col, text_col), F.lit(slots)).cast("int"),
         }
     )
 
 
+def _slot_key(id_col: str, text_col: str) -> Column:
+    key = F.coalesce(F.xxhash64(F.when(F.col(id_col).isNotNull(), F.col(id_col))), F.lit(0))
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(key)
+
+
+def _spread(
+    slotted: DataFrame, id_col: str, text_col: str, slots: int, cell_rows: int
+) -> tuple[DataFrame, int]:
+    """``slotted`` with ``__copy``, rows of hot ids dealt to all slots; and the number of rows.
+
+    Only slots with the bytes of HOT_SLOTS mean slots or with more than
+    ``cell_rows`` rows can hold a hot id, so only their rows are grouped by id.
+    The rows of hot ids are written once with a number each, so that what
+    counts them and what numbers them sees the same rows. Hot ids are fewer than
+    ``slots`` and one for ``cell_rows`` rows, a bound for their broadcast.
+    """
+    sums = slotted.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+    loads = sums.collect()  # one row per slot
+    rows = sum(r["n"] for r in loads)
+    limit = HOT_SLOTS * sum(r["b"] for r in loads) // slots
+    full = [r["virtual_slot"] for r in loads if r["b"] > limit or r["n"] > cell_rows]
+    plain = slotted.withColumn("__copy", F.lit(0).cast("long"))
+    if not full:
+        return plain, rows
+    keyed = slotted.withColumn("__hot", _slot_key(id_col, text_col))
+    ids = keyed.filter(F.col("virtual_slot").isin(full)).groupBy("__hot").agg(
+        F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    hot = ids.filter((F.col("n") > 1) & ((F.col("b") > limit) | (F.col("n") > cell_rows))).select("__hot")
+    scratch = Scratch(slotted.sparkSession, "shards")
+    hot = scratch.table(hot, "hot")
+    if hot.isEmpty():
+        scratch.close()
+        return plain, rows
+    copies = scratch.table(
+        keyed.join(F.broadcast(hot), "__hot", "left_semi").withColumn("__copy", F.monotonically_increasing_id()),
+        "copies",
+    )
+    slot = F.pmod(F.xxhash64("__hot", "__copy"), F.lit(slots)).cast("int")
+    dealt = copies.withColumn("virtual_slot", slot).select(*plain.columns)
+    others = keyed.join(F.broadcast(hot), "__hot", "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+    return others.select(*plain.columns).unionAll(dealt), rows
+
+
 def slot_loads(slotted: DataFrame, slots: int = SLOTS) -> list[int]:
     """Bytes in every slot; the result has one number per slot whatever the input."""
     loads = [0] * slots
@@ -137,17 +181,20 @@ def assign(
     ``slot`` is the row's place in its shard, from 0 without gaps. Rows are
     numbered inside cells of a virtual slot of about ``cell_rows`` rows, and
     cells after each other, so no task holds a shard. Rows with equal ids share
-    a slot and are numbered in the order of their texts. Columns with the names
-    of added ones are replaced.
+    a slot and are numbered in the order of their texts; but where they are more
+    than ``cell_rows`` or have the bytes of two mean slots, they are dealt to all
+    slots. Rows without an id go by their text. Columns with the names of added
+    ones are replaced.
     """
     spark = docs.sparkSession
     docs = without(docs, ("size", "virtual_slot", "map_version", "shard", "slot"))
-    slotted = with_slots(docs, id_col, text_col, slots)
+    slotted, rows = _spread(
+        with_slots(docs, id_col, text_col, slots), id_col, text_col, slots, cell_rows
+    )
     mapped = using or first_map(slot_loads(slotted, slots), shards)
-    rows = docs.count()
     cells = 1 + rows // (slots * cell_rows)
     text_key = F.xxhash64(F.col(text_col))
-    cell = F.pmod(F.xxhash64(F.lit(1), F.col(id_col), text_key), F.lit(cells)).cast("int")
+    cell = F.pmod(F.xxhash64(F.lit(1), F.col(id_col), text_key, "__copy"), F.lit(cells)).cast("int")
     slotted = slotted.withColumn("__cell", cell).withColumn("__text", text_key)
     # One row per slot: ``slots`` rows.
     owner = F.broadcast(
@@ -163,7 +210,7 @@ def assign(
         "virtual_slot", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")
     )
     nth = F.row_number().over(
-        Window.partitionBy("virtual_slot", "__cell").orderBy(F.col(id_col), "__text")
+        Window.partitionBy("virtual_slot", "__cell").orderBy(F.col(id_col), "__text", "__copy")
     )
     numbered = slotted.withColumn("__nth", nth)
     placed = numbered.join(bases, ["virtual_slot", "__cell"]).join(owner, "virtual_slot")
