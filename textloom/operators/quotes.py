@@ -7,7 +7,10 @@ marks pair up within one line.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,37 +86,62 @@ def plain_text(text: Column) -> Column:
     return F.translate(text, FROM, TO)
 
 
-def _replace_all(text: str, at: list[int], old: str, new: str) -> tuple[str, list[int]]:
+def _replace_all(text: str, at: np.ndarray, old: str, new: str) -> tuple[str, np.ndarray]:
     pieces, marks, i = [], [], 0
     while (j := text.find(old, i)) >= 0:
         pieces += [text[i:j], new]
-        marks += at[i:j] + [at[j]] * len(new)
+        marks += [at[i:j], np.repeat(at[j], len(new))]
         i = j + len(old)
-    return "".join(pieces) + text[i:], marks + at[i:]
+    if not pieces:
+        return text, at
+    return "".join(pieces) + text[i:], np.concatenate([*marks, at[i:]])
 
 
-def preprocess(text: str) -> tuple[str, list[int]]:
-    """The text as the parser sees it, and the original offset of each character."""
+def _preprocess(text: str) -> tuple[str, np.ndarray]:
     plain = text.translate(TABLE)
-    at = list(range(len(plain) + 1))
+    at = np.arange(len(plain) + 1, dtype=np.int32)
     for old, new in REPLACEMENTS:
         plain, at = _replace_all(plain, at, old, new)
     return plain, at
 
 
+def preprocess(text: str) -> tuple[str, list[int]]:
+    """The text as the parser sees it, and the original offset of each character."""
+    plain, at = _preprocess(text)
+    return plain, at.tolist()
+
+
 PREPROCESSED = T.StructType(
     [
         T.StructField("text", T.StringType()),
         T.StructField("offsets", T.ArrayType(T.IntegerType())),
     ]
 )
-
-
-@F.pandas_udf(PREPROCESSED)
-def preprocessed(texts: pd.Series) -> pd.DataFrame:
-    """``preprocess`` for a text column."""
-    pairs = [preprocess(t or "") for t in texts]
-    return pd.DataFrame({"text": [p[0] for p in pairs], "offsets": [p[1] for p in pairs]})
+FRAME_CHARS = 1 << 20  # of texts whose offsets are held at one time
+
+
+@F.arrow_udf(PREPROCESSED)
+def preprocessed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``preprocess`` for a text column, a few texts at a time."""
+    for texts in batches:
+        plain, marks, size = [], [], 0
+        for text in texts:
+            found, at = _preprocess(text.as_py() or "")
+            plain.append(found)
+            marks.append(at)
+            size += len(at)
+            if size >= FRAME_CHARS:
+                yield _packed(plain, marks)
+                plain, marks, size = [], [], 0
+        if plain or not len(texts):
+            yield _packed(plain, marks)
+
+
+def _packed(plain: list[str], marks: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, marks)]).astype(np.int32)
+    values = np.concatenate(marks) if marks else np.empty(0, np.int32)
+    offsets = pa.ListArray.from_arrays(ends, values)
+    return pa.StructArray.from_arrays([pa.array(plain, pa.string()), offsets], ["text", "offsets"])
 
 
 def quotations(text: Column) -> Column:
