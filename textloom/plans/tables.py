@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,18 +92,31 @@ def a7_text_lines(spark: SparkSession, sf: str) -> DataFrame:
     return readers.load(spark, path)
 
 
-def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One archive per batch of rows, with members a reader has to skip."""
-    for frame in frames:
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w") as archive:
-            for doc_id, source, text in zip(
-                frame["doc_id"], frame["source"], frame["text"], strict=True
-            ):
-                archive.writestr(f"{source}/{doc_id}.txt", text)
-                archive.writestr(f"__MACOSX/{source}/{doc_id}.txt", text)
-                archive.writestr(f"{source}/{doc_id}.png", b"\x89PNG")
-        yield pd.DataFrame({"content": [buffer.getvalue()]})
+ARCHIVE_BYTES = 1 << 20  # from which on an archive of zipped texts is closed
+
+
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives of some rows each, with members a reader has to skip."""
+
+    def closed(archive: zipfile.ZipFile, buffer: io.BytesIO) -> pa.RecordBatch:
+        archive.close()
+        return pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary())], ["content"])
+
+    for batch in batches:
+        archive = None
+        for row in zip(*(batch.column(c) for c in ("doc_id", "source", "text")), strict=True):
+            doc_id, source, text = (x.as_py() for x in row)
+            if archive is None:
+                buffer = io.BytesIO()
+                archive = zipfile.ZipFile(buffer, "w")
+            archive.writestr(f"{source}/{doc_id}.txt", text)
+            archive.writestr(f"__MACOSX/{source}/{doc_id}.txt", text)
+            archive.writestr(f"{source}/{doc_id}.png", b"\x89PNG")
+            if buffer.tell() >= ARCHIVE_BYTES:
+                yield closed(archive, buffer)
+                archive = None
+        if archive is not None:
+            yield closed(archive, buffer)
 
 
 @query(
@@ -114,7 +127,7 @@ def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 )
 def a8_archives(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "source", "text")
-    return readers.unpack_archives(docs.mapInPandas(zipped, "content binary"))
+    return readers.unpack_archives(docs.mapInArrow(zipped, "content binary"))
 
 
 @query(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +54,7 @@ TEXT_EXTENSIONS = [
     ".cfg",
     ".text",
 ]
-MEMBERS_PER_FRAME = 64
+FRAME_BYTES = 4 << 20  # of archive members or texts held at one time
 
 
 def detect_format(name: str) -> str:
@@ -141,7 +140,7 @@ def unpack_archives(
     for the encodings it knows.
     """
     listed = [e.lower().lstrip(".") for e in (TEXT_EXTENSIONS if extensions is None else extensions)]
-    members = files.select("content").mapInPandas(_members, "file_path string, content binary")
+    members = files.select("content").mapInArrow(_members, "file_path string, content binary")
     leaf = F.regexp_extract("file_path", r"([^/]*)$", 1)
     suffix = F.regexp_extract(leaf, r"^.+(\.[^.]+)$", 1)
     system = leaf.startswith("._") | F.col("file_path").startswith("__MACOSX/")
@@ -157,29 +156,50 @@ def unpack_archives(
     )
 
 
-def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every member of every archive, a few at a time."""
-    for frame in frames:
-        for content in frame["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                names = archive.namelist()
-                for at in range(0, len(names), MEMBERS_PER_FRAME):
-                    some = names[at : at + MEMBERS_PER_FRAME]
-                    yield pd.DataFrame({"file_path": some, "content": map(archive.read, some)})
+    for batch in batches:
+        for content in batch.column("content"):
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
+                names, raw, size = [], [], 0
+                for name in archive.namelist():
+                    names.append(name)
+                    raw.append(archive.read(name))
+                    size += len(raw[-1])
+                    if size >= FRAME_BYTES:
+                        yield _frame(names, raw)
+                        names, raw, size = [], [], 0
+                if names:
+                    yield _frame(names, raw)
+
+
+def _frame(names: list[str], raw: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(names, pa.string()), pa.array(raw, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["file_path", "content"])
 
 
 def _decoder(encoding: str, errors: str):
-    """Bytes to text; null where they cannot be decoded."""
-
-    @F.pandas_udf("string")
-    def decode(contents: pd.Series) -> pd.Series:
-        def one(raw: bytes) -> str | None:
-            try:
-                return str(raw, encoding, errors)
-            except UnicodeDecodeError:
-                return None
-
-        return contents.map(one)
+    """Bytes to text, a few at a time; null where they cannot be decoded."""
+
+    def one(raw: bytes) -> str | None:
+        try:
+            return str(raw, encoding, errors)
+        except UnicodeDecodeError:
+            return None
+
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in batches:
+            texts, size = [], 0
+            for content in contents:
+                raw = content.as_py()
+                texts.append(one(raw))
+                size += len(raw)
+                if size >= FRAME_BYTES:
+                    yield pa.array(texts, pa.string())
+                    texts, size = [], 0
+            if texts or not len(contents):
+                yield pa.array(texts, pa.string())
 
     return decode
 
