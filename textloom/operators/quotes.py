@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.spans import chunked, cut, let, regex_spans
+from textloom.functions.spans import chunked, cut, let, regex_pieces
 from textloom.functions.stopwords import require_language
 
 # The accents that are stripped, quotation marks, and the ordered
@@ -49,7 +49,6 @@ VERB = "(?:" + "|".join(VERBS) + ")"
 NAME = r"(?:(?:Mr|Mrs|Ms|Dr|Prof|St)\.|[A-Z]\.|[A-Z][A-Za-z'-]*)"
 SPEAKER = rf"(?:{NAME}(?: {NAME}){{0,3}}|he|she|they|it|we|I|you)"
 QUOTED = r'"[^"\n]+"'
-LINE = rf"[^\n]*{QUOTED}[^\n]*"
 
 AFTER_VS = rf"^(\s*,?\s*)({VERB})(\s+)({SPEAKER})(?![A-Za-z])"
 AFTER_SV = rf"^(\s*,?\s*)({SPEAKER})(\s+)({VERB})(?![A-Za-z])"
@@ -144,6 +143,11 @@ def _packed(plain: list[str], marks: list[np.ndarray]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(plain, pa.string()), offsets], ["text", "offsets"])
 
 
+def _first_part(gap: Column, side: int) -> Column:
+    """The part of a text up to its first line break or quotation mark, from the left (1) or right (-1)."""
+    return F.substring_index(F.substring_index(gap, "\n", side), '"', side)
+
+
 def quotations(text: Column) -> Column:
     """All quotations of one document as an array of structs with COLUMNS."""
     bits = 8
@@ -213,34 +217,22 @@ def quotations(text: Column) -> Column:
             return F.struct(*[v.alias(c) for v, c in zip(values, COLUMNS, strict=True)])
 
         windows = F.struct(
-            cut(doc["plain"], doc["plain_chunks"], bits, end, q["high"]).alias("after"),
-            cut(doc["plain"], doc["plain_chunks"], bits, q["low"], start).alias("before"),
+            F.get(doc["after"], i + F.lit(1)).alias("after"), F.get(doc["before"], i).alias("before")
         )
         return let(windows, shapes)
 
-    def quoted(plain: Column) -> Column:
-        """Quotations with the bounds of their line, in which speaker and verb are looked for."""
-        lines = F.transform(
-            regex_spans(plain, LINE),
-            lambda line: F.transform(
-                regex_spans(line["text"], QUOTED),
-                lambda q: F.struct(
-                    (line["start"] + q["start"]).alias("start"),
-                    (line["start"] + q["end"]).alias("end"),
-                    line["start"].alias("low"),
-                    line["end"].alias("high"),
-                ),
-            ),
-        )
-        return F.flatten(lines)
-
     def with_plain(plain: Column) -> Column:
+        return let(regex_pieces(plain, QUOTED), with_pieces)
+
+    def with_pieces(found: Column) -> Column:
+        # Speaker and verb hold no quotation mark and no line break, so they lie
+        # between the quotation and the next of either.
         doc = F.struct(
             body.alias("text"),
             chunked(body, bits).alias("chunks"),
-            chunked(plain, bits).alias("plain_chunks"),
-            plain.alias("plain"),
-            quoted(plain).alias("spans"),
+            F.transform(found["gaps"], lambda g: _first_part(g, 1)).alias("after"),
+            F.transform(found["gaps"], lambda g: _first_part(g, -1)).alias("before"),
+            found["spans"].alias("spans"),
         )
         return let(doc, lambda d: F.transform(d["spans"], lambda q, i: quote(d, q, i)))
 
