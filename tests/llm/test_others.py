@@ -300,7 +300,7 @@ def test_query_sql(spark, name):
 
 
 def test_names():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
