@@ -66,13 +66,20 @@ def spread_lookup(df: DataFrame, table: DataFrame, key: str, value: str) -> Data
     return joined.withColumn(value, F.coalesce("__hot", "__cold")).select(*df.columns, value)
 
 
+def _salts(counts: DataFrame, n: str) -> Column:
+    """Over how many tasks the ``n`` rows of a key are spread, each to get its HOT_SHARE of all rows."""
+    total = counts.agg(F.sum(n).alias("t")).scalar()
+    return F.least(F.lit(SPREAD), n, F.ceil(F.col(n) * HOT_SHARE / total)).cast("int")
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str
 ) -> DataFrame:
     """Equi-join whose hot keys are spread over many tasks.
 
-    Rows of a hot left key get one of SPREAD salts and the matching right rows
-    one copy per salt. A right join spreads the hot keys of the right side; a
+    Rows of a hot left key get one of SPREAD salts at most, fewer if that leaves
+    less than 1/HOT_SHARE of all rows to a salt, and the matching right rows one
+    copy per salt: a key for each right row has one or two on average. A right join spreads the hot keys of the right side; a
     full join is the left join and the right rows that match nothing. The result
     keeps all columns of both sides.
     """
@@ -88,17 +95,18 @@ def salted_join(
         raise ValueError("salting works for inner, left, right and full joins")
     counts = left.groupBy(F.col(left_on).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
     # HOT_SHARE keys at most.
-    hot = F.broadcast(hot_keys(counts, "__key", "__n").select("__key", F.lit(True).alias("__hot")))
+    hot = hot_keys(counts, "__key", "__n").select("__key", _salts(counts, "__n").alias("__hot"))
+    hot = F.broadcast(hot.filter("__hot > 1"))
     # Copies of a row differ in where they stand.
-    pick = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
+    pick = F.pmod(
+        F.monotonically_increasing_id(), F.when(F.col(left_on).isNull(), SPREAD).otherwise(F.coalesce("__hot", F.lit(1)))
+    ).cast("int")
     l_side = (
         left.join(hot, left[left_on] == hot["__key"], "left")
-        .withColumn("__ls", F.when(F.col("__hot") | F.col(left_on).isNull(), pick).otherwise(0))
+        .withColumn("__ls", pick)
         .drop("__hot", "__key")
     )
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
-        F.array(F.lit(0))
-    )
+    copies = F.sequence(F.lit(0), F.coalesce("__hot", F.lit(1)) - 1)
     r_side = (
         right.join(hot, right[right_on] == hot["__key"], "left")
         .withColumn("__rs", F.explode(copies))
