@@ -40,7 +40,7 @@ def _numbers(column: pa.Array) -> np.ndarray:
 
 
 def _pack(lists: pa.Array, codec: pa.Codec) -> Iterator[bytes | None]:
-    """Per list: its length, the steps from start to start, lengths, byte lengths and the texts."""
+    """Per list: its length, the gaps before tokens, lengths, bytes beyond these and the texts; mostly small and alike."""
     lists = lists.cast(ARROW_TYPE)
     flat = lists.flatten()
     token = flat.field("token")
@@ -51,8 +51,9 @@ def _pack(lists: pa.Array, codec: pa.Codec) -> Iterator[bytes | None]:
     counts = _numbers(pc.fill_null(pc.list_value_length(lists), 0))
     lasts = np.cumsum(counts)
     firsts = lasts - counts
-    step, length = np.diff(start, prepend=0), end - start
-    step[firsts[counts > 0]] = start[firsts[counts > 0]]
+    gap, length = start.copy(), end - start
+    gap[1:] -= end[:-1]
+    gap[firsts[counts > 0]] = start[firsts[counts > 0]]
     ends = np.concatenate([[0], np.cumsum(sizes)])
     data = memoryview(b"")
     if len(token):
@@ -62,7 +63,7 @@ def _pack(lists: pa.Array, codec: pa.Codec) -> Iterator[bytes | None]:
         if not valid:
             yield None
             continue
-        numbers = (_small(x[a:b]) for x in (step, length, sizes))
+        numbers = (_small(x[a:b]) for x in (gap, length, sizes - length))
         raw = b"".join([np.int64(b - a).tobytes(), *numbers, data[ends[a] : ends[b]]])
         yield np.int64(len(raw)).tobytes() + codec.compress(raw, asbytes=True)
 
@@ -85,12 +86,12 @@ def _frame(raws: list[bytes | None]) -> pa.Array:
             counts.append(0)
             continue
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        step, at = _large(raw, 8, n)
+        gap, at = _large(raw, 8, n)
         length, at = _large(raw, at, n)
-        size, at = _large(raw, at, n)
-        starts.append(np.cumsum(step))
-        ends.append(starts[-1] + length)
-        sizes.append(size)
+        more, at = _large(raw, at, n)
+        ends.append(np.cumsum(gap + length))
+        starts.append(ends[-1] - length)
+        sizes.append(length + more)
         texts.append(raw[at:])
         counts.append(n)
     none = np.empty(0, np.int64)
